@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _lang
 from . import packing as _packing
@@ -31,6 +32,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = _bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return _bpe.decode_documents(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = _lang.train_langid(docs.filter(crc32_mod(F.col("doc_id"), 3) != 1))
@@ -52,7 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
 
 ORACLES = {
     "op8_exact_topk": """
