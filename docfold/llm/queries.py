@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _lang
+from . import minhash as _minhash
 from . import packing as _packing
 from . import quality as _quality
 from . import toxicity as _tox
@@ -43,6 +44,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = _lang.train_langid(docs.filter(crc32_mod(F.col("doc_id"), 3) != 1))
@@ -64,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
 
 ORACLES = {
     "op8_exact_topk": """
