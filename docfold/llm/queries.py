@@ -12,6 +12,7 @@ from . import langid as _lang
 from . import minhash as _minhash
 from . import packing as _packing
 from . import quality as _quality
+from . import suffix_dedup as _suffix
 from . import toxicity as _tox
 from . import vector_search as _vectors
 from .common import crc32_mod, table
@@ -33,6 +34,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = _bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -69,7 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
 
 ORACLES = {
     "op8_exact_topk": """
