@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pretokens import pieces
+from .pretokens import split_texts
 
 HEAD, WORDS, DOC = 0, 1, 2
 
@@ -57,18 +57,14 @@ class Block:
     """Rows of one task that are handled together; its number is a hash of what it holds."""
 
     def __init__(self, ids: list, texts: list[str], ranges: int) -> None:
-        tokens, counts = pieces(texts)
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens))
-        order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")
+        split = split_texts(texts)
+        order = np.argsort(-np.bincount(split.which, minlength=len(split.distinct)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        listed = [w.encode() for w in number]
         #: Distinct pieces, most frequent first, the word range of each, and each row's piece numbers.
-        self.words = [listed[k] for k in order]
+        self.words = [split.distinct[k].encode() for k in order.tolist()]
         self.range_of = np.array([zlib.crc32(w) % ranges for w in self.words], np.int64)
-        cut = np.concatenate([[0], np.cumsum(counts)])
-        self.numbers = [rank[codes[a:b]] for a, b in zip(cut, cut[1:])]
+        self.numbers = np.split(rank[split.which], np.cumsum(split.counts)[:-1])
         self.ids = ids
         h = hashlib.blake2b(repr(ids).encode(), digest_size=8)
         for t in texts:

@@ -8,6 +8,9 @@ of the queue.  Windows whose length is a power of two need no padding and are tr
 
 from __future__ import annotations
 
+import functools
+import json
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_steps
-from .pretokens import piece_starts
+from .pretokens import split_texts
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,8 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, rule: PackingRule) -> lis
     pos, pen = places.tolist(), costs.tolist()
     best, origin = [0] * n, [0] * n
     index = {p: i for i, p in enumerate(pos)}
-    exact = [1 << b for b in range(size.bit_length()) if 1 << b < size]
+    # Shorter windows would save no padding that the cost of another window doesn't outweigh.
+    exact = [1 << b for b in range(size.bit_length()) if size // 16 < 1 << b < size]
     queue = deque([(0, 0)])  # (cost + position, candidate), costs ascending
     seek = index.get
     for i in range(1, n):
@@ -84,47 +88,65 @@ def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, rule: PackingRul
     return every, costs
 
 
+def byte_ranks(tokenizer_file: str) -> dict[bytes, int]:
+    """Token bytes and ids of a ``tokenizers`` file of byte-level BPE whose ids follow the order of its merges."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = dict(zip(map(chr, plain), plain)) | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    merged = [x if isinstance(x, str) else "".join(x) for x in model["merges"]]
+    order = [model["vocab"][x.replace(" ", "")] for x in merged]
+    if order != sorted(order):
+        raise ValueError("ids don't follow the merges")
+    return {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if all(c in shown for c in token) and (len(token) == 1 or i >= order[0]) and i <= order[-1]}
+
+
 class PieceEncoder:
     """Token ids of pieces as little-endian 32-bit bytes; each distinct piece is encoded once while cached."""
 
     def __init__(self, tokenizer_file: str, limit: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer_file), special_tokens={})
         self.cache: dict[str, bytes] = {}
         self.limit = limit
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         if len(self.cache) > self.limit:
             self.cache.clear()
-        fresh = list({p for p in pieces if p not in self.cache})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        for p in pieces:
+            if p not in self.cache:
+                ids = self.bpe.encode_ordinary(p)
+                self.cache[p] = struct.pack(f"<{len(ids)}I", *ids)
         return [self.cache[p] for p in pieces]
 
 
+@functools.lru_cache(1)
+def piece_encoder(tokenizer_file: str) -> PieceEncoder:
+    """One per Python worker, so that tasks share what is cached."""
+    return PieceEncoder(tokenizer_file)
+
+
 _ENDS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
 
 def encode_step(texts: list[str], encoder: PieceEncoder, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Of each text: its ids with the end id, as bytes, and the token positions after which a sentence ends."""
-    joined = "".join(texts)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.zeros(len(code), bool)
-    first[begin[:-1][sizes > 0]] = True
-    at = np.flatnonzero(piece_starts(code, first))
-    ends = np.append(at[1:], len(code))
-    cut = at.tolist() + [len(joined)]
-    ids = encoder.encode([joined[a:b] for a, b in zip(cut, cut[1:])])
-    count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    closes = np.isin(code[ends - 1], _ENDS) if len(at) else np.zeros(0, bool)
-    of_text = np.searchsorted(at, begin)
+    split = split_texts(texts)
+    ids = encoder.encode(split.distinct)
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    n = size[split.which]
+    done = np.cumsum(n)
+    tokens = flat[np.repeat((np.cumsum(size) - size)[split.which] - done + n, n) + np.arange(int(n.sum()))]
+    closes = np.isin(split.last, _ENDS)
     end = np.array([end_id], "<u4").tobytes()
-    for lo, hi in zip(of_text[:-1].tolist(), of_text[1:].tolist()):
-        yield b"".join(ids[lo:hi]) + end, np.cumsum(count[lo:hi])[closes[lo:hi]]
+    piece = token = 0
+    for count in split.counts.tolist():
+        stop = int(done[piece + count - 1]) if count else token
+        yield tokens[token:stop].tobytes() + end, done[piece : piece + count][closes[piece : piece + count]] - token
+        piece, token = piece + count, stop
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rule: PackingRule = PackingRule()) -> DataFrame:
@@ -143,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_file)
+        encoder = piece_encoder(tokenizer_file)
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[object, bytes, np.ndarray]] = []
         tokens = 0

@@ -8,10 +8,13 @@ arrays of code points is some ten times as fast as matching the pattern.
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import regex
 
+from .common import powers
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _KINDS: list[np.ndarray] = []
 
@@ -67,15 +70,39 @@ def piece_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The pieces of all texts in order, and how many each text has."""
+@dataclass
+class Pieces:
+    """Pieces of several texts: the distinct ones, which one each piece is, where each ends, and how many each text has."""
+
+    distinct: list[str]
+    which: np.ndarray
+    last: np.ndarray
+    counts: np.ndarray
+
+
+def split_texts(texts: list[str]) -> Pieces:
+    """Pieces of all texts in order; ``last`` holds each piece's last code point.
+
+    Equal pieces are found by a 64-bit prefix polynomial hash of their code points and their lengths.
+    """
     joined = "".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
+    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     first = np.zeros(len(code), bool)
     first[begin[:-1][sizes > 0]] = True
     at = np.flatnonzero(piece_starts(code, first))
-    counts = np.diff(np.searchsorted(at, begin))
-    cut = at.tolist() + [len(joined)]
-    return [joined[a:b] for a, b in zip(cut, cut[1:])], counts
+    end = np.append(at[1:], len(code))[: len(at)]
+    up, down = powers(len(code) + 1)
+    prefix = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(0x2545F4914F6CDD1D)) * up[: len(code)], out=prefix[1:])
+    _, one, which = np.unique((prefix[end] - prefix[at]) * down[at], return_index=True, return_inverse=True)
+    if not np.array_equal((end - at)[one][which], end - at):
+        raise RuntimeError("two different pieces have one hash")
+    return Pieces([joined[a:b] for a, b in zip(at[one].tolist(), end[one].tolist())], which, code[end - 1] if len(at) else code, np.diff(np.searchsorted(at, begin)))
+
+
+def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pieces of all texts in order, and how many each text has."""
+    p = split_texts(texts)
+    return [p.distinct[k] for k in p.which.tolist()], p.counts
