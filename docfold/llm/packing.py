@@ -48,8 +48,8 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, rule: PackingRule) -> lis
     pos, pen = places.tolist(), costs.tolist()
     best, origin = [0] * n, [0] * n
     index = {p: i for i, p in enumerate(pos)}
-    # Shorter windows would save no padding that the cost of another window doesn't outweigh.
-    exact = [1 << b for b in range(size.bit_length()) if size // 16 < 1 << b < size]
+    # Tiny windows aren't tried: each window has its cost.
+    exact = [1 << b for b in range(size.bit_length()) if size // 128 < 1 << b < size]
     queue = deque([(0, 0)])  # (cost + position, candidate), costs ascending
     seek = index.get
     for i in range(1, n):
