@@ -15,19 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``block, doc_id, text`` and ``carried`` (a struct of other columns); null text counts as empty."""
+def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``block, doc_id, text`` and ``carried`` (a struct of other columns), and how many blocks; null text counts as empty."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
-    return docs.select(
+    rows = docs.select(
         F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried")
     )
+    return rows, n
 
 
 def ranges_of(spark) -> int:
-    """How many hash ranges: as many as shuffle partitions, 2000 at most."""
-    return max(1, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """How many hash ranges: as many as shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:

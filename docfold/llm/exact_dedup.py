@@ -48,3 +48,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     again = collided.join(by_text, "text").select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
     rest = compared.join(shared, "h", "left_anti").select("doc_id", "keep_id", "group_size", "text_sha256")
     return rest.unionByName(again).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat id and text, one."""
+    stays = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_stays")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_sha"))
+    return docs.join(stays, same, "left_semi").dropDuplicates([id_col, text_col])

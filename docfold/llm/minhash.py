@@ -222,3 +222,9 @@ def _across_components(open_: DataFrame, nodes: DataFrame, percent: int, block:
             yield close()
 
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps."""
+    stays = near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe as _bpe
 from . import exact_dedup as _exact
+from . import katz as _katz
 from . import langid as _lang
 from . import minhash as _minhash
 from . import packing as _packing
@@ -80,7 +81,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _katz.katz_scores(table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing, "op10_katz": op10_katz}
 
 ORACLES = {
     "op8_exact_topk": """

@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     ranges = ranges_of(spark)
-    rows = with_blocks(docs, id_col, text_col, block_bytes, carry)
+    rows, _ = with_blocks(docs, id_col, text_col, block_bytes, carry)
     carried = rows.schema["carried"].dataType
     carried_arrow = to_arrow_type(carried)
 
@@ -426,3 +426,22 @@ def _sorted(held: list[pa.RecordBatch], length: int, hot: bool) -> pa.RecordBatc
         more = {"block": block[f], "at": lo[f] + step[k], "n": np.ones(len(k), np.int64), "h1": h1, "h2": h2, "doc_id": doc[f]}
         out = {c: pa.concat_arrays([pa.array(out[c], pa.int64()), pa.array(more[c], pa.int64())]) for c in out}
     return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for c, x in out.items()})
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """``docs`` with repeats removed from the text; all rows and columns stay.
+
+    What is left of a character whose bytes are removed in part goes too.  A null text becomes empty.
+    """
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    cut = remove_repeats(docs, id_col, text_col, length, carry=others)
+    text = docs.schema[text_col]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], ["doc_id", "text", "carried"])
+
+    carried = cut.schema["carried"].dataType.simpleString() if others else "int"
+    plain = (cut if others else cut.withColumn("carried", F.lit(None).cast("int"))).select("doc_id", "kept", "carried").mapInArrow(decode, f"doc_id long, text string, carried {carried}")
+    from_ = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text.name: F.col("text")} | {c: F.col("carried")[c] for c in others}
+    return plain.select(*[from_[c].alias(c) for c in docs.columns])
