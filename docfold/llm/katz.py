@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, range_of, ranges_of, unpack, with_blocks
-from .common import ascii_lower, mix, prefix_hashes, small_batches, span_hashes, word_spans
+from .common import ascii_lower, mix, prefix_hashes, small_batches, span_hashes, text_steps, word_spans
 
 #: Counts up to this are discounted.
 TOP = 5
@@ -37,15 +37,15 @@ class BlockTokens:
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = table
-        text = table.column("text").cast(pa.large_binary()).combine_chunks()
-        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        body = text.buffers()[2]
-        data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-        data = ascii_lower(data[offsets[0] : offsets[-1]])
-        starts, ends, row = word_spans(data, offsets - offsets[0])
-        words = mix(span_hashes(prefix_hashes(data), starts, ends))
-        rows = len(text)
+        rows = table.num_rows
+        # Bytes are hashed in steps; only the words' hashes stay.
+        words, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, _, data, offsets in text_steps(table.column("text")):
+            data = ascii_lower(data)
+            starts, ends, at = word_spans(data, offsets)
+            words.append(mix(span_hashes(prefix_hashes(data), starts, ends)))
+            row.append(at + lo)
+        words, row = np.concatenate(words), np.concatenate(row)
         n = np.bincount(row, minlength=rows) + 1
         close = np.cumsum(n) - 1
         token = np.empty(int(n.sum()), np.uint64)
@@ -90,7 +90,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row, over its whole text.
 
     ``train`` tells which rows the model learns from (null: not).  Tokens are words ``[^\\x20\\x09-\\x0D]+`` after
