@@ -99,7 +99,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     small_batches(spark, 256)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    ranges = min(2000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Several ranges per partition even out what partitions get.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(8000, 4 * partitions)
 
     def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ranges, block_bytes):
@@ -170,7 +172,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     id_arrow = to_arrow_type(rows.schema["doc_id"].dataType)
     form = f"block long, kind int, at int, doc_id {id_type}, data binary"
     words = rows.mapInArrow(word_lists, "range int, block long, words binary")
-    encoded = words.repartition(ranges, "range").mapInArrow(encode, form)
+    encoded = words.repartition(partitions, "range").mapInArrow(encode, form)
     joined = rows.mapInArrow(positions, form).unionByName(encoded)
     return joined.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(reassemble, f"doc_id {id_type}, ids array<int>")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,24 @@ def sample_ids(labels: DataFrame, id_col: str, n: int) -> DataFrame:
     return labels.select(id_col).distinct().orderBy(F.xxhash64(F.lit(17), F.col(id_col)), id_col).limit(n)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle Python workers count against their executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        return lib if hasattr(lib, "malloc_trim") else None
+    except OSError:  # another C library: nothing to do
+        return None
+
+
+_LIBC = _libc()
+
+
 def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a text column into runs of whole rows of about STEP_BYTES.
 
@@ -67,6 +86,7 @@ def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:
@@ -131,6 +151,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of a bounded number of rows, so long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, range_of, ranges_of, unpack, with_blocks
-from .common import ascii_lower, mix, prefix_hashes, small_batches, span_hashes, text_steps, word_spans
+from .common import ascii_lower, give_back, mix, prefix_hashes, small_batches, span_hashes, text_steps, word_spans
 
 #: Counts up to this are discounted.
 TOP = 5
@@ -90,7 +90,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row, over its whole text.
 
     ``train`` tells which rows the model learns from (null: not).  Tokens are words ``[^\\x20\\x09-\\x0D]+`` after
@@ -277,6 +277,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         prob[hit] = d2[np.minimum(pair[hit], TOP + 1)] * pair[hit] / total[head[hit]] * trim[head[hit]]
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         rows_ = len(t.counts)
+        give_back()
         add = lambda x: np.bincount(t.row, weights=x, minlength=rows_)
         return pa.table(
             [t.table.column("doc_id").combine_chunks(), pa.array(t.train), pa.array(t.counts.astype(np.int64)), pa.array(add(c > 0).astype(np.int64)), pa.array([n] * rows_, pa.int64()), pa.array(add(base)), pa.array(add(np.log10(prob)))],

@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids are never linked and keep a null component.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 128)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 

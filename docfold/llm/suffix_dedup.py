@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import pack, range_of, ranges_of, unpack, with_blocks
-from .common import mix, powers, prefix_hashes, small_batches, span_hashes
+from .common import give_back, mix, powers, prefix_hashes, small_batches, span_hashes
 
 GRAM = 32
 #: Of an anchor's different runs in one block, so many are asked about; the others go to the sort.
 ASKED = 16
 #: An anchor with more different runs than this is sorted in salted parts.
 HOT = 1000
-DONE, REPEAT, SORT, SALTED = 0, 1, 2, 3
+DONE, REPEAT, SORT, SALTED, AGAIN = 0, 1, 2, 3, 128
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -94,7 +94,7 @@ class BlockText:
         self.repeats = np.ones(len(self.runs.lo), bool)
         self.repeats[self.fresh] = False
 
-    def asked(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def asked(self, ranges: int, most: int = ASKED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the fresh runs: which are asked about (ordered by range, then text order), their ranges, how many
         more different runs their anchors have, and which runs aren't asked about."""
         gram = self.runs.gram[self.fresh]
@@ -105,8 +105,8 @@ class BlockText:
         begin = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
         nth = np.arange(len(g)) - begin
         count = np.diff(np.append(np.flatnonzero(first), len(g)))
-        over = np.maximum(np.repeat(count, count) - ASKED, 0) if len(g) else count
-        ask = np.sort(order[nth < ASKED])
+        over = np.maximum(np.repeat(count, count) - most, 0) if len(g) else count
+        ask = np.sort(order[nth < most])
         more = np.zeros(len(g), np.int64)
         more[order] = np.where(nth == 0, over, 0)
         r = range_of(gram[ask], ranges)
@@ -115,8 +115,11 @@ class BlockText:
         return self.fresh[ask[by_range]], r[by_range], more[ask[by_range]], self.fresh[rest]
 
 
-def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """State of every asked run of one range: DONE, REPEAT, SORT, or SALTED + log2 of the number of salts."""
+def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarray, most: int = HOT) -> np.ndarray:
+    """State of every asked run of one range: DONE, REPEAT, SORT, or SALTED + log2 of the number of salts.
+
+    A repeat of an anchor with salts has both: runs of that anchor that weren't asked about need the salts.
+    """
     order = np.lexsort((ids, texts, grams))
     g, t = grams[order], texts[order]
     new_g, new_t = np.ones(len(g), bool), np.ones(len(g), bool)
@@ -125,11 +128,11 @@ def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarr
     group = np.cumsum(new_g) - 1
     kinds = np.bincount(group, weights=new_t).astype(np.int64) + np.bincount(group, weights=more[order]).astype(np.int64)
     over = np.bincount(group, weights=more[order]) > 0
-    hot = over | (kinds > HOT)
-    salts = np.clip(np.ceil(np.log2(np.maximum(kinds / (HOT / 2), 2))), 1, 40).astype(np.int64)
+    hot = over | (kinds > most)
+    salts = np.clip(np.ceil(np.log2(np.maximum(kinds / (most / 2), 2))), 1, 40).astype(np.int64)
     state = np.where(kinds == 1, DONE, np.where(hot, SALTED + salts, SORT))[group]
     out = np.empty(len(g), np.uint8)
-    out[order] = np.where(new_t, state, REPEAT)
+    out[order] = np.where(new_t, state, np.where(hot[group], AGAIN + state, REPEAT))
     return out
 
 
@@ -231,7 +234,7 @@ def _second_hash(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, spans`` (array of start, end: maximal removed byte runs), ``kept`` (binary), ``carried``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: at a smaller id, or earlier in
@@ -252,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block = BlockText(table, length)
-        which, r, more, _ = block.asked(ranges)
+        which, r, more, _ = block.asked(ranges, asked_runs)
         cut = np.searchsorted(r, np.arange(ranges + 1)).tolist()
         there = [k for k in range(ranges) if cut[k] < cut[k + 1]]
         ids = block.ids[block.row[which]]
@@ -266,13 +269,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def reply(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(x, "u8", "u8", "i8", "u4") for x in table.column("data").to_pylist()]
         sizes = np.cumsum([len(p[0]) for p in parts])[:-1]
-        state = answer(*(np.concatenate(x) for x in (*zip(*((p[0], p[1], np.cumsum(p[2]), p[3]) for p in parts)),)))
+        state = answer(*(np.concatenate(x) for x in (*zip(*((p[0], p[1], np.cumsum(p[2]), p[3]) for p in parts)),)), most=hot_runs)
         n = len(parts)
         return pa.table({"block": table.column("block"), "kind": pa.array([0] * n, pa.int32()), "at": table.column("range").cast(pa.int64()), "n": pa.array([0] * n, pa.int64()), "data": pa.array([pack(x) for x in np.split(state, sizes)], pa.binary())})
 
     def states(block: BlockText, info: pa.Table) -> np.ndarray:
         """State of every run; runs that repeat one of their own block are REPEAT."""
-        which, r, _, rest = block.asked(ranges)
+        which, r, _, rest = block.asked(ranges, asked_runs)
         out = np.full(len(block.runs.lo), REPEAT, np.uint8)
         given = {a: d for k, a, d in zip(*(info.column(c).to_pylist() for c in ("kind", "at", "data"))) if k == 0}
         for k in np.unique(r).tolist():
@@ -286,8 +289,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             told = out[which][by_gram]
             for x in rest.tolist():
                 a, b = np.searchsorted(g, block.runs.gram[x]), np.searchsorted(g, block.runs.gram[x], "right")
-                out[x] = told[a:b].max()
-        return out
+                out[x] = told[a:b].max() % AGAIN
+        return np.where(out >= AGAIN, REPEAT, out)
 
     def fragments(key: tuple, table: pa.Table, info: pa.Table) -> pa.Table:
         block = BlockText(table, length) if table.num_rows else None
@@ -368,6 +371,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
             kept.append(block.data[a:b][~gone[a:b]].tobytes())
         t = block.table
+        give_back()
         return pa.table({"doc_id": t.column("doc_id"), "n_bytes": np.diff(block.offsets), "spans": pa.array(spans, spans_type), "kept": pa.array(kept, pa.binary()), "carried": t.column("carried")})
 
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
