@@ -39,7 +39,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as one compressed blob; byte planes are kept apart."""
     out = []
     for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
         out.append(np.ascontiguousarray(planes).tobytes())
     return zstandard.ZstdCompressor(1).compress(b"".join(out))
 

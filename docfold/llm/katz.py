@@ -90,7 +90,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row, over its whole text.
 
     ``train`` tells which rows the model learns from (null: not).  Tokens are words ``[^\\x20\\x09-\\x0D]+`` after
@@ -330,4 +330,6 @@ def _undo(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _one(info: pa.Table, kind: int, column: str = "data") -> bytes:
-    return info.filter(pa.compute.equal(info.column("kind"), kind)).column(column)[0].as_py()
+    """The row of that kind; without one (no bigram was learned) what packs no entry."""
+    found = info.filter(pa.compute.equal(info.column("kind"), kind)).column(column)
+    return found[0].as_py() if len(found) else pack(np.zeros(0, np.int64))
