@@ -89,7 +89,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, bands: int = 25, band_width: int = 5, block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, bands: int = 25, band_width: int = 5, block: int = 256) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
     Links join texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, confirmed on the
@@ -181,47 +181,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _across_components(open_: DataFrame, nodes: DataFrame, percent: int, block: int, id_type: str) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches don't rule the threshold out."""
+    """Pairs of different components in one bucket whose sketches don't rule the threshold out.
+
+    Members outside a bucket's largest component are dealt into parts.  A part is compared with itself, with
+    higher parts, and with the largest component, whose members come in slices: tasks stay bounded, and a large
+    component with a few strangers costs one comparison per member and stranger.
+    """
     # Buckets with the same members are one.
     same = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("x"), F.sum(F.xxhash64(F.lit(1), "node") % (1 << 40)).alias("y"))
-    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("parts"))
-    members = open_.join(one, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(nodes.select("node", "sketch", "n_shingles"), "node")
-    # A block meets every other block once.
-    dealt = members.select("key", "node", "component", "part", "sketch", "n_shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "component", "sketch", "n_shingles"
-    )
+    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    largest = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"))
+    plan = one.join(largest, "key").select("key", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("parts"), F.ceil(F.col("top.m") / (16 * block)).cast("int").alias("slices"))
+    members = open_.join(plan, "key").join(nodes.select("node", "sketch", "n_shingles"), "node").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    what = ["node", "component", "sketch", "n_shingles"]
+    below = F.when(F.col("component") == F.col("main"), F.col("parts")).otherwise(F.col("home"))
+    met = members.select("key", F.explode(F.when(below > 0, F.sequence(F.lit(0), below - 1))).alias("part"), F.pmod(F.xxhash64(F.lit(9), "node"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), *what)
+    own = members.filter("component <> main").select("key", F.col("home").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), *what)
     need = percent / 100
     least = BINS * (need - 5 * (need * (1 - need) / BINS) ** 0.5)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def close() -> pa.RecordBatch:
-            s = np.frombuffer(b"".join(x[3] for x in held), "<u2").reshape(len(held), BINS)
-            component, part, size = (np.array([x[k] for x in held]) for k in (2, 0, 4))
-            out = ([], [])
-            for i in range(len(held)):
-                ok = np.flatnonzero((component[i + 1 :] != component[i]) & ((part[i + 1 :] != part[i]) | (at[1] == at[2]))) + i + 1
-                ok = ok[100 * np.minimum(size[ok], size[i]) >= percent * np.maximum(size[ok], size[i])]
-                ok = ok[(s[ok] == s[i]).sum(1) >= least]
-                for j in ok.tolist():
-                    out[0].append(held[i][1])
-                    out[1].append(held[j][1])
-            return pa.RecordBatch.from_arrays([pa.array(out[0], key_type), pa.array(out[1], key_type)], ["a", "b"])
-
-        key_type = None
+        at, held, home = None, [], None
+
+        def pairs(left: pa.RecordBatch, right: pa.RecordBatch, within: bool) -> pa.RecordBatch:
+            s, t = (np.frombuffer(b"".join(x.column("sketch").to_pylist()), "<u2").reshape(-1, BINS) for x in (left, right))
+            (c, n), (d, m) = ((np.array(x.column("component").to_pylist()), np.array(x.column("n_shingles"))) for x in (left, right))
+            i_, j_ = [np.zeros(0, int)], [np.zeros(0, int)]
+            for i in range(len(s)):
+                ok = np.flatnonzero((d != c[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (np.arange(len(t)) > i if within else True))
+                ok = ok[(t[ok] == s[i]).sum(1) >= least]
+                i_.append(np.full(len(ok), i))
+                j_.append(ok)
+            return pa.RecordBatch.from_arrays([left.column("node").take(pa.array(np.concatenate(i_))), right.column("node").take(pa.array(np.concatenate(j_)))], ["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """The part's own members are all there."""
+            nonlocal home
+            if home is None and held:
+                home = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                if at[2] == 0 and home.num_rows > 1:
+                    yield pairs(home, home, True)
+
         for b in batches:
-            key_type = b.column("node").type
-            for row in zip(*(b.column(k).to_pylist() for k in ("key", "lo", "hi", "part", "node", "component", "sketch", "n_shingles"))):
-                if row[:3] != at:
-                    if len(held) > 1:
-                        yield close()
-                    at, held = row[:3], []
-                held.append(row[3:])
-        if len(held) > 1:
-            yield close()
-
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+            keys = np.stack([np.array(b.column(k)).astype(np.int64) for k in ("key", "part", "slice", "role")], 1)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if tuple(keys[lo, :3]) != at:
+                    yield from close()
+                    at, held, home = tuple(keys[lo, :3]), [], None
+                part = b.slice(lo, hi - lo)
+                if keys[lo, 3] == 0:
+                    held.append(part)
+                    continue
+                yield from close()
+                if home is not None:
+                    yield pairs(home, part, False)
+        yield from close()
+
+    order = ["key", "part", "slice"]
+    return met.unionByName(own).repartition(*order).sortWithinPartitions(*order, "role").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
