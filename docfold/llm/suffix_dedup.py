@@ -333,13 +333,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(cut) and total + b.num_rows >= 8192:
                     end = int(cut[-1])
                     held.append(b.slice(0, end))
-                    yield _sorted(held, length, hot)
+                    yield _sorted(held, length, ranges if hot else 0)
                     held, total = [], 0
                     b = b.slice(end)
                 held.append(b)
                 total += b.num_rows
             if held:
-                yield _sorted(held, length, hot)
+                yield _sorted(held, length, ranges if hot else 0)
 
         return run
 
@@ -381,13 +381,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     replies = asked.groupBy("range").applyInArrow(reply, form)
     frags = by_block.cogroup(replies.groupBy("block")).applyInArrow(fragments, "gram long, salt long, hot boolean, doc_id long, block long, lo long, back long, text binary")
     dealt = frags.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    sorted_form = "block long, at long, n long, h1 long, h2 long, doc_id long"
+    sorted_form = "block long, at long, n long, range int, data binary"
     marks = dealt.mapInArrow(sorter(False), sorted_form)
     hot = dealt.mapInArrow(sorter(True), sorted_form)
-    alive = hot.filter("h1 is not null")
-    first = alive.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "block", "at")).alias("first")).filter("times > 1")
-    later = alive.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "block", "at") != F.col("first"))
-    found = [x.select("block", F.lit(1).alias("kind"), "at", F.col("n"), F.lit(None).cast("binary").alias("data")) for x in (marks, hot.filter("h1 is null"), later)]
+    later = hot.filter("data is not null").groupBy("range").applyInArrow(meet, "block long, at long, n long")
+    found = [x.select("block", F.lit(1).alias("kind"), "at", "n", F.lit(None).cast("binary").alias("data")) for x in (marks, hot.filter("data is null"), later)]
     info = replies
     for x in found:
         info = info.unionByName(x)
@@ -395,8 +393,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out if carry else out.drop("carried")
 
 
-def _sorted(held: list[pa.RecordBatch], length: int, hot: bool) -> pa.RecordBatch:
-    """Repeats among whole groups of fragments, as runs of starts; of hot groups also each start that is left."""
+def _sorted(held: list[pa.RecordBatch], length: int, ranges: int) -> pa.RecordBatch:
+    """Repeats among whole groups of fragments, as runs of starts.
+
+    With ``ranges`` (hot groups) also the starts that are left, packed by hash range.
+    """
     t = pa.Table.from_batches(held).combine_chunks()
     gram, salt, doc, block, lo, back = (np.array(t.column(c)) for c in ("gram", "salt", "doc_id", "block", "lo", "back"))
     texts = t.column("text").to_pylist()
@@ -421,31 +422,30 @@ def _sorted(held: list[pa.RecordBatch], length: int, hot: bool) -> pa.RecordBatc
     last[:-1] &= ~(again[1:] & (frag[1:] == frag[:-1]))
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     f = frag[a]
-    out = {"block": block[f], "at": lo[f] + step[a], "n": b - a + 1, "h1": pa.nulls(len(a), pa.int64()), "h2": pa.nulls(len(a), pa.int64()), "doc_id": doc[f]}
-    if hot:
-        k = np.flatnonzero(~again)
-        f = frag[k]
-        h1 = span_hashes(prefix_hashes(data), at[k], at[k] + length).view(np.int64)
-        h2 = _second_hash(data, at[k], length).view(np.int64)
-        more = {"block": block[f], "at": lo[f] + step[k], "n": np.ones(len(k), np.int64), "h1": h1, "h2": h2, "doc_id": doc[f]}
-        out = {c: pa.concat_arrays([pa.array(out[c], pa.int64()), pa.array(more[c], pa.int64())]) for c in out}
-    return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for c, x in out.items()})
-
-
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """``docs`` with repeats removed from the text; all rows and columns stay.
-
-    What is left of a character whose bytes are removed in part goes too.  A null text becomes empty.
-    """
-    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    cut = remove_repeats(docs, id_col, text_col, length, carry=others)
-    text = docs.schema[text_col]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], ["doc_id", "text", "carried"])
-
-    carried = cut.schema["carried"].dataType.simpleString() if others else "int"
-    plain = (cut if others else cut.withColumn("carried", F.lit(None).cast("int"))).select("doc_id", "kept", "carried").mapInArrow(decode, f"doc_id long, text string, carried {carried}")
-    from_ = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text.name: F.col("text")} | {c: F.col("carried")[c] for c in others}
-    return plain.select(*[from_[c].alias(c) for c in docs.columns])
+    out = {"block": block[f], "at": lo[f] + step[a], "n": b - a + 1}
+    rows = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()} | {"range": pa.nulls(len(a), pa.int32()), "data": pa.nulls(len(a), pa.binary())})
+    if not ranges:
+        return rows
+    k = np.flatnonzero(~again)
+    h1 = span_hashes(prefix_hashes(data), at[k], at[k] + length)
+    r = range_of(mix(h1), ranges)
+    order = np.argsort(r, kind="stable")
+    k, h1, r = k[order], h1[order], r[order]
+    h2 = _second_hash(data, at[k], length)
+    cut = np.searchsorted(r, np.arange(ranges + 1)).tolist()
+    there = [x for x in range(ranges) if cut[x] < cut[x + 1]]
+    f = frag[k]
+    parts = (h1, h2, doc[f], block[f], lo[f] + step[k])
+    none = pa.nulls(len(there), pa.int64())
+    packed = pa.RecordBatch.from_arrays([none, none, none, pa.array(there, pa.int32()), pa.array([pack(*(x[cut[y] : cut[y + 1]] for x in parts)) for y in there], pa.binary())], rows.schema.names)
+    return pa.Table.from_batches([rows, packed]).combine_chunks().to_batches()[0] if len(rows) + len(packed) else rows
+
+
+def meet(key: tuple, table: pa.Table) -> pa.Table:
+    """Starts of salted sorts that equal an earlier one of another salt, by two hashes of their windows."""
+    h1, h2, doc, block, at = (np.concatenate(x) for x in zip(*(unpack(d, "u8", "u8", "i8", "i8", "i8") for d in table.column("data").to_pylist())))
+    order = np.lexsort((at, block, doc, h2, h1))
+    again = np.zeros(len(order), bool)
+    again[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    k = order[again]
+    return pa.table({"block": block[k], "at": at[k], "n": np.ones(len(k), np.int64)})
