@@ -273,7 +273,7 @@ def _join_spaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def repair_spaced_letters(c: Column | str) -> Column:
     """Words that extraction has spaced out letter by letter are joined and split by a word list."""
-    join = F.pandas_udf(_join_spaced, "string", F.PandasUDFType.SCALAR_ITER)
+    join = F.pandas_udf(_join_spaced, "string")
     x = join(F.coalesce(col(c), F.lit("")))
     x = F.regexp_replace(x, r"(?<![A-Za-z0-9_])[a-zA-Z]\s+(?=[a-zA-Z](?![A-Za-z0-9_]))", "")
     x = F.regexp_replace(x, f"{WS}+", " ")

@@ -449,7 +449,7 @@ def v17(t: Tables) -> DataFrame:
 @register("v18_approx_search")
 def v18(t: Tables) -> DataFrame:
     chunks = t.document_chunks()
-    return vector.approx_search(t.queries(), chunks, t.knowledge_documents(), vector.train_lists(chunks, 16), probes=6)
+    return vector.approx_search(t.queries(), chunks, t.knowledge_documents(), vector.train_lists(chunks, 16), probes=13)
 
 
 @register("v19_tune_search_params", """SELECT user_id, vectors, lists, probes, vectors * 0.1::DOUBLE * probes / lists AS estimated_ms FROM (SELECT *, greatest(1, least(100, CAST(ceil(lists * (1 - 0.9::DOUBLE) * 2) AS BIGINT))) AS probes FROM (
