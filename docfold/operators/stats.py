@@ -31,7 +31,8 @@ def table_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     d = docs.select(F.col("id").alias("document_id"), "user_id")
     n = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     per = d.join(n, "document_id", "left").groupBy("user_id").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
-    whole = docs.agg(F.count(F.lit(1)).alias("documents")).join(chunks.agg(F.count(F.lit(1)).alias("chunks")), F.lit(True)).select(F.lit(None).cast("long").alias("user_id"), "documents", "chunks")
+    rows = docs.select(F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(chunks.select(F.lit(0).alias("d"), F.lit(1).alias("c")))
+    whole = rows.agg(F.sum("d").alias("documents"), F.sum("c").alias("chunks")).select(F.lit(None).cast("long").alias("user_id"), "documents", "chunks")
     return per.unionByName(whole)
 
 
