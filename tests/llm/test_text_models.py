@@ -80,6 +80,28 @@ def test_toxicity(spark, labelled):
     assert toxicity.drop_toxic(frame(spark, []), net).count() == 0
 
 
+def test_each_language_is_calibrated(spark):
+    g = random.Random(3)
+    words = {x: [f"{x}{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"] for x in ("aa", "bb")}
+    rows, marks = [], []
+    for i in range(2600):
+        lang, bad = ("bb" if i % 20 < 3 else "aa"), i % 10 == 0
+        w = [g.choice(words[lang]) for _ in range(g.randint(5, 15))]
+        if bad or g.random() < (0.4 if lang == "bb" else 0.02):
+            w[g.randrange(len(w))] = "vilestuff"
+        rows.append((i, " ".join(w), lang))
+        marks.append((i, int(bad)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    # 40 toxic rows in bb: a quarter of them is too few for a threshold, and a small sample holds too few.
+    labels = labels.join(docs.select("doc_id", "lang"), "doc_id").filter("lang = 'aa' or toxic = 0 or doc_id < 800").drop("lang")
+    assert labels.join(docs, "doc_id").filter("lang = 'bb' and toxic = 1").count() == 40
+    for bounds in ({}, {"n_toxic": 60, "n_clean": 120}):
+        net = toxicity.train_toxicity(docs, labels, buckets=1 << 12, dim=8, filters=4, epochs=2, **bounds)
+        own = dict(zip(net.langs, net.thresholds))
+        assert set(own) == {"aa", "bb"} and own["bb"] != net.thresholds[-1]
+        assert net.calibration_rows["bb"][0] == 40 and net.calibration_rows["bb"][1] >= 200
+
+
 def test_convolution_sees_no_other_row():
     net = toxicity.Net(64, 4, 3, 1)
     g = np.random.default_rng(0)
