@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import zlib
 from collections import deque
@@ -101,6 +102,16 @@ def byte_ranks(tokenizer_file: str) -> dict[bytes, int]:
     return {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if all(c in shown for c in token) and (len(token) == 1 or i >= order[0]) and i <= order[-1]}
 
 
+def added_tokens(tokenizer_file: str) -> dict[str, bytes]:
+    """Literals that the file matches in texts before any splitting, and the id of each as little-endian 32-bit bytes."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        file = json.load(f)
+    added = file.get("added_tokens") or []
+    if file.get("normalizer") or any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("texts are normalised, or added tokens match more or less than their literals")
+    return {x["content"]: struct.pack("<I", x["id"]) for x in added if x["content"]}
+
+
 class PieceEncoder:
     """Token ids of pieces as little-endian 32-bit bytes; each distinct piece is encoded once while cached."""
 
@@ -109,6 +120,9 @@ class PieceEncoder:
         from public_tokenizers import PATTERN
 
         self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer_file), special_tokens={})
+        self.added = added_tokens(tokenizer_file)
+        # The longest of the literals that begin at one place matches.
+        self.literals = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.cache: dict[str, bytes] = {}
         self.limit = limit
 
@@ -121,6 +135,10 @@ class PieceEncoder:
                 self.cache[p] = struct.pack(f"<{len(ids)}I", *ids)
         return [self.cache[p] for p in pieces]
 
+    def cut(self, text: str) -> list[str]:
+        """The text's parts; each second one is an added token."""
+        return self.literals.split(text) if any(x in text for x in self.added) else [text]
+
 
 @functools.lru_cache(1)
 def piece_encoder(tokenizer_file: str) -> PieceEncoder:
@@ -133,7 +151,8 @@ _ENDS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
 def encode_step(texts: list[str], encoder: PieceEncoder, end_id: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Of each text: its ids with the end id, as bytes, and the token positions after which a sentence ends."""
-    split = split_texts(texts)
+    cuts = [encoder.cut(t) for t in texts]
+    split = split_texts([x for parts in cuts for x in parts[::2]])
     ids = encoder.encode(split.distinct)
     flat = np.frombuffer(b"".join(ids), "<u4")
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -142,11 +161,18 @@ def encode_step(texts: list[str], encoder: PieceEncoder, end_id: int) -> Iterato
     tokens = flat[np.repeat((np.cumsum(size) - size)[split.which] - done + n, n) + np.arange(int(n.sum()))]
     closes = np.isin(split.last, _ENDS)
     end = np.array([end_id], "<u4").tobytes()
+    counts = iter(split.counts.tolist())
     piece = token = 0
-    for count in split.counts.tolist():
-        stop = int(done[piece + count - 1]) if count else token
-        yield tokens[token:stop].tobytes() + end, done[piece : piece + count][closes[piece : piece + count]] - token
-        piece, token = piece + count, stop
+    for parts in cuts:
+        out, ends, at = [], [], 0
+        for added in [*parts[1::2], None]:
+            count = next(counts)
+            stop = int(done[piece + count - 1]) if count else token
+            out += tokens[token:stop].tobytes(), end if added is None else encoder.added[added]
+            ends.append(done[piece : piece + count][closes[piece : piece + count]] - token + at)
+            at += stop - token + 1
+            piece, token = piece + count, stop
+        yield b"".join(out), ends[0] if len(ends) == 1 else np.concatenate(ends)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rule: PackingRule = PackingRule()) -> DataFrame:

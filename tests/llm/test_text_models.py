@@ -221,6 +221,25 @@ def test_packing(spark):
     assert odd.count() == 3 and packing.pack_documents(frame(spark, []), file).count() == 0
 
 
+def test_packing_matches_added_tokens(spark):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(file)
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x", f"One. Two!{end}Three.  {end}\n don't", f"<|endoftext{end}|> <|ENDOFTEXT|>", f"it{end}'s", f"'{end}s x{end}", "plain. text", "", f"Sentence. {end} " * 900]
+    out = collections.defaultdict(list)
+    for r in packing.pack_documents(frame(spark, list(enumerate(texts))), file).collect():
+        out[r.doc_id].append(r)
+    encoder = packing.piece_encoder(file)
+    for i, (t, (_, closes)) in enumerate(zip(texts, packing.encode_step(texts, encoder, 0))):
+        ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(out[i], key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids)
+        assert all((r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in own)
+        # Positions of sentence ends count added tokens too.
+        assert all(tk.decode([int(ids[c - 1])])[-1] in ".!?\n" for c in closes)
+    assert 50256 in tk.encode(texts[0]).ids
+
+
 # ---- search ----
 def test_top_k_against_sql(spark, same):
     same(queries.op8_exact_topk(spark, DATA), queries.ORACLES["op8_exact_topk"])
