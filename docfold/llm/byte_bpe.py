@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 from .pretokens import split_texts
 
 HEAD, WORDS, DOC = 0, 1, 2
@@ -96,7 +96,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     encoded as often as a task's cache of 400,000 pieces overflows, else once.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     # Several ranges per partition even out what partitions get.
@@ -198,7 +198,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, id_col: str = "doc_id",
     The table has one row per vocabulary entry.  Null arrays decode to nothing; an unknown id raises.
     """
     spark = encoded.sparkSession
-    small_batches(spark, 256)
+    bounded_batches(spark)
     by_id = sorted((i, t) for t, i in load_ranks(rank_file).items())
     shared = spark.sparkContext.broadcast({i: t for i, t in by_id})
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))

@@ -151,6 +151,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of a bounded number of rows, so long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Every operator asks for the same bounds, so plans that run later aren't changed by other operators.
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes, so long texts can't fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

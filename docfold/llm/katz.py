@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, range_of, ranges_of, unpack, with_blocks
-from .common import ascii_lower, give_back, mix, prefix_hashes, small_batches, span_hashes, text_steps, word_spans
+from .common import ascii_lower, give_back, mix, prefix_hashes, bounded_batches, span_hashes, text_steps, word_spans
 
 #: Counts up to this are discounted.
 TOP = 5
@@ -103,7 +103,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     ranges = ranges_of(spark)
     rows, n_blocks = with_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "doc_id", "text", block_bytes, ("train",))
     by_block = rows.groupBy("block")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, small_batches, text_steps
+from .common import sample_ids, bounded_batches, text_steps
 
 ORDER = 3
 #: Bits of one character in a packed key: three code points fit 63 bits.
@@ -124,7 +124,7 @@ def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with null text or language take no part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
     if not langs:
@@ -168,7 +168,7 @@ def identify_language(docs: DataFrame, models: LanguageModels, id_col: str = "do
     best cross-entropy is over the limit; they keep their nearest language.  Ties go to the first language by
     name.  Repeated rows get equal answers; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, mix, prefix_hashes, small_batches, span_hashes, text_steps, word_spans
+from .common import ascii_lower, bounded_batches, materialize, mix, prefix_hashes, span_hashes, text_steps, word_spans
 from .graph import connected_components
 
 BINS = 128
@@ -89,24 +89,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, bands: int = 25, band_width: int = 5, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, bands: int = 25, band_width: int = 5, block: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
     Links join texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, confirmed on the
     full sets; the component is the smallest id reachable by links.  25 bands of 5 coordinates miss a pair at
-    0.85 with probability 4e-7, at 0.8 with 5e-5.
+    0.85 with probability 4e-7, at 0.8 with 5e-5; nothing else is left to chance.
 
     Equal sets (by a 128-bit hash) form a class, and only one row per class is compared.  Within a bucket every
-    class is first compared with two hubs; then, where a bucket still spans several components, all its pairs
-    across components are estimated from sketches in blocks, and those that may reach the threshold (five
-    standard deviations allowed for) are confirmed too.  So buckets of any size need no cap, and a pair that
-    the components already join is never formed.
+    class is first compared with two hubs; where a bucket still spans several components, its members outside
+    the largest one are compared with all others in blocks of ``block``, on full sets, and only links that join
+    two components of the task are given out (see :func:`across_components`).
 
-    Null and empty texts have no shingles and link with nothing.  Rows that repeat an id are one document.
-    Null ids are never linked and keep a null component.  An empty table gives no rows; other columns are ignored.
+    Null and empty texts have no shingles and link with nothing.  Rows that repeat an id are one document: its
+    texts are all compared, and all its rows have one component.  Null ids are never linked and keep a null
+    component.  An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 128)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -115,133 +114,211 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for lo, hi, data, offsets in text_steps(b.column(1)):
                 sh, at = shingle_sets(data, offsets, shingle)
                 n = np.bincount(at, minlength=hi - lo)
-                s = sketches(sh, at, hi - lo)
-                sums = []
-                for salt in (1, 2):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(sh + np.uint64(salt)), dtype=np.uint64)])
-                    end = np.cumsum(n)
-                    sums.append((total[end] - total[end - n]).view(np.int64))
-                short = (s & np.uint64(0xFFFF)).astype("<u2")
-                keys = band_keys(s, bands, band_width).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
-                )
-
-    told = materialize(rows.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"))
-    usable = told.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node")))
-    nodes = told.join(classes.select(F.col("node").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "sketch", "n_shingles")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    # Buckets of several classes, with two hubs: the smallest id and the smallest hash of an id.
-    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.min(F.xxhash64("node")).alias("hub_hash")).filter("size > 1")
-    buckets = materialize(keyed.join(hubs, "key"))
-    seen = buckets.select("node").distinct()
-    # Texts of the rows that any pair can name, gathered once.
-    texts = materialize(rows.join(seen.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+                keys = band_keys(sketches(sh, at, hi - lo), bands, band_width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), set_hashes(sh, n), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in text_steps(b.column(1)):
+                sh, at = shingle_sets(data, offsets, shingle)
+                n = np.bincount(at, minlength=hi - lo)
+                cut = np.concatenate([[0], np.cumsum(n)]).tolist()
+                yield pa.RecordBatch.from_arrays([set_hashes(sh, n), pa.array([sh[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["node", "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets: list[list[np.ndarray]] = []
-            for c in (2, 3):
-                own = []
-                for lo, hi, data, offsets in text_steps(b.column(c)):
-                    sh, at = shingle_sets(data, offsets, shingle)
-                    own += np.split(sh, np.searchsorted(at, np.arange(1, hi - lo)))
-                sets.append(own)
-            hit = pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(hit)
+            hit = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        whole = first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return whole.select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {id_type}, b {id_type}")
+    # A class is named by the 128-bit hash of its set.
+    told = materialize(rows.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node binary, bands array<long>"))
+    usable = told.filter("n_shingles > 0 and doc_id is not null")
+    classes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+    keyed = classes.select("node", "least", "n_shingles", F.explode("bands").alias("key"))
+    # Buckets of several classes, with two hubs: the smallest and the largest name.
+    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.max("node").alias("other_hub")).filter("size > 1")
+    buckets = materialize(keyed.join(hubs, "key"))
+    # Sets of all that any pair can name, gathered once.
+    named = rows.join(buckets.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    full = materialize(named.mapInArrow(sets, "node binary, shingles binary"))
 
-    tested = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    found = materialize(links(tested))
+    def links(pairs: DataFrame) -> DataFrame:
+        first = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        whole = first.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+        return whole.select("a", "b", "of_a", "of_b").mapInArrow(confirm, "a binary, b binary")
+
+    # An id with several texts links their classes.
+    several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+    shared = usable.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    found = materialize(links(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).unionByName(shared))
     joined = connected_components(found)
     for step in ("hubs", "blocks"):
         # Each bucket's members with their component so far.
         placed = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-        open_ = materialize(placed.join(split, "key").select("key", "node", "component", "size", "hub_hash"))
+        split = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
+        open_ = materialize(placed.join(split, "key").select("key", "node", "component", "other_hub", "n_shingles"))
+        if open_.isEmpty():
+            break
         if step == "hubs":
-            hub = open_.filter(F.xxhash64("node") == F.col("hub_hash")).select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-            pairs = open_.join(hub, "key").filter("component <> of_a").select("a", F.col("node").alias("b")).distinct()
+            hub = open_.filter("node = other_hub").select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
+            more = materialize(links(open_.join(hub, "key").filter("component <> of_a").select("a", F.col("node").alias("b")).distinct()))
         else:
-            pairs = _across_components(open_, nodes, percent, block, id_type)
-        more = materialize(links(pairs))
+            more = materialize(across_components(open_, full, percent, block))
         if not more.isEmpty():
             found = found.unionByName(more)
             joined = connected_components(found)
-    named = classes.join(joined, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    linked = usable.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    # The smallest id of a component names it.
+    member = classes.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = usable.select("doc_id", "n_shingles", "node").join(member.select("node", "component").join(names, "component").drop("component"), "node").select("doc_id", "n_shingles", "component_id")
     alone = told.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across_components(open_: DataFrame, nodes: DataFrame, percent: int, block: int, id_type: str) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches don't rule the threshold out.
+def set_hashes(shingles: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """128-bit hash of each row's set: two sums of mixed shingles, and its size is mixed in."""
+    end = np.cumsum(sizes)
+    out = np.zeros((len(sizes), 2), np.uint64)
+    for k in (0, 1):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingles + np.uint64(k + 1)), dtype=np.uint64)])
+        out[:, k] = mix((total[end] - total[end - sizes]) ^ (sizes.astype(np.uint64) << np.uint64(40 * k)))
+    return pa.array([x.tobytes() for x in out], pa.binary())
+
 
-    Members outside a bucket's largest component are dealt into parts.  A part is compared with itself, with
-    higher parts, and with the largest component, whose members come in slices: tasks stay bounded, and a large
-    component with a few strangers costs one comparison per member and stranger.
+class Home:
+    """Members of one task that all others are compared with, and the components that links join so far.
+
+    Sets at or above the threshold share one of their first ``n - ceil(n * percent / 100) + 1`` shingles in any
+    common order, so only members that share one of those are looked at; rare shingles come first.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.percent = percent
+        self.sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.known, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        #: Place of each shingle in the common order.
+        self.place = np.empty(len(count), np.int64)
+        self.place[np.argsort(count, kind="stable")] = np.arange(len(count))
+        self.whole = self._lists(token, owner)
+        at = np.lexsort((self.place[token], owner))
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        lead = at[nth < np.repeat(self.lead(self.sizes), self.sizes)]
+        self.leads = self._lists(token[lead], owner[lead])
+
+    def lead(self, n: np.ndarray | int) -> np.ndarray | int:
+        return n - -(-n * self.percent // 100) + 1
+
+    def _lists(self, token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(token, kind="stable")
+        return np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(self.known)))]), owner[order]
+
+    @staticmethod
+    def _of(lists: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        begin, owners = lists
+        n = begin[tokens + 1] - begin[tokens]
+        return owners[np.repeat(begin[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def similar_to(self, one: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Members, of those marked in ``open_``, whose similarity with ``one`` reaches the threshold."""
+        at = np.minimum(np.searchsorted(self.known, one), len(self.known) - 1)
+        tokens = at[self.known[at] == one]
+        # Shingles that no member has come before all others.
+        few = int(self.lead(len(one))) - (len(one) - len(tokens))
+        if few <= 0:
+            return np.zeros(0, np.int64)
+        first = tokens if few >= len(tokens) else tokens[np.argpartition(self.place[tokens], few - 1)[:few]]
+        likely = np.unique(self._of(self.leads, first))
+        likely = likely[open_[likely] & (100 * np.minimum(self.sizes[likely], len(one)) >= self.percent * np.maximum(self.sizes[likely], len(one)))]
+        if not len(likely):
+            return likely
+        both = np.bincount(self._of(self.whole, tokens), minlength=len(self.sizes))[likely]
+        return likely[100 * both >= self.percent * (self.sizes[likely] + len(one) - both)]
+
+
+class Forest:
+    """Components that links of one task join; a component is any hashable name."""
+
+    def __init__(self) -> None:
+        self.above: dict = {}
+
+    def root(self, x):
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = self.above[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.above[y] = x
+        return x != y
+
+
+def across_components(open_: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """``a, b``: confirmed links that join different components of one bucket.
+
+    Members outside a bucket's largest component are dealt into parts of about ``block`` members and 2**20
+    shingles.  A part is compared with itself, with higher parts, and with the largest component, whose members
+    come in slices: a task holds one part and streams the others past it.  It gives out only links that join
+    two components which its earlier links hadn't joined, so at most one row per member.
     """
     # Buckets with the same members are one.
     same = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("x"), F.sum(F.xxhash64(F.lit(1), "node") % (1 << 40)).alias("y"))
-    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    largest = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"))
-    plan = one.join(largest, "key").select("key", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("parts"), F.ceil(F.col("top.m") / (16 * block)).cast("int").alias("slices"))
-    members = open_.join(plan, "key").join(nodes.select("node", "sketch", "n_shingles"), "node").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    what = ["node", "component", "sketch", "n_shingles"]
+    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    sums = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    largest = sums.groupBy("key").agg(F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    pieces = lambda m, s, k: F.greatest(F.ceil(m / (k * block)), F.ceil(s / (k << 20))).cast("int")
+    plan = one.join(largest, "key").select("key", F.col("top.component").alias("main"), pieces(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"), 1).alias("parts"), pieces(F.col("top.m"), F.col("top.s"), 16).alias("slices"))
+    members = open_.join(plan, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    what = ["node", "component"]
     below = F.when(F.col("component") == F.col("main"), F.col("parts")).otherwise(F.col("home"))
     met = members.select("key", F.explode(F.when(below > 0, F.sequence(F.lit(0), below - 1))).alias("part"), F.pmod(F.xxhash64(F.lit(9), "node"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), *what)
     own = members.filter("component <> main").select("key", F.col("home").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), *what)
-    need = percent / 100
-    least = BINS * (need - 5 * (need * (1 - need) / BINS) ** 0.5)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, home = None, [], None
-
-        def pairs(left: pa.RecordBatch, right: pa.RecordBatch, within: bool) -> pa.RecordBatch:
-            s, t = (np.frombuffer(b"".join(x.column("sketch").to_pylist()), "<u2").reshape(-1, BINS) for x in (left, right))
-            (c, n), (d, m) = ((np.array(x.column("component").to_pylist()), np.array(x.column("n_shingles"))) for x in (left, right))
-            i_, j_ = [np.zeros(0, int)], [np.zeros(0, int)]
-            for i in range(len(s)):
-                ok = np.flatnonzero((d != c[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (np.arange(len(t)) > i if within else True))
-                ok = ok[(t[ok] == s[i]).sum(1) >= least]
-                i_.append(np.full(len(ok), i))
-                j_.append(ok)
-            return pa.RecordBatch.from_arrays([left.column("node").take(pa.array(np.concatenate(i_))), right.column("node").take(pa.array(np.concatenate(j_)))], ["a", "b"])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            """The part's own members are all there."""
+        at, role, home, names, components, forest = None, 0, None, [], [], Forest()
+        held: list[np.ndarray] = []
+
+        def close() -> list[tuple[bytes, bytes]]:
+            """The part's own members are all there: compare them with each other."""
             nonlocal home
-            if home is None and held:
-                home = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                if at[2] == 0 and home.num_rows > 1:
-                    yield pairs(home, home, True)
+            home = Home(held, percent)
+            out = []
+            if at[2] == 0:
+                for k in range(1, len(held)):
+                    out += meet(names[k], components[k], held[k], np.arange(len(held)) < k)
+            return out
+
+        def meet(node: bytes, component: bytes, one: np.ndarray, open_: np.ndarray) -> list[tuple[bytes, bytes]]:
+            return [(names[k], node) for k in home.similar_to(one, open_).tolist() if forest.join(components[k], component)]
+
+        def table(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            keys = np.stack([np.array(b.column(k)).astype(np.int64) for k in ("key", "part", "slice", "role")], 1)
-            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cut, cut[1:]):
-                if lo == hi:
-                    continue
-                if tuple(keys[lo, :3]) != at:
-                    yield from close()
-                    at, held, home = tuple(keys[lo, :3]), [], None
-                part = b.slice(lo, hi - lo)
-                if keys[lo, 3] == 0:
-                    held.append(part)
-                    continue
-                yield from close()
-                if home is not None:
-                    yield pairs(home, part, False)
-        yield from close()
+            out: list[tuple[bytes, bytes]] = []
+            for key, part, slice_, role, node, component, shingles in zip(*(b.column(k).to_pylist() for k in ("key", "part", "slice", "role", "node", "component", "shingles"))):
+                if (key, part, slice_) != at:
+                    if home is None and held:
+                        out += close()
+                    at, home, names, components, held, forest = (key, part, slice_), None, [], [], [], Forest()
+                one = np.frombuffer(shingles, np.uint64)
+                if role == 0:
+                    names.append(node)
+                    components.append(component)
+                    held.append(one)
+                elif held:
+                    if home is None:
+                        out += close()
+                    out += meet(node, component, one, np.ones(len(held), bool))
+            yield table(out)
+        if home is None and held:
+            yield table(close())
 
     order = ["key", "part", "slice"]
-    return met.unionByName(own).repartition(*order).sortWithinPartitions(*order, "role").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+    dealt = met.unionByName(own).join(full, "node").repartition(*order).sortWithinPartitions(*order, "role", "node")
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_steps
+from .common import bounded_batches, text_steps
 from .pretokens import split_texts
 
 
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     Null text counts as empty and gives the end id alone.  Repeated rows are packed as often as they occur
     (ordered by text); null ids come first.  An empty table gives no rows.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix, prefix_hashes, sample_ids, small_batches, span_hashes, text_steps, word_spans
+from .common import ascii_lower, mix, prefix_hashes, sample_ids, bounded_batches, span_hashes, text_steps, word_spans
 
 CLASSES = 40
 PAIRS = CLASSES * CLASSES
@@ -123,7 +123,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Terms are counted in tasks; the driver gets ``2 * n_per_class`` vectors of TERMS floats at most (45 MB at
     the defaults), in half precision.  Rows without label or text take no part; without rows every score is 0.5.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     some = None
     for label in (0, 1):
         part = sample_ids(labels.filter(F.col(label_col) == label), id_col, n_per_class).select(F.col(id_col).alias("doc_id"), F.lit(label).alias("label"))
@@ -160,7 +160,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     Null and empty texts score 0; repeated rows score alike; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import pack, range_of, ranges_of, unpack, with_blocks
-from .common import give_back, mix, powers, prefix_hashes, small_batches, span_hashes
+from .common import give_back, mix, powers, prefix_hashes, bounded_batches, span_hashes
 
 GRAM = 32
 #: Of an anchor's different runs in one block, so many are asked about; the others go to the sort.
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     ranges = ranges_of(spark)
     rows, _ = with_blocks(docs, id_col, text_col, block_bytes, carry)
     carried = rows.schema["carried"].dataType

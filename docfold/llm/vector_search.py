@@ -134,7 +134,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
     dealt = base.unionByName(sent).repartition(min(blocks, 4096), "block").sortWithinPartitions("block", "kind", "part")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    bounded_batches(spark)
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docfold.llm import queries
 from docfold.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 from docfold.llm.graph import connected_components
-from docfold.llm.minhash import drop_near_duplicates, near_duplicates, shingle_sets, sketches
+from docfold.llm.minhash import across_components, drop_near_duplicates, near_duplicates, shingle_sets, sketches
 from docfold.llm.suffix_dedup import drop_repeats, remove_repeats, repeated_suffixes
 
 DOC = "doc_id long, text string, lang string, h string, keep_id string"
@@ -86,7 +86,7 @@ def brute_components(rows, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("percent, block", [(85, 64), (80, 2)])
+@pytest.mark.parametrize("percent, block", [(85, 64), (80, 2), (85, 5)])
 def test_near_against_brute_force(spark, percent, block):
     g = random.Random(3)
     base = [g.choice("abcdefghij") * g.randint(1, 3) + str(g.randint(0, 60)) for _ in range(120)]
@@ -108,6 +108,49 @@ def test_near_odd_rows(spark):
     assert sorted(r.doc_id for r in drop_near_duplicates(frame(spark, [(1, "a b"), (2, "a b"), (3, None)])).collect()) == [1, 3]
 
 
+def test_near_copies_below_the_threshold_stay_linear(spark):
+    """2,000 copies of one text whose similarities lie around 0.8: no link, and no list of their pairs."""
+    g = random.Random(9)
+    base = [f"w{k}" for k in range(250)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for at in g.sample(range(0, 250, 5), 6):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((5000, rows[7][1] + " more"))  # a copy of one of them
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), percent=85).collect()}
+    assert got == {i: i for i in range(2000)} | {5000: 7}
+
+
+def test_compare_gives_a_forest(spark):
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    base = np.unique(g.integers(1, 1 << 62, 300, dtype=np.uint64))
+    nodes = []
+    for i in range(300):  # 200 strangers that all link with each other, 100 that link with none
+        own = g.integers(1, 1 << 62, 12 if i < 200 else 60, dtype=np.uint64)
+        nodes.append((b"%016d" % i, np.sort(np.concatenate([base[len(own) :], own]))))
+    full = spark.createDataFrame([(n, s.tobytes()) for n, s in nodes], "node binary, shingles binary")
+    open_ = spark.createDataFrame([(1, n, n, len(s)) for n, s in nodes], "key long, node binary, component binary, n_shingles int")
+    for block in (1024, 50):
+        edges = [(bytes(r.a), bytes(r.b)) for r in across_components(open_, full, 85, block).collect()]
+        parts = -(-299 // block)
+        assert 199 <= len(edges) <= 300 * parts
+        assert {x for e in edges for x in e} == {n for n, _ in nodes[:200]}
+        joined = {bytes(r.component) for r in connected_components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+        assert len(joined) == 1
+
+
+def test_near_ids_with_several_texts(spark):
+    """An id with two texts is one document, which links what either text is like."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (2, a + " end"), (9, b + " end"), (1, c), (7, c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (7, 1, False), (9, 2, False)]
+
+
 def test_near_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_minhash(spark, DATA).collect()}
