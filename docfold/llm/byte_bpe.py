@@ -78,9 +78,10 @@ def blocks(batches: Iterator[pa.RecordBatch], ranges: int, block_bytes: int) ->
     size = 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            # Empty texts take room too.
             ids.append(i)
             texts.append(t or "")
-            size += len(texts[-1])
+            size += len(texts[-1]) + 64
             if size >= block_bytes:
                 yield Block(ids, texts, ranges)
                 ids, texts, size = [], [], 0
@@ -101,7 +102,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     id_type = rows.schema["doc_id"].dataType.simpleString()
     # Several ranges per partition even out what partitions get.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(8000, 4 * partitions)
+    ranges = 4 * partitions
 
     def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, ranges, block_bytes):
