@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text is a bag of byte-class bigrams and trigrams and of binned measures of repetition, case and line
-shape.  Terms are weighted and projected by a truncated SVD of a bounded labelled sample; the sample's vectors
+A text is a bag of hashed words, of byte-class bigrams and trigrams, and of binned measures of repetition, case
+and line shape.  Terms are weighted and projected by a truncated SVD of a bounded labelled sample; the sample's vectors
 are broadcast, every document takes exact cosine products with all of them in blocks, and its nearest
 neighbours vote for their labels by similarity.
 """
@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix, prefix_hashes, sample_ids, bounded_batches, span_hashes, text_steps, word_spans
+from .common import ascii_lower, bounded_batches, mix, prefix_hashes, sample_ids, span_hashes, text_steps, word_spans
 
 CLASSES = 40
 PAIRS = CLASSES * CLASSES
 TRIPLES = 2048
+WORDS = 4096
 BINS, MEASURES = 24, 8
-TERMS = PAIRS + TRIPLES + BINS * MEASURES
+TERMS = PAIRS + TRIPLES + WORDS + BINS * MEASURES
 #: How much one measure's bin weighs against the text's n-grams.
 MEASURE_WEIGHT = 0.35
 
@@ -62,6 +63,8 @@ def quality_terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, row = word_spans(data, offsets)
     h = mix(span_hashes(prefix_hashes(ascii_lower(data)), starts, ends))
     words = np.bincount(row, minlength=rows)
+    bag = np.bincount(row * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=rows * WORDS).reshape(rows, WORDS)
+    out[:, PAIRS + TRIPLES : PAIRS + TRIPLES + WORDS] = np.sqrt(bag / np.maximum(words, 1)[:, None])
     order = np.lexsort((h, row))
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -84,7 +87,7 @@ def quality_terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ]
     for k, x in enumerate(measures):
         b = np.minimum((np.clip(x, 0, 1) * BINS).astype(int), BINS - 1)
-        base = PAIRS + TRIPLES + k * BINS
+        base = PAIRS + TRIPLES + WORDS + k * BINS
         for d, share in ((-1, 0.5), (0, 1.0), (1, 0.5)):
             out[np.arange(rows), base + np.clip(b + d, 0, BINS - 1)] += MEASURE_WEIGHT * share
     out[size == 0] = 0
@@ -120,8 +123,8 @@ class QualityModel:
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_per_class: int = 1500, dims: int = 48, neighbours: int = 15) -> QualityModel:
     """Fits on at most ``n_per_class`` labelled rows of each class, chosen by hash order; whole texts.
 
-    Terms are counted in tasks; the driver gets ``2 * n_per_class`` vectors of TERMS floats at most (45 MB at
-    the defaults), in half precision.  Rows without label or text take no part; without rows every score is 0.5.
+    Terms are counted in tasks; the driver gets ``2 * n_per_class`` vectors of TERMS floats at most (48 MB at
+    the defaults, in half precision).  Rows without label or text take no part; without rows every score is 0.5.
     """
     bounded_batches(docs.sparkSession)
     some = None
