@@ -7,20 +7,23 @@ length-normalised cross-entropy; texts that fit no language are rejected by a ca
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_ids, bounded_batches, text_steps
+from .common import bounded_batches, materialize, text_steps
 
 ORDER = 3
 #: Bits of one character in a packed key: three code points fit 63 bits.
 BITS = 21
 DISCOUNT = 0.75
+#: Rows that a language needs for a limit of its own.
+LEAST_HELD = 20
 
 
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +83,9 @@ class LanguageModels:
                 at = np.searchsorted(seen, keys)
                 p[at, j] += (c - DISCOUNT) / tot[inv]
         self.keys[1], self.keys[2], self.keys[3] = seen1, seen2, seen3
-        self.prob[1], self.prob[2], self.prob[3] = p1, p2, p3
-        self.left[1], self.left[2] = l1, l2
-        self.limit = np.inf
+        self.prob[1], self.prob[2], self.prob[3] = (x.astype(np.float32) for x in (p1, p2, p3))
+        self.left[1], self.left[2] = (x.astype(np.float32) for x in (l1, l2))
+        self.limits = np.full(len(langs), np.inf)
 
     def _find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have = self.keys[order]
@@ -116,46 +119,59 @@ class LanguageModels:
         return np.stack([np.bincount(row, weights=bits[inv, j], minlength=len(texts)) for j in range(len(self.langs))], 1) / np.maximum(n, 1)[:, None]
 
 
-def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_per_lang: int = 400, max_langs: int = 64, reject: float = 0.999) -> LanguageModels:
-    """Fits on at most ``n_per_lang`` rows of each of at most ``max_langs`` languages (the most frequent).
+def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_per_lang: int = 500, reject: float = 0.99) -> LanguageModels:
+    """Fits on at most ``n_per_lang`` rows of every language that occurs; a model's size grows with the languages.
 
-    Rows are chosen by hash order; their whole texts are counted in tasks and only summed counts reach the
-    driver.  ``reject`` is the share of training rows whose cross-entropy stays below the rejection limit.
-    Rows with null text or language take no part.
+    Rows are chosen by the order of a hash of their ids; their whole texts are counted in tasks and only summed
+    counts reach the driver.  The rejection is calibrated on texts that a model hasn't seen: each half of the
+    sample (by a hash of the text) is measured by models of the other half, and a language's limit is the
+    cross-entropy that the share ``reject`` of its rows stays below.  A language with fewer than LEAST_HELD rows
+    takes the limit of all rows together.  Rows with null text or language take no part.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     if not langs:
         raise ValueError("no row with text and language to learn from")
-    picked = None
-    for lang in langs:
-        part = sample_ids(rows.filter(F.col("lang") == lang), "doc_id", n_per_lang)
-        picked = part if picked is None else picked.unionByName(part)
-    sample = rows.join(F.broadcast(picked.distinct()), "doc_id").filter(F.col("lang").isin(langs)).select("lang", "text")
+    # Twice the share that is needed passes a filter by hash, so that no language is ranked as a whole.
+    rate = spark.createDataFrame([(x, 2 * n_per_lang / n) for x, n in sizes.items()], "lang string, rate double")
+    at = F.xxhash64(F.lit(17), F.col("doc_id"))
+    likely = rows.join(F.broadcast(rate), "lang").filter(at / F.lit(2.0**64) + 0.5 < F.col("rate"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(at, "doc_id", F.xxhash64("text")))
+    half = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int")
+    sample = materialize(likely.withColumn("nth", nth).filter(F.col("nth") <= n_per_lang).select("lang", "text", half.alias("half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = np.array(b.column("lang").to_pylist(), object)
-            for one in set(lang):
-                texts = [t for t, x in zip(b.column("text").to_pylist(), lang) if x == one]
+            kinds = list(zip(b.column("lang").to_pylist(), b.column("half").to_pylist()))
+            for one in set(kinds):
+                texts = [t for t, x in zip(b.column("text").to_pylist(), kinds) if x == one]
                 keys, n = np.unique(grams(*characters(texts))[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([one] * len(keys), pa.string()), "key": keys.astype(np.int64), "n": n.astype(np.int64)})
-
-    got = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-    counts = [dict(zip(g["key"], g["n"])) for g in (got[got["lang"] == x] for x in langs)]
-    models = LanguageModels(langs, counts)
-    # The limit comes from texts that the models have seen, with a margin for those they haven't.
-    best = sample.mapInArrow(_entropies(spark.sparkContext.broadcast(models)), "h double").selectExpr(f"percentile_approx(h, {reject}) q").first().q
-    models.limit = 1.5 * best if best else np.inf
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([one[0]] * len(keys), pa.string()), "half": pa.array([one[1]] * len(keys), pa.int32()), "key": keys.astype(np.int64), "n": n.astype(np.int64)})
+
+    got = sample.mapInArrow(count, "lang string, half int, key long, n long").groupBy("lang", "half", "key").agg(F.sum("n").alias("n")).toPandas()
+    by = {k: dict(zip(g["key"], g["n"])) for k, g in got.groupby(["lang", "half"])}
+    halves = [LanguageModels(langs, [by.get((x, k), {}) for x in langs]) for k in (1, 0)]
+    every = [Counter(by.get((x, 0), {})) + Counter(by.get((x, 1), {})) for x in langs]
+    models = LanguageModels(langs, every)
+    unseen = materialize(sample.mapInArrow(_entropies(spark.sparkContext.broadcast(halves)), "lang string, h double"))
+    limit = F.percentile("h", F.lit(reject)).alias("q")
+    limits = {r.lang: r.q for r in unseen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), limit).filter(F.col("n") >= LEAST_HELD).collect()}
+    overall = unseen.agg(limit).first().q
+    models.limits = np.array([limits.get(x, np.inf if overall is None else overall) for x in langs])
     return models
 
 
-def _entropies(shared):
+def _entropies(halves):
+    """Best cross-entropy of each row by the models of the half that it isn't in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"h": shared.value.cross_entropy(b.column("text").to_pylist()).min(1)})
+            for k, models in enumerate(halves.value):
+                own = b.filter(pc.equal(b.column("half"), k))
+                yield pa.RecordBatch.from_pydict({"lang": own.column("lang"), "h": models.cross_entropy(own.column("text").to_pylist()).min(1)})
 
     return run
 
@@ -165,7 +181,7 @@ def identify_language(docs: DataFrame, models: LanguageModels, id_col: str = "do
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter; ``score`` is the share of
     the chosen language when cross-entropies over up to 50 characters compete.  ``rejected`` marks texts whose
-    best cross-entropy is over the limit; they keep their nearest language.  Ties go to the first language by
+    best cross-entropy is over the limit of that language; they keep their nearest language.  Ties go to the first language by
     name.  Repeated rows get equal answers; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -188,7 +204,7 @@ def identify_language(docs: DataFrame, models: LanguageModels, id_col: str = "do
             names = np.array(m.langs, object)[best]
             names[~letters] = "und"
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(low), pa.array(letters & (low > m.limit))],
+                [b.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(low), pa.array(letters & (low > m.limits[best]))],
                 ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
