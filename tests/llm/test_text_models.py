@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from docfold.llm import katz, langid, packing, quality, queries, toxicity
 from docfold.llm.byte_bpe import decode_documents, encode_documents, load_ranks
 from docfold.llm.pretokens import pieces
-from docfold.llm.vector_search import ApproximationFile, exact_top_k
+from docfold.llm.vector_search import ApproximationFile, exact_top_k, smallest_of_each
 
 DOC = "doc_id long, text string, lang string, score double, label int"
 
@@ -65,6 +65,40 @@ def test_quality(spark, labelled):
     assert {r.score for r in quality.score_quality(docs.limit(3), none).collect()} == {0.5}
 
 
+def test_quality_is_a_plain_neighbour_vote(spark, labelled):
+    """Scores equal a vote that takes one document and one labelled vector at a time."""
+    docs, labels = labelled
+    model = quality.train_quality(docs, labels.filter("doc_id % 3 <> 0"), dims=12)
+    some = docs.filter("doc_id % 40 = 0").collect()
+    got = {r.doc_id: r.score for r in quality.score_quality(docs.filter("doc_id % 40 = 0"), model).collect()}
+    for r in some:
+        body = r.text.encode()
+        terms = quality.quality_terms(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]
+        mine = [float(sum((terms - model.mean) * axis)) for axis in model.axes.T]
+        cos = []
+        for other in model.vectors.tolist():
+            dot = sum(a * b for a, b in zip(mine, other))
+            cos.append(dot / math.sqrt(sum(a * a for a in mine)) / math.sqrt(sum(b * b for b in other)))
+        near = sorted(range(len(cos)), key=lambda k: -cos[k])[: model.neighbours]
+        weight = [max(cos[k], 0) ** 8 * model.votes[k] for k in near]
+        assert got[r.doc_id] == pytest.approx(sum(w * model.labels[k] for w, k in zip(weight, near)) / sum(weight), abs=1e-3)
+
+
+def test_quality_can_learn_words(spark):
+    """Two classes whose texts differ in nothing but two words of one shape."""
+    g = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = [g.choice(["some", "more", "text", "with", "word", "here"]) for _ in range(30)]
+        for at in g.sample(range(30), 8):
+            w[at] = ("fine", "junk")[i % 2]
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    model = quality.train_quality(docs, labels.filter("doc_id < 200"))
+    assert accuracy(quality.score_quality(docs, model), labels.filter("doc_id >= 200"), "quality", 0.5) > 0.95
+
+
 def test_toxicity(spark, labelled):
     docs, labels = labelled
     train = labels.filter("doc_id % 3 <> 0")
@@ -102,6 +136,80 @@ def test_each_language_is_calibrated(spark):
         assert net.calibration_rows["bb"][0] == 40 and net.calibration_rows["bb"][1] >= 200
 
 
+def test_long_texts_are_learned_from(spark):
+    """Toxic rows that are all far longer than other texts train the net and are found; a bound in bytes holds."""
+    g = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    rows, marks = [], []
+    for i in range(160):
+        w = [g.choice(words) for _ in range(4000 if i % 4 == 0 else g.randint(20, 60))]
+        if i % 4 == 0:
+            for at in g.sample(range(4000), 40):
+                w[at] = f"vile{at % 30}"
+        rows.append((i, " ".join(w), "aa"))
+        marks.append((i, int(i % 4 == 0)))
+    assert min(len(t) for i, t, _ in rows if i % 4 == 0) > 12_000
+    rows += [(1000 + i, " ".join(g.choice(words) for _ in range(4000)), "aa") for i in range(40)]
+    marks += [(1000 + i, 0) for i in range(40)]
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    net = toxicity.train_toxicity(docs, labels, buckets=1 << 12)
+    assert net.calibration_rows["aa"] == (40, 160)
+    assert accuracy(toxicity.score_toxicity(docs, net), labels, "toxic", 0.5) > 0.95
+    few = toxicity.train_toxicity(docs, labels, buckets=1 << 12, max_train_bytes=200_000, epochs=1)
+    assert len(toxicity.score_toxicity(docs, few).collect()) == 200
+
+
+def plain_pooled(net, words):
+    """Best response of each filter over one row's words, one window at a time."""
+    out = []
+    for w in toxicity.WIDTHS:
+        windows = [sum(net.emb[words[at + j]].sum(0) @ net.kernels[w, j] for j in range(w) if at + j < len(words)) for at in range(len(words))]
+        out.append(np.max(windows, axis=0))
+    return np.concatenate(out)
+
+
+def test_convolution_is_the_plain_one():
+    net, g = toxicity.Net(64, 4, 3, 1), np.random.default_rng(0)
+    for n in (1, 2, 3, 17):
+        ids = g.integers(0, 64, (n, 3)).astype(np.int32)
+        want = plain_pooled(net, ids)
+        for tables in (None, net.tables()):
+            assert np.allclose(net.pooled(ids, np.array([n]), tables)[0][0], want, atol=1e-5)
+
+
+def test_gradients_of_the_net():
+    """One step of ``fit`` moves every parameter against the numeric gradient of the loss."""
+    g = np.random.default_rng(5)
+    ids = [g.integers(0, 16, (n, 3)).astype(np.int32) for n in (3, 5, 2, 7)]
+    y = np.array([1, 0, 0, 1], np.float32)
+    net = toxicity.Net(16, 3, 2, 4)
+    for name in ("emb", "out", "bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.kernels = {k: v.astype(np.float64) for k, v in net.kernels.items()}
+    net.bias += 0.3  # away from the corners of max(x, 0)
+
+    def loss():
+        logit = np.array([np.maximum(plain_pooled(net, x) + net.bias, 0) @ net.out + net.out_bias for x in ids])
+        return float(np.mean(np.log1p(np.exp(np.where(y == 1, -logit, logit))))) + 0.5e-4 * float(net.out @ net.out)
+
+    names = [net.emb, net.out, net.bias, *net.kernels.values()]
+    numeric = []
+    for x in names:
+        d = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            x[at] += 1e-5
+            up = loss()
+            x[at] -= 2e-5
+            d[at] = (up - loss()) / 2e-5
+            x[at] += 1e-5
+        numeric.append(d)
+    before = [x.copy() for x in names]
+    net.fit(ids, y, 1, 1e-3, 0, most_steps=1)
+    for x, start, d in zip([net.emb, net.out, net.bias, *net.kernels.values()], before, numeric):
+        # Adagrad's first step from moments of 1e-3.
+        assert np.allclose(start - x, 1e-3 * d / np.sqrt(1e-3 + d * d), atol=2e-7)
+
+
 def test_convolution_sees_no_other_row():
     net = toxicity.Net(64, 4, 3, 1)
     g = np.random.default_rng(0)
@@ -133,6 +241,55 @@ def test_language(spark):
         langid.train_langid(train.limit(0))
 
 
+def test_seventy_languages(spark):
+    """Every language that occurs can be predicted, the rarest too."""
+    g = random.Random(12)
+    alphabets = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(30)] for k in range(70)}
+    rows = [(1000 * k + i, "".join(g.choice(alphabets[x]) for _ in range(60)), x) for k, x in enumerate(alphabets) for i in range(2 + k % 5)]
+    models = langid.train_langid(frame(spark, rows))
+    assert len(models.langs) == 70
+    fresh = [(k, "".join(g.choice(alphabets[x]) for _ in range(40)), x) for k, x in enumerate(alphabets)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify_language(frame(spark, fresh), models).collect()}
+    assert got == {k: x for k, _, x in fresh}
+
+
+def plain_kneser_ney(texts, d=langid.DISCOUNT):
+    """Interpolated Kneser-Ney over characters from the formulas, with dictionaries."""
+    tri = collections.Counter(t[k : k + 3] for t in ("  " + x.lower() for x in texts) for k in range(len(t) - 2))
+    bi = collections.Counter(t[1:] for t in tri)
+    uni = collections.Counter(t[1:] for t in bi)
+    letters = {c for t in tri for c in t}
+
+    def p(context, c):
+        if not context:
+            total = sum(uni.values())
+            return max(uni[c] - d, 0) / total + d * len(uni) / total / (len(letters) + 1)
+        counts = tri if len(context) == 2 else bi
+        own = {x: n for x, n in counts.items() if x[:-1] == context}
+        if not own:
+            return p(context[1:], c)
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - d, 0) / total + d * len(own) / total * p(context[1:], c)
+
+    return lambda text: -sum(math.log10(p(t[k : k + 2], t[k + 2])) for t in ["  " + text.lower()] for k in range(len(text))) / len(text)
+
+
+def test_language_models_are_kneser_ney():
+    teach = {"a": ["abracadabra", "banana band", "a cab"], "b": ["oh no", "moon photo", "boot on"]}
+    counts = [dict(collections.Counter(langid.grams(*langid.characters(t))[0].tolist())) for t in teach.values()]
+    alone = langid.LanguageModels(["a"], counts[:1])
+    for text in ("abra", "Band cab", "banana", "nab a"):
+        assert alone.cross_entropy([text])[0, 0] == pytest.approx(plain_kneser_ney(teach["a"])(text), rel=1e-4)
+
+
+def test_language_query(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op6_langid(spark, DATA).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) > 0.95 * len(held)
+
+
 def test_language_models_are_normalised():
     m = langid.LanguageModels(["a"], [dict(collections.Counter(langid.grams(*langid.characters(["abracadabra", "banana band"]))[0].tolist()))])
     letters = sorted({int(k) for k in m.keys[1]})
@@ -260,12 +417,31 @@ def test_bounds_hold_and_stop_early():
     v = g.integers(-1000, 1000, (3000, 16)).astype(float)
     q = g.integers(-1000, 1000, (5, 16)).astype(float)
     f = ApproximationFile(np.arange(3000), v)
-    bound = np.concatenate([b for _, b in f.bounds(q)], 1)
-    assert (bound >= q @ f.vectors.T).all()
+    assert (f.bounds(q) >= q @ f.vectors.T).all() and f.cells.dtype == np.uint8
     ids, found, score = f.search(np.arange(5) + 9000, q, 10)
     for k in range(5):
         s = q[k] @ f.vectors.T
         assert found[ids == k + 9000].tolist() == np.lexsort((np.arange(3000), -s))[:10].tolist()
+    # Few exact vectors are read: those that the cells can't rule out.
+    assert f.reads < 0.03 * 5 * 3000
+
+
+def test_few_vectors_of_the_table_are_read(spark):
+    v = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, whole = np.array([r.vec_id for r in v]), np.floor(1024 * np.array([r.embedding for r in v], float)).astype(np.int64)
+    f = ApproximationFile(ids, whole)
+    asked = np.flatnonzero(ids % 100 == 0)
+    q, found, score = f.search(ids[asked], whole[asked].astype(float), 10)
+    for k in asked[:20].tolist():
+        s = whole @ whole[k]
+        order = [x for x in np.lexsort((ids, -s)).tolist() if x != k][:10]
+        assert found[q == ids[k]].tolist() == ids[order].tolist() and score[q == ids[k]].tolist() == s[order].tolist()
+    assert f.reads < 0.1 * len(asked) * len(ids)
+
+
+def test_top_k_repeated_ids():
+    ids, vectors = smallest_of_each(np.array([3, 1, 3, 2, 3]), np.array([[5, 1], [0, 0], [5, 0], [1, 1], [6, 0]]))
+    assert dict(zip(ids.tolist(), vectors.tolist())) == {1: [0, 0], 2: [1, 1], 3: [5, 0]}
 
 
 # ---- language model ----
