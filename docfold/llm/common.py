@@ -64,8 +64,8 @@ def _libc():
 _LIBC = _libc()
 
 
-def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a text column into runs of whole rows of about STEP_BYTES.
+def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a text column into runs of whole rows of about ``step`` bytes.
 
     Yields (first row, row after the last, UTF-8 bytes, offsets from 0).  Null counts as empty.
     """
@@ -82,7 +82,7 @@ def text_steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
