@@ -1,13 +1,15 @@
-"""Text functions: ``Column -> Column``, built-in expressions only (but for the two Arrow helpers at the end)."""
+"""Text functions: ``Column -> Column``, built-in expressions, and Arrow helpers where those can't say it."""
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the source rules mean it: ASCII, no-break, and the Unicode blanks.  Java and RE2 both read it.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -61,7 +63,7 @@ def text_problems(c: Column | str) -> Column:
     )
 
 
-#: Entities in the order in which they are decoded.
+# Entities, in the order in which they are decoded.
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 
 
@@ -87,8 +89,11 @@ def clean_book_text(c: Column | str) -> Column:
 
 
 def summarize(c: Column | str, size: int = 150) -> Column:
-    """The text on one line, cut at the last blank within ``size``."""
-    x = collapse_ws(col(c))
+    """The text on one line, cut at the last blank within ``size``.
+
+    Only what can reach the summary is read: as many characters (a run of white space is one) as decide it.
+    """
+    x = collapse_ws(F.regexp_extract(col(c), f"^{WS}*+((?:{WS}++|(?!{WS})(?s:.)){{0,{size + 2}}})", 1))
     head = F.substring(x, 1, size + 1)
     cut = F.regexp_extract(head, r"(?s)^(.+) ", 1)
     return F.when(F.length(x) <= size, x).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(x, 1, size)), F.lit("...")))
@@ -99,9 +104,19 @@ def file_title(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"\.[^/.]+$", "")
 
 
-def token_estimate(c: Column | str) -> Column:
-    """A token for every four characters."""
-    return F.ceil(F.length(col(c)) / 4)
+def token_estimate(c: Column | str, count_tokens: Callable[[str], int] | None = None) -> Column:
+    """A token for every four characters, or what ``count_tokens`` (an exact tokenizer, run in Arrow batches) says.
+
+    A null text has null tokens either way.
+    """
+    if count_tokens is None:
+        return F.ceil(F.length(col(c)) / 4)
+
+    @F.pandas_udf("long")
+    def exact(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else int(count_tokens(t))).astype("Int64")
+
+    return exact(col(c))
 
 
 def preprocess_query(c: Column | str) -> Column:
@@ -127,7 +142,7 @@ def query_variations(c: Column | str) -> Column:
     return F.array_distinct(F.array_compact(F.array(q, bare, short)))
 
 
-#: Threshold rules: (words below, floor, change) in order, then of longer queries (cap, change), of questions and
+# Threshold rules: (words below, floor, change) in order, then of longer queries (cap, change), of questions and
 #: of quoted queries (floor, change).
 THRESHOLDS = {
     "default": ([(3, 0.18, -0.15), (5, 0.20, -0.10), (8, 0.22, -0.05)], (0.40, 0.05), (0.18, -0.05), (0.16, -0.07)),
@@ -150,6 +165,7 @@ def dynamic_threshold(query: Column | str, least: Column | float, profile: str =
     return F.when(F.contains(q, F.lit('"')), F.greatest(F.lit(s_floor), out + s_down)).otherwise(out)
 
 
+# Fixed values.
 LABELS = {
     "default": [(0.75, "Highly Relevant"), (0.6, "Very Relevant"), (0.45, "Relevant"), (0.3, "Somewhat Relevant"), (0.2, "Potentially Relevant")],
     "strict": [(0.8, "Highly Relevant"), (0.65, "Very Relevant"), (0.5, "Relevant"), (0.3, "Somewhat Relevant")],
@@ -205,7 +221,52 @@ def blob_folder(kind: Column | str, user: Column | str) -> Column:
 
 def sanitize_metadata(m: Column | str) -> Column:
     """T2 on the keys and values of a flat map."""
-    return F.transform_values(F.transform_keys(col(m), lambda k, v: sanitize_flat(k)), lambda k, v: sanitize_flat(v))
+    return sanitize_nested(m, T.MapType(T.StringType(), T.StringType()))
+
+
+def sanitize_nested(c: Column | str, kind: T.DataType) -> Column:
+    """T20 on a column of any type: T2 on each string and map key inside maps, structs and arrays.
+
+    Numbers, flags and times stay; nulls stay null, inside too, except that a null string in a map becomes ''.
+    """
+    x = col(c)
+    if isinstance(kind, T.MapType):
+        keys = F.transform_keys(x, lambda k, v: sanitize_nested(k, kind.keyType))
+        return F.transform_values(keys, lambda k, v: sanitize_flat(v) if isinstance(kind.valueType, T.StringType) else sanitize_nested(v, kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: sanitize_nested(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[sanitize_nested(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return F.when(x.isNotNull(), sanitize_flat(x)) if isinstance(kind, T.StringType) else x
+
+
+def _clean_json(value):
+    flat = lambda t: re.sub(f"^{_WS}+|{_WS}+$", "", re.sub(f"{_WS}+", " ", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", t)))
+    if isinstance(value, dict):
+        return {flat(k): _clean_json(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_clean_json(v) for v in value]
+    return flat(value) if isinstance(value, str) else value
+
+
+#: WS as Python reads it.
+_WS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WS)
+
+
+def sanitize_json(c: Column | str) -> Column:
+    """T20 on metadata of unknown shape, as JSON text: T2 on every key and string; null and broken JSON give null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(_clean_json(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return clean(col(c))
 
 
 def user_type(email: Column | str) -> Column:
@@ -213,6 +274,7 @@ def user_type(email: Column | str) -> Column:
     return F.when(col(email).rlike(r"^guest-\d+$"), "guest").otherwise("regular")
 
 
+# Fixed values.
 IMAGES = ["image/png", "image/jpg", "image/jpeg"]
 
 

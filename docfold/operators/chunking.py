@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_title, summarize
+from ..sources.files import file_type
 
 
 def fixed_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
@@ -87,28 +88,33 @@ def recursive_split(text: str, p: Profile, length: Callable[[str], int] = len) -
     return [x for x in out if x]
 
 
-def chunk_recursive(df: DataFrame, profile: str | Profile = "rag") -> DataFrame:
+def chunk_recursive(df: DataFrame, profile: str | Profile = "rag", length: Callable[[str], int] = len) -> DataFrame:
     """``id, chunk_index, content, metadata`` from ``id, text``, by recursive splitting.
 
+    ``length`` measures pieces against the profile's size and overlap: characters, or tokens of a tokenizer.
     The Arrow helper sees the text column alone and returns arrays; rows multiply after it.
     """
     p = PROFILES[profile] if isinstance(profile, str) else profile
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t or "", p))
+        return texts.map(lambda t: recursive_split(t or "", p, length))
 
     n = F.length("content")
     return df.select("id", F.posexplode(pieces("text")).alias("chunk_index", "content")).withColumn("metadata", F.struct(F.lit(0).alias("start_char"), n.alias("end_char"), F.ceil(n / 4).alias("tokens")))
 
 
 def document_record(df: DataFrame, chunks: Callable[[Column], Column] = fixed_windows) -> DataFrame:
-    """One record per document of ``id, name, text``, from the chunk array, before it is exploded."""
+    """One record per document of ``id, name, text``, from the chunk array, before it is exploded.
+
+    ``file_type`` comes from the name; ``file_size`` is the column of that name, else the text's bytes.
+    """
+    size = F.col("file_size").cast("long") if "file_size" in df.columns else F.octet_length("text").cast("long")
     c = df.withColumn("c", chunks(F.col("text")))
     total = F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     return c.select(
         "id", file_title("name").alias("title"), summarize("text").alias("summary"), F.get("c", F.lit(0)).alias("first_page_content"), F.size("c").cast("long").alias("chunk_count"),
-        F.when(F.size("c") > 0, F.floor(total / F.size("c") + 0.5)).alias("avg_chunk_size"),
+        F.when(F.size("c") > 0, F.floor(total / F.size("c") + 0.5)).alias("avg_chunk_size"), size.alias("file_size"), file_type("name").alias("file_type"),
     )
 
 

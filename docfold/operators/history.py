@@ -40,12 +40,13 @@ def last_messages(messages: DataFrame) -> DataFrame:
 
 
 def all_versions(versions: DataFrame) -> DataFrame:
-    """H4: versions of each document with their index from 0."""
-    return versions.withColumn("version", F.row_number().over(Window.partitionBy("id").orderBy("created_at")) - 1)
+    """H4: versions of each document with their index from 0; of one time, in the order of their contents."""
+    return versions.withColumn("version", F.row_number().over(Window.partitionBy("id").orderBy("created_at", "content")) - 1)
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(F.desc("created_at"))
+    """H4: the last version of each document; of one time, the last in the order of their contents."""
+    w = Window.partitionBy("id").orderBy(F.desc("created_at"), F.desc("content"))
     return versions.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

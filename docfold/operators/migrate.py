@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,29 +83,56 @@ def from_model_messages(model: DataFrame) -> DataFrame:
     return model.filter(~F.col("rejected")).select("id", role.alias("role"), F.col("text").alias("content"))
 
 
-def _sentence_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    import difflib
+def minimal_diff(a: list[str], b: list[str]) -> list[tuple[int, str]]:
+    """(op, item) from ``a`` to ``b`` along a longest common subsequence: 0 stays, -1 goes, 1 comes.
+
+    Between two common items all that goes comes before what comes.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    code: dict[str, int] = {}
+    p, q = (np.array([code.setdefault(s, len(code)) for s in part], np.int64) for part in (x, y))
+    # most[i, j]: common items of x from i on and y from j on; a row follows from the one below by a running maximum.
+    most = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+    for i in range(len(p) - 1, -1, -1):
+        best = np.maximum(most[i + 1, :-1], np.where(q == p[i], most[i + 1, 1:] + 1, 0))
+        most[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    middle: list[tuple[int, str]] = []
+    come: list[tuple[int, str]] = []
+    i = j = 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and p[i] == q[j]:
+            middle += [*come, (0, x[i])]
+            come, i, j = [], i + 1, j + 1
+        elif i < len(x) and (j == len(y) or most[i + 1, j] >= most[i, j + 1]):
+            middle.append((-1, x[i]))
+            i += 1
+        else:
+            come.append((1, y[j]))
+            j += 1
+    return [(0, s) for s in a[:head]] + middle + come + [(0, s) for s in a[len(a) - tail :]]
 
-    def one(a, b) -> list[dict]:
-        a, b = list(a), list(b)
-        out: list[tuple[int, str]] = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out += [(0, x) for x in a[i1:i2]]
-            else:
-                out += [(-1, x) for x in a[i1:i2]] + [(1, x) for x in b[j1:j2]]
-        return [{"op": o, "sentence": s} for o, s in out]
 
-    return pd.Series([one(a, b) for a, b in zip(old, new)])
+def _sentence_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([[{"op": o, "sentence": s} for o, s in minimal_diff(list(a), list(b))] for a, b in zip(old, new)])
 
 
 def version_diff(versions: DataFrame) -> DataFrame:
-    """``id, from_version, to_version, position, op, sentence`` between consecutive versions (-1, 0, 1)."""
+    """``id, from_version, to_version, position, op, sentence`` between consecutive versions (-1, 0, 1).
+
+    As few sentences as possible go and come; those at both ends that stay are set aside first, and what is left
+    takes memory and time by the product of both versions' sentences.
+    """
     from ..functions.text import split_sentences
 
     diff = F.pandas_udf(_sentence_diff, "array<struct<op:int,sentence:string>>")
-    w = Window.partitionBy("id").orderBy("created_at")
-    v = versions.select("id", "created_at", split_sentences(F.coalesce("content", F.lit(""))).alias("now")).withColumn("n", F.row_number().over(w) - 1).withColumn("before", F.lag("now").over(w)).filter("before is not null")
+    w = Window.partitionBy("id").orderBy("created_at", "content")
+    v = versions.select("id", "created_at", "content", split_sentences(F.coalesce("content", F.lit(""))).alias("now")).withColumn("n", F.row_number().over(w) - 1).withColumn("before", F.lag("now").over(w)).filter("before is not null")
     rows = v.select("id", (F.col("n") - 1).alias("from_version"), F.col("n").alias("to_version"), F.posexplode(diff("before", "now")).alias("position", "d"))
     return rows.select("id", "from_version", "to_version", "position", "d.op", "d.sentence")
 
@@ -113,7 +141,7 @@ def version_diff_counts(versions: DataFrame) -> DataFrame:
     """G8, counts: sentences that a version adds and removes against the one before, as multisets."""
     from ..functions.text import split_sentences
 
-    n = F.row_number().over(Window.partitionBy("id").orderBy("created_at")) - 1
+    n = F.row_number().over(Window.partitionBy("id").orderBy("created_at", "content")) - 1
     s = versions.select("id", n.alias("version"), split_sentences(F.coalesce("content", F.lit(""))).alias("s"))
     top = s.groupBy("id").agg(F.max("version").alias("last"))
     each = s.select("id", "version", F.explode("s").alias("sentence")).groupBy("id", "version", "sentence").agg(F.count(F.lit(1)).alias("n"))

@@ -49,7 +49,7 @@ def boost_keywords(rows: DataFrame, queries: DataFrame) -> DataFrame:
 
     def gain(total: Column, key: Column) -> Column:
         word = F.rlike(low, F.concat(F.lit("(?<![A-Za-z0-9_])"), key, F.lit("(?![A-Za-z0-9_])")))
-        place = F.when(F.locate(key, low) - 1 < 100, 0.05).otherwise(0.02) if isinstance(key, str) else F.when(F.position(key, low) - 1 < 100, 0.05).otherwise(0.02)
+        place = F.when(F.position(key, low) - 1 < 100, 0.05).otherwise(0.02)
         return total + F.when(word, F.least(F.lit(0.1), F.length(key) * F.lit(0.01)) + place).otherwise(0.0)
 
     boost = F.least(F.lit(0.2), F.aggregate("_keys", F.lit(0.0), gain))
@@ -73,27 +73,38 @@ def diversify_by_document(rows: DataFrame, limit: int = 10) -> DataFrame:
 
 def adjacent_chunks(hits: DataFrame, chunks: DataFrame, docs: DataFrame, reach: int = 2) -> DataFrame:
     """V7: neighbours of hits within ``reach`` places, of the user's documents; an equi-join on exploded places."""
-    d = docs.select(F.col("id").alias("document_id"), "user_id")
     near = hits.select("query_id", "user_id", "chunk_id", "document_id", F.col("chunk_index").alias("of_index"), F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k])).alias("step"))
-    near = near.withColumn("chunk_index", F.col("of_index") + F.col("step")).join(d, ["document_id", "user_id"])
-    c = chunks.select("document_id", "chunk_index", F.col("id").alias("neighbour_id"), "content")
-    return near.join(c, ["document_id", "chunk_index"]).select("query_id", "user_id", "chunk_id", "document_id", "of_index", "chunk_index", "neighbour_id", "content", F.abs("step").alias("distance"))
+    near = near.withColumn("chunk_index", F.col("of_index") + F.col("step"))
+    return near.join(_places(chunks, docs), ["user_id", "document_id", "chunk_index"]).select("query_id", "user_id", "chunk_id", "document_id", "of_index", "chunk_index", "neighbour_id", F.col("neighbour_content").alias("content"), F.abs("step").alias("distance"))
+
+
+def _places(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """What is at each place of each user's documents."""
+    d = docs.select(F.col("id").alias("document_id"), "user_id")
+    return chunks.select("document_id", "chunk_index", F.col("id").alias("neighbour_id"), F.col("content").alias("neighbour_content")).join(d, "document_id")
 
 
 def add_context(rows: DataFrame, chunks: DataFrame, docs: DataFrame, least: float = 0.45, reach: int = 2, limit: int = 30, dedupe: bool = False) -> DataFrame:
     """V8: strong hits bring their neighbours along, at a similarity that falls with distance.
 
     Queries without a strong hit stay as they are.  With ``dedupe`` a chunk that is there already isn't added.
+    Each row is exploded into itself (step 0) and its neighbours' places, so the rows are computed once.
     """
-    own = rows.select("query_id", "user_id", F.col("chunk_id").cast("string").alias("result_id"), "chunk_id", "document_id", "chunk_index", "content", "title", "similarity", "keyword_boost", F.lit(False).alias("is_context"), F.lit(None).cast("int").alias("of_index"), F.lit(None).cast("int").alias("distance"))
-    strong = rows.filter(F.col("similarity") >= least)
-    told = strong.select("query_id", "chunk_id", "title", F.col("similarity").alias("_of"))
-    near = adjacent_chunks(strong, chunks, docs, reach).join(told, ["query_id", "chunk_id"])
-    extra = near.select(
-        "query_id", "user_id", F.concat(F.col("chunk_id").cast("string"), F.lit("_adjacent_"), F.col("chunk_index").cast("string")).alias("result_id"), F.col("neighbour_id").alias("chunk_id"), "document_id", "chunk_index", "content", "title",
-        F.greatest(F.lit(0.15), F.col("_of") - F.lit(0.1) * F.col("distance")).alias("similarity"), F.lit(None).cast("double").alias("keyword_boost"), F.lit(True).alias("is_context"), "of_index", "distance",
+    strong = F.col("similarity") >= least
+    steps = F.when(strong, F.array(*map(F.lit, range(-reach, reach + 1)))).otherwise(F.array(F.lit(0)))
+    each = rows.select("query_id", "user_id", "chunk_id", "document_id", F.col("chunk_index").alias("hit_index"), "content", "title", "similarity", "keyword_boost", F.explode(steps).alias("step"))
+    each = each.withColumn("chunk_index", F.col("hit_index") + F.col("step"))
+    # Only steps have a place to look up.
+    looked_up = each.withColumn("_at", F.when(F.col("step") != 0, F.col("chunk_index")))
+    there = _places(chunks, docs).withColumnRenamed("chunk_index", "_at")
+    met = looked_up.join(there, ["user_id", "document_id", "_at"], "left").filter("step = 0 or neighbour_id is not null")
+    own, away = F.col("step") == 0, F.abs("step")
+    every = met.select(
+        "query_id", "user_id", F.when(own, F.col("chunk_id").cast("string")).otherwise(F.concat(F.col("chunk_id").cast("string"), F.lit("_adjacent_"), F.col("chunk_index").cast("string"))).alias("result_id"),
+        F.when(own, F.col("chunk_id")).otherwise(F.col("neighbour_id")).alias("chunk_id"), "document_id", "chunk_index", F.when(own, F.col("content")).otherwise(F.col("neighbour_content")).alias("content"), "title",
+        F.when(own, F.col("similarity")).otherwise(F.greatest(F.lit(0.15), F.col("similarity") - F.lit(0.1) * away)).alias("similarity"), F.when(own, F.col("keyword_boost")).alias("keyword_boost"), (~own).alias("is_context"),
+        F.when(~own, F.col("hit_index")).alias("of_index"), F.when(~own, away).alias("distance"),
     )
-    every = own.unionByName(extra)
     if dedupe:
         w = Window.partitionBy("query_id", "chunk_id").orderBy("is_context", F.desc("similarity"), "result_id")
         every = every.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
@@ -134,6 +145,7 @@ def result_stats(rows: DataFrame, before: DataFrame, max_tokens: int = 12_000) -
     )
 
 
+# The parts of a summary's sentences.
 def search_summary(queries: DataFrame, rows: DataFrame, profile: str = "default") -> DataFrame:
     """One sentence or two on the results of each query."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "document")))

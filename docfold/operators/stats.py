@@ -101,7 +101,3 @@ def maintenance(docs: DataFrame, chunks: DataFrame, cache: DataFrame, now: Colum
     """What one round of upkeep does: expired entries, orphans, and documents with statistics."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("task"), "n")
     return one(cache.filter(F.col("expires_at") < now), "expired_cache_entries").unionByName(one(orphan_chunks(chunks, docs), "orphan_chunks")).unionByName(one(document_stats(docs, drop_orphans(chunks, docs)), "document_stats"))
-
-
-def newest_first(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("id"))))

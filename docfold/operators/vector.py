@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,19 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+def unit_vector(v: Column) -> Column:
+    """The vector in double at length 1; zeros stay zeros."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+
+
+def unit_product(a: Column, b: Column) -> Column:
+    """Cosine of vectors that :func:`unit_vector` has given; 0 where lengths differ."""
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), dot).otherwise(0.0)
+
+
 def user_chunks_for_search(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """``user_id, chunk_id, document_id, chunk_index, content, title, embedding`` of chunks with a vector."""
     d = docs.select(F.col("id").alias("document_id"), "user_id", "title")
@@ -29,27 +42,45 @@ def user_chunks_for_search(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 def similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int | Column = 25, least: float = 0.1, keys: tuple[str, ...] = ("query_id",), most: int = 50) -> DataFrame:
     """V2: each query's ``k`` (50 at most) most similar chunks of its user, with ``similarity`` and ``rank``.
 
-    ``queries`` has ``keys``, ``user_id`` and ``embedding``.  Built-in expressions: queries meet the chunks of
-    their user by an equi-join on the user, and the rank window keeps ``k`` rows per query before the shuffle.
+    ``queries`` has ``keys``, ``user_id`` and ``embedding``.  Built-in expressions: each vector is brought to
+    length 1 once, queries meet the vectors of their user's chunks by an equi-join on the user (AQE splits the
+    partition of a large user), and the rank window keeps ``k`` rows per query before the shuffle.  Contents and
+    titles join the ranked rows.
     """
     limit = F.least(F.lit(k) if isinstance(k, int) else k, F.lit(most))
-    q = queries.select(*keys, "user_id", F.col("embedding").alias("q"))
-    scored = user_chunks_for_search(chunks, docs).join(q, "user_id").withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q"))).filter(F.col("similarity") >= least)
-    best = Window.partitionBy(*keys).orderBy(F.desc("similarity"), *TIES)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select(*keys, "user_id", "rank", "chunk_id", "document_id", "chunk_index", "content", "title", "similarity")
+    ranked = ranked_chunks(queries, chunks, docs, keys).filter((F.col("rank") <= limit) & (F.col("similarity") >= least))
+    return with_contents(ranked, chunks, docs).select(*keys, "user_id", "rank", "chunk_id", "document_id", "chunk_index", "content", "title", "similarity")
+
+
+def ranked_chunks(queries: DataFrame, chunks: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """All chunks of each query's user with ``similarity`` and ``rank``, ids only.
 
+    A floor belongs after the rank: a filter before it would be computed with the product, and that twice.
+    """
+    q = queries.select(*keys, "user_id", unit_vector(F.col("embedding")).alias("q"))
+    c = user_chunks_for_search(chunks, docs).select("user_id", "chunk_id", "document_id", "chunk_index", unit_vector(F.col("embedding")).alias("v"))
+    scored = c.join(q, "user_id").withColumn("similarity", unit_product(F.col("v"), F.col("q"))).drop("v", "q")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), *TIES)))
+
+
+def with_contents(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds ``content`` and ``title`` to rows of ``chunk_id`` and ``document_id``."""
+    c = chunks.select(F.col("id").alias("chunk_id"), "content")
+    return hits.join(c, "chunk_id").join(docs.select(F.col("id").alias("document_id"), "title"), "document_id")
 
-def bulk_similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 25, least: float = 0.1, slots: int = 8, query_block: int = 1024) -> DataFrame:
+
+def bulk_similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 25, least: float = 0.1, slot_rows: int = 20_000, query_block: int = 1024) -> DataFrame:
     """V2 in bulk: a user's chunks are dealt into slots, its queries go to every slot in blocks, and each slot
     takes one matrix product per block and keeps ``k`` rows per query.
 
-    A large user is thus spread over ``slots`` tasks; only ids and similarities are shuffled on, and contents
-    join the final rows.
+    A user has a slot for every ``slot_rows`` of its chunks, so a slot's size doesn't grow with the user; only ids
+    and similarities are shuffled on, and contents join the final rows.
     """
     k = min(k, 50)
-    base = user_chunks_for_search(chunks, docs)
-    c = base.select("user_id", F.pmod(F.xxhash64("chunk_id"), F.lit(slots)).alias("slot"), "chunk_id", "document_id", "chunk_index", "embedding")
-    q = queries.select("user_id", "query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+    base = user_chunks_for_search(chunks, docs).select("user_id", "chunk_id", "document_id", "chunk_index", "embedding")
+    slots = base.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / slot_rows).alias("slots"))
+    c = base.join(slots, "user_id").select("user_id", F.pmod(F.xxhash64("chunk_id"), F.col("slots")).alias("slot"), "chunk_id", "document_id", "chunk_index", "embedding")
+    q = queries.join(slots, "user_id").select("user_id", "query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -69,7 +100,8 @@ def bulk_similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFram
 
     found = c.groupBy("user_id", "slot").cogroup(q.groupBy("user_id", "slot")).applyInPandas(search, "query_id long, chunk_id long, document_id long, chunk_index int, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *TIES)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(base.select("chunk_id", "user_id", "content", "title"), "chunk_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(queries.select("query_id", "user_id"), "query_id")
+    return with_contents(ranked, chunks, docs)
 
 
 def retrieve_batch(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.4) -> DataFrame:
@@ -80,8 +112,7 @@ def retrieve_batch(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k:
 
 def similarity_profile(queries: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Per query over all its user's chunks, extremes and mean (3 decimals), counts over steps, ten best."""
-    q = queries.select("query_id", "user_id", F.col("embedding").alias("q"))
-    s = user_chunks_for_search(chunks, docs).join(q, "user_id").select("query_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("q")).alias("similarity"))
+    s = ranked_chunks(queries, chunks, docs).select("query_id", "chunk_id", "similarity")
     three = lambda x: F.floor(x * 1000 + 0.5) / 1000
     all_ = s.groupBy("query_id").agg(
         three(F.max("similarity")).alias("max_similarity"), three(F.min("similarity")).alias("min_similarity"), three(F.avg("similarity")).alias("avg_similarity"),
@@ -92,15 +123,15 @@ def similarity_profile(queries: DataFrame, chunks: DataFrame, docs: DataFrame) -
     return all_.join(top, "query_id")
 
 
-def threshold_sweep(queries: DataFrame, chunks: DataFrame, docs: DataFrame, settings: DataFrame, limit: int = 10) -> DataFrame:
-    """Per query and setting (``setting, least, dynamic``), result count and best chunk.
+def threshold_sweep(queries: DataFrame, chunks: DataFrame, docs: DataFrame, settings: list[tuple[int, float, bool]], limit: int = 10) -> DataFrame:
+    """Per query and setting (its number, floor, and whether the floor is dynamic), result count and best chunk.
 
     The search runs once, at the lowest floor; settings only filter its rows.  Counts follow from ranks.
     """
     from ..functions.text import dynamic_threshold
 
     hits = similarity_search(queries, chunks, docs, limit, 0.1).select("query_id", "chunk_id", "similarity", "rank")
-    asked = queries.select("query_id", "text", F.explode(F.array(*[F.struct(F.lit(r.setting).alias("setting"), F.lit(r.least).alias("least"), F.lit(r.dynamic).alias("dynamic")) for r in settings.collect()])).alias("s")).select("query_id", "text", "s.*")
+    asked = queries.select("query_id", "text", F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(least).alias("least"), F.lit(dynamic).alias("dynamic")) for n, least, dynamic in settings])).alias("s")).select("query_id", "text", "s.*")
     asked = asked.withColumn("floor", F.when(F.col("dynamic"), dynamic_threshold("text", F.col("least"))).otherwise(F.col("least")))
     met = asked.join(hits, "query_id", "left").withColumn("ok", F.coalesce(F.col("similarity") >= F.col("floor"), F.lit(False)))
     return met.groupBy("query_id", "setting").agg(F.count_if("ok").alias("results"), F.min_by("chunk_id", F.when(F.col("ok"), F.col("rank"))).alias("best_chunk"))
@@ -122,15 +153,28 @@ def approx_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, model:
 
     All chunks are indexed; a query meets its lists' chunks by an equi-join on user and list.
     """
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    q = queries.select("query_id", "user_id", F.col("embedding").alias("q"))
-    near = F.array(*[F.struct((-cosine_similarity(F.col("q"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
-    asked = q.withColumn("l", F.explode(F.slice(F.array_sort(near), 1, probes))).select("query_id", "user_id", "q", F.col("l.list").alias("list"))
-    listed = model.transform(_unit(chunks)).select("id", "list")
-    c = user_chunks_for_search(chunks, docs).join(listed.withColumnRenamed("id", "chunk_id"), "chunk_id")
-    scored = c.join(asked, ["user_id", "list"]).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q"))).filter(F.col("similarity") >= least)
+    centres = np.array([np.asarray(c, float) for c in model.clusterCenters()])
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("array<int>")
+    def nearest_lists(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.argsort(-(np.stack(vectors).astype(float) @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    q = queries.select("query_id", "user_id", unit_vector(F.col("embedding")).alias("q"), F.explode(nearest_lists("embedding")).alias("list"))
+    listed = model.transform(_unit(chunks)).select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "list", vector_to_array("unit").alias("v"))
+    c = listed.join(docs.select(F.col("id").alias("document_id"), "user_id"), "document_id")
+    scored = c.join(q, ["user_id", "list"]).withColumn("similarity", unit_product(F.col("v"), F.col("q"))).drop("v", "q")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *TIES)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "document_id", "chunk_index", "similarity")
+    return scored.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= k) & (F.col("similarity") >= least)).select("query_id", "rank", "chunk_id", "document_id", "chunk_index", "similarity")
+
+
+def search_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Per query of ``exact``, how many of its chunks ``found`` has: ``query_id, wanted, found, recall``."""
+    hits = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+    return n.withColumn("recall", F.col("found") / F.col("wanted"))
 
 
 def tune_search_params(chunks: DataFrame, docs: DataFrame, recall: float = 0.9) -> DataFrame:

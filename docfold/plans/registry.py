@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | None = None, results: int = 4):
+    """Registers a query with its SQL, in which search steps keep ``results`` rows a query."""
+
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = S.sql(oracle)
+            ORACLES[name] = S.sql(oracle, results)
         return f
 
     return add
@@ -38,25 +41,37 @@ def times(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
-def stream(t: Tables, df: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Drains ``job`` over the rows of ``df`` as a stream, and gives what it has written."""
+#: A row of this time ends a stream: it moves the watermark past all windows, so that each is given out once.
+END_OF_STREAM = "timestamp'2100-01-01 00:00:00'"
+
+
+def stream(t: Tables, df: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Drains ``job`` over the rows of ``df`` as a stream in append mode, and gives what it has written.
+
+    A last row without user closes all windows and sessions; what comes of it is left out.
+    """
     root = stream_dir(t)
-    df.write.parquet(f"{root}/in")
+    last = t.spark.range(1).select(*[(F.expr(END_OF_STREAM) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) if f.name != "role" else F.lit("user").alias("role") for f in df.schema])
+    df.unionByName(last).write.parquet(f"{root}/in")
     rows = t.spark.readStream.schema(df.schema).parquet(f"{root}/in")
     out = job(rows)
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/b={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/b={number}")
 
-    jobs.drain(out, sink, f"{root}/checkpoint", mode)
-    return t.spark.read.schema(out.schema).parquet(f"{root}/out").drop("b")
+    jobs.drain(out, sink, f"{root}/checkpoint")
+    return t.spark.read.schema(out.schema).parquet(f"{root}/out").drop("b").filter("user_id is not null")
 
 
 def stream_dir(t: Tables) -> str:
-    import uuid
-
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, a temporary one, on one machine only."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        shared = t.spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 # ---- sources ----
@@ -69,6 +84,25 @@ def s1(t: Tables) -> DataFrame:
     return t.knowledge_documents().select("id", files.file_type(F.concat("title", F.get(ends, (F.col("id") % 6).cast("int")))).alias("file_type"))
 
 
+_SENT = "['txt', 'md', 'rtf', 'epub', 'txt'][doc_id % 5 + 1]"
+_BODY = "CASE doc_id % 5 WHEN 3 THEN 'no archive' WHEN 4 THEN '  ' || chr(10) ELSE text END"
+
+
+def _sent_files(t: Tables) -> DataFrame:
+    """A file for each document: three kinds of text (one unsupported), a damaged book, and blanks."""
+    k = (F.col("doc_id") % 5).cast("int")
+    ends = F.get(F.array(*map(F.lit, ["txt", "md", "rtf", "epub", "txt"])), k)
+    body = F.when(k == 3, "no archive").when(k == 4, "  \n").otherwise(F.coalesce("text", F.lit("")))
+    return t.raw("documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), ends).alias("name"), body.cast("binary").alias("content"))
+
+
+@register("s1_read_files", f"SELECT 'doc-' || doc_id || '.' || {_SENT} AS name, CASE {_SENT} WHEN 'rtf' THEN NULL ELSE {_SENT} END AS file_type, strlen({_BODY}) AS size, sha256({_BODY}) AS content_sha256 FROM documents")
+def s1b(t: Tables) -> DataFrame:
+    root = stream_dir(t)
+    files.write_files(_sent_files(t), f"{root}/sent")
+    return files.read_files(t.spark, f"{root}/sent").select("name", "file_type", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 @register("s2_validate_files", """SELECT id, reason, reason IS NULL AND size > 4718592 AS needs_blob FROM (SELECT id, file_size AS size, CASE WHEN file_size > 15728640 THEN 'File size exceeds 15MB limit'
     WHEN id % 11 = 0 THEN 'Unsupported file type' WHEN file_size = 0 THEN 'No text content found' END AS reason FROM kd)""")
 def s2(t: Tables) -> DataFrame:
@@ -82,12 +116,6 @@ def s2b(t: Tables) -> DataFrame:
     return files.validate_attachments(t.knowledge_documents().select("id", (F.col("file_size") * 4).alias("size"), kind.alias("content_type"))).select("id", "reason")
 
 
-@register("s3_extract_text")
-def s3(t: Tables) -> DataFrame:
-    pages = t.raw("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("txt").alias("file_type"), F.col("html").cast("binary").alias("content"))
-    return files.extract_text(pages)
-
-
 @register("s4_read_write_tables", "SELECT id, user_id, title, file_type, file_size FROM kd")
 def s4(t: Tables) -> DataFrame:
     from ..sources.tables import read_table, write_table
@@ -151,6 +179,42 @@ def t5(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", T.clean_book_text("html").alias("clean"))
 
 
+_LINES = "array_to_string(list_filter(string_split(html, chr(10)), lambda x: x <> ''), chr(10) || chr(10))"
+_BOOK_TEXT = S.keep_format("regexp_replace(" + _BOOK.replace("coalesce(html, '')", "coalesce(plain, '')") + ", '([.!?])\\s*([A-Z])', '\\1 \\2', 'g')")
+
+
+def _archives(batches):
+    """EPUB and DOCX bytes around the text of each row."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    for b in batches:
+        out = []
+        for kind, text in zip(b["file_type"], b["text"]):
+            body = text.encode()
+            if kind in ("epub", "docx"):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    if kind == "epub":
+                        z.writestr("mimetype", "application/epub+zip")
+                        z.writestr("OEBPS/style.css", "p { margin: 0 }")
+                        z.writestr("OEBPS/part1.xhtml", text)
+                    else:
+                        z.writestr("word/document.xml", "<w:document><w:body>" + "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' if x else "<w:p/>" for x in text.split("\n")) + "</w:body></w:document>")
+                body = held.getvalue()
+            out.append(body)
+        yield b[["name", "file_type"]].assign(content=out)
+
+
+@register("s3_extract_text", f"""SELECT CAST(page_id AS VARCHAR) AS name, ['epub', 'docx', 'txt'][page_id % 3 + 1] AS file_type, CASE page_id % 3 WHEN 0 THEN {_BOOK_TEXT} WHEN 1 THEN {S.keep_format(_LINES)} ELSE {S.keep_format('html')} END AS text, NULL AS error
+    FROM (SELECT *, {S.collapse_ws(_STRIPPED)} AS plain FROM pages)""")
+def s3(t: Tables) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ["epub", "docx", "txt"])), (F.col("page_id") % 3).cast("int"))
+    pages = t.raw("pages").select(F.col("page_id").cast("string").alias("name"), kind.alias("file_type"), F.coalesce("html", F.lit("")).alias("text"))
+    return files.extract_text(pages.mapInPandas(_archives, "name string, file_type string, content binary"))
+
+
 @register("t6_repair_spaced_letters")
 def t6(t: Tables) -> DataFrame:
     spaced = F.concat(F.regexp_replace(F.substring("text", 1, 24), r"(\w)", "$1 "), F.lit(" "), F.col("text"))
@@ -187,10 +251,10 @@ def t12(t: Tables) -> DataFrame:
     return t.variations().select("query_id", "variation_no", "text")
 
 
-@register("t13_dynamic_threshold", f"SELECT id, round({S.threshold('q', '0.22::DOUBLE')}, 6) AS threshold FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '\"' ELSE '' END || array_to_string(string_split(text, ' ')[1:id % 11 + 1], ' ') AS q FROM raw_text)")
+@register("t13_dynamic_threshold", f"SELECT query_id, variation_no, round({S.threshold('text', '0.22::DOUBLE')}, 6) AS threshold FROM varied UNION ALL SELECT query_id, -1, round({S.threshold('text', '0.22::DOUBLE')}, 6) FROM asked UNION ALL SELECT id, -2, round({S.threshold('text', '0.22::DOUBLE')}, 6) FROM raw_text")
 def t13(t: Tables) -> DataFrame:
-    q = F.concat(F.when(F.col("id") % 7 == 0, '"').otherwise(""), F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("id") % 11 + 1).cast("int")), " "))
-    return t.raw_text().select("id", six(T.dynamic_threshold(q, 0.22)).alias("threshold"))
+    rows = t.variations().select("query_id", "variation_no", "text").unionByName(t.queries().select("query_id", F.lit(-1).alias("variation_no"), "text")).unionByName(t.raw_text().select(F.col("id").alias("query_id"), F.lit(-2).alias("variation_no"), "text"))
+    return rows.select("query_id", "variation_no", six(T.dynamic_threshold("text", 0.22)).alias("threshold"))
 
 
 @register("t14_relevance_label", f"SELECT query_id, chunk_id, {S.label('similarity')} AS label FROM scored")
@@ -239,6 +303,14 @@ def t20(t: Tables) -> DataFrame:
     return t.dirty_text().select("id", m.alias("m")).select("id", F.element_at("m", "a key").alias("value"))
 
 
+@register("t20_sanitize_nested", f"SELECT id, {S.flat('text')} AS name, {S.flat('text')} AS tag, id AS n, {S.flat('text')} AS json_value FROM dirty_text")
+def t20b(t: Tables) -> DataFrame:
+    d = t.dirty_text()
+    m = d.select("id", F.struct(F.col("text").alias("name"), F.array(F.struct(F.create_map(F.lit("k\x07"), F.array("text")).alias("tags"))).alias("parts"), F.col("id").alias("n")).alias("m"), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("v"))).alias("l"))).alias("j"))
+    clean = m.select("id", T.sanitize_nested("m", m.schema["m"].dataType).alias("m"), T.sanitize_json("j").alias("j"))
+    return clean.select("id", "m.name", F.element_at(F.get("m.parts", F.lit(0))["tags"], "k")[0].alias("tag"), "m.n", F.from_json("j", "l array<struct<v:string>>")["l"][0]["v"].alias("json_value"))
+
+
 @register("t21_user_type", "SELECT id, CASE WHEN regexp_matches(email, '^guest-\\d+$') THEN 'guest' ELSE 'regular' END AS user_type FROM users")
 def t21(t: Tables) -> DataFrame:
     return t.users().select("id", T.user_type("email").alias("user_type"))
@@ -265,7 +337,7 @@ def c2(t: Tables) -> DataFrame:
     return chunking.chunk_recursive(t.raw_text(), "rag").select("id", "chunk_index", "content", "metadata.tokens")
 
 
-@register("c3_document_record", f"""SELECT r.id, 'doc-' || r.id AS title, {S.summarize('r.text')} AS summary, arg_min(f.content, f.chunk_index) AS first_page_content, count(f.id) AS chunk_count, CAST(floor(avg(length(f.content)) + 0.5) AS BIGINT) AS avg_chunk_size
+@register("c3_document_record", f"""SELECT r.id, 'doc-' || r.id AS title, {S.summarize('r.text')} AS summary, arg_min(f.content, f.chunk_index) AS first_page_content, count(f.id) AS chunk_count, CAST(floor(avg(length(f.content)) + 0.5) AS BIGINT) AS avg_chunk_size, strlen(r.text) AS file_size, 'txt' AS file_type
     FROM raw_text r LEFT JOIN ({FIXED}) f ON f.id = r.id GROUP BY r.id, r.text""")
 def c3(t: Tables) -> DataFrame:
     return chunking.document_record(t.raw_text().withColumn("name", F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(".txt"))))
@@ -284,9 +356,13 @@ def c4(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 6 if c.endswith("mean") else 4) for c in out.columns if c.endswith(("mean", "variance"))})
 
 
-@register("c5_embed_chunks")
+_LETTERS = ", ".join(f"length(content) - length(replace(content, '{x}', ''))" for x in embedding.LETTERS)
+
+
+@register("c5_embed_chunks", f"SELECT id, len(v) AS dims, round(list_sum(list_transform(v, lambda x: x / n)), 3) AS total, round(v[1] / n, 3) AS first FROM (SELECT id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1) AS n FROM (SELECT id, [{_LETTERS}]::DOUBLE[] AS v FROM chunks))")
 def c5(t: Tables) -> DataFrame:
-    return embedding.embed_chunks(t.document_chunks().select("id", "content"), embedding.hashing_embedder()).select("id", F.size("embedding").alias("dims"))
+    e = embedding.embed_chunks(t.document_chunks().select("id", "content"), embedding.letter_embedder)
+    return e.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"), F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("first"))
 
 
 @register("c6_fit_dimension", """SELECT vec_id, 100 AS padded, 10 AS cut, round(list_sum(list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE))), 5) AS head FROM embeddings""")
@@ -409,14 +485,11 @@ def v12(t: Tables) -> DataFrame:
     return rerank.search_summary(t.queries(), _v10(t))
 
 
-@register("v13_search_pipeline", f"SELECT {RESULT}, tokens FROM v10")
+@register("v13_search_pipeline", f"SELECT {RESULT}, tokens FROM v10", results=10)
 def v13(t: Tables) -> DataFrame:
     return rerank.search_pipeline(t.queries(), t.variations(), t.document_chunks(), t.knowledge_documents(), 10, 0.22, 3000).select(*RESULT.split(", "), "tokens")
 
 
-ORACLES["v13_search_pipeline"] = ORACLES["v13_search_pipeline"].replace("ceil(4 / (count", "ceil(10 / (count").replace("chunk_index, chunk_id) <= 4)", "chunk_index, chunk_id) <= 10)")
-
-
 @register("v14_retrieve_batch", "SELECT query_id, rank, chunk_id, round(similarity, 6) AS score, content, coalesce(title, 'Unknown Document') AS title FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, document_id, chunk_index, chunk_id) AS INTEGER) AS rank FROM scored WHERE similarity >= 0.3) WHERE rank <= 5")
 def v14(t: Tables) -> DataFrame:
     return vector.retrieve_batch(t.queries(), t.document_chunks(), t.knowledge_documents(), 5, 0.3).withColumn("score", six("score"))
@@ -442,8 +515,7 @@ def v16(t: Tables) -> DataFrame:
     SELECT query_id, setting, CASE WHEN dyn THEN {S.threshold('text', 'least_')} ELSE least_ END AS floor_ FROM asked, (VALUES (1, 0.4::DOUBLE, true), (2, 0.3::DOUBLE, false), (3, 0.2::DOUBLE, false)) AS s(setting, least_, dyn))
     LEFT JOIN (SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, document_id, chunk_index, chunk_id) AS rank FROM scored WHERE similarity >= 0.1 QUALIFY rank <= 10) USING (query_id) GROUP BY ALL""")
 def v17(t: Tables) -> DataFrame:
-    settings = t.spark.createDataFrame([(1, 0.4, True), (2, 0.3, False), (3, 0.2, False)], "setting int, least double, dynamic boolean")
-    return vector.threshold_sweep(t.queries(), t.document_chunks(), t.knowledge_documents(), settings)
+    return vector.threshold_sweep(t.queries(), t.document_chunks(), t.knowledge_documents(), [(1, 0.4, True), (2, 0.3, False), (3, 0.2, False)])
 
 
 @register("v18_approx_search")
@@ -452,6 +524,16 @@ def v18(t: Tables) -> DataFrame:
     return vector.approx_search(t.queries(), chunks, t.knowledge_documents(), vector.train_lists(chunks, 16), probes=13)
 
 
+@register("v18_recall")
+def v18b(t: Tables) -> DataFrame:
+    """Recall per query against the exact search, at a tenth of 100 lists (the defaults), and at what v18 probes."""
+    q, chunks, docs = t.queries(), t.document_chunks(), t.knowledge_documents()
+    exact = vector.similarity_search(q, chunks, docs, 10).select("query_id", "chunk_id")
+    at = [(100, 10), (16, 13)]
+    each = [vector.search_recall(vector.approx_search(q, chunks, docs, vector.train_lists(chunks, n), probes=k), exact).withColumns({"lists": F.lit(n), "probes": F.lit(k)}) for n, k in at]
+    return each[0].unionByName(each[1])
+
+
 @register("v19_tune_search_params", """SELECT user_id, vectors, lists, probes, vectors * 0.1::DOUBLE * probes / lists AS estimated_ms FROM (SELECT *, greatest(1, least(100, CAST(ceil(lists * (1 - 0.9::DOUBLE) * 2) AS BIGINT))) AS probes FROM (
     SELECT user_id, count(*) AS vectors, greatest(10, least(1000, count(*) // 1000)) AS lists FROM chunks c JOIN kd d ON d.id = c.document_id GROUP BY 1))""")
 def v19(t: Tables) -> DataFrame:
@@ -466,9 +548,9 @@ def h1(t: Tables) -> DataFrame:
     return history.chat_history_page(t.chats(), 5, cursors, "ending_before").select("id", "user_id", "position", "has_more")
 
 
-@register("h2_messages_by_chat", "SELECT id, chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) AS INTEGER) AS position FROM messages WHERE chat_id % 2 = 0")
+@register("h2_messages_by_chat", "SELECT id, chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) AS INTEGER) AS position FROM messages")
 def h2(t: Tables) -> DataFrame:
-    return history.messages_by_chat(t.messages(), t.chats().filter("id % 2 = 0").select(F.col("id").alias("chat_id"))).select("id", "chat_id", "position")
+    return history.messages_by_chat(t.messages(), t.chats().select(F.col("id").alias("chat_id"))).select("id", "chat_id", "position")
 
 
 @register("h3_last_messages", "SELECT chat_id, arg_max(id, created_at) FILTER (role = 'user') AS last_user_message, arg_max(id, created_at) AS trailing_message FROM messages GROUP BY 1")
@@ -519,14 +601,14 @@ def h9(t: Tables) -> DataFrame:
     return c.select("id", history.chat_date_bucket(F.col("created_at"), now(False)).alias("bucket"))
 
 
-@register("h10_votes_by_chat", "SELECT chat_id, message_id, is_upvoted FROM votes WHERE chat_id % 2 = 1")
+@register("h10_votes_by_chat", "SELECT chat_id, message_id, is_upvoted FROM votes")
 def h10(t: Tables) -> DataFrame:
-    return history.rows_of(t.votes(), t.chats().filter("id % 2 = 1").select(F.col("id").alias("chat_id")), "chat_id").select("chat_id", "message_id", "is_upvoted")
+    return history.rows_of(t.votes(), t.chats().select(F.col("id").alias("chat_id")), "chat_id").select("chat_id", "message_id", "is_upvoted")
 
 
-@register("h10_suggestions_by_document", "SELECT id, document_id, original_text FROM suggestions WHERE document_id % 2 = 1")
+@register("h10_suggestions_by_document", "SELECT id, document_id, original_text FROM suggestions")
 def h10b(t: Tables) -> DataFrame:
-    return history.rows_of(t.suggestions(), t.chats().filter("id % 2 = 1").select(F.col("id").alias("document_id")), "document_id").select("id", "document_id", "original_text")
+    return history.rows_of(t.suggestions(), t.chats().select(F.col("id").alias("document_id")), "document_id").select("id", "document_id", "original_text")
 
 
 @register("h11_authorize", "SELECT event_id AS request_id, CASE WHEN c.id IS NULL THEN 'not_found' WHEN c.user_id = e.user_id % 15 THEN 'ok' ELSE 'forbidden' END AS status FROM events e LEFT JOIN chats c ON c.id = e.event_id % 700")
@@ -691,11 +773,16 @@ def g4(t: Tables) -> DataFrame:
     return t.old_messages().select("id", F.size(migrate.drop_undefined_reasoning(migrate.parts_of(F.col("content")))).alias("parts"))
 
 
-@register("g5_migrate_messages", """SELECT id, chat_id, role, CAST(created_at AS VARCHAR) AS created_at FROM messages WHERE role = 'user' UNION ALL
-    SELECT arg_min(id, (created_at, rank, id)), chat_id, 'assistant', CAST(min(created_at) AS VARCHAR) FROM ranked_messages WHERE role = 'assistant' GROUP BY chat_id, section""")
+_MERGED_PARTS = """list_transform(list(struct_pack(ty := ty, tx := tx) ORDER BY created_at, rank, id, k), lambda x: x.ty || ':' || coalesce(x.tx, ''))"""
+
+
+@register("g5_migrate_messages", f"""SELECT id, chat_id, role, CAST(created_at AS VARCHAR) AS created_at, 'text:' || content AS parts FROM messages WHERE role = 'user' UNION ALL
+    SELECT arg_min(id, (created_at, rank, id)), chat_id, 'assistant', CAST(min(created_at) AS VARCHAR), array_to_string(list_filter({_MERGED_PARTS}, lambda x, i: list_position({_MERGED_PARTS}, x) = i), '|') FROM (
+        SELECT *, 0 AS k, 'text' AS ty, content AS tx FROM ranked_messages WHERE role = 'assistant' UNION ALL SELECT *, 1, 'tool-call', NULL FROM ranked_messages WHERE role = 'assistant' AND id % 2 = 0) GROUP BY chat_id, section""")
 def g5(t: Tables) -> DataFrame:
     out, _ = migrate.migrate_messages(t.old_messages(), t.votes())
-    return times(out.select("id", "chat_id", "role", "created_at"), "created_at")
+    parts = F.array_join(F.transform("parts", lambda p: F.concat(p["type"], F.lit(":"), F.coalesce(p["text"], F.lit("")))), "|")
+    return times(out.select("id", "chat_id", "role", "created_at", parts.alias("parts")), "created_at")
 
 
 @register("g5_migrate_votes", "SELECT chat_id, message_id, is_upvoted FROM votes WHERE message_id IN (SELECT arg_min(id, (created_at, rank, id)) FROM ranked_messages WHERE role = 'assistant' GROUP BY chat_id, section)")
@@ -735,6 +822,21 @@ def g8b(t: Tables) -> DataFrame:
 
 
 # ---- streams ----
+_KEPT_TEXT = S.keep_format("text")
+
+
+@register("r1_stream_ingest", f"""SELECT 'chunk' AS kind, 'doc-' || doc_id || '.' || {_SENT} AS name, CAST(i AS INTEGER) AS chunk_index, substr(clean, CAST(i * 800 + 1 AS BIGINT), 1000) AS content FROM (SELECT doc_id, {_KEPT_TEXT} AS clean FROM documents WHERE doc_id % 5 < 2),
+        unnest(range(0, CASE WHEN length(clean) = 0 THEN 0 WHEN length(clean) <= 1000 THEN 1 ELSE 1 + CAST(ceil((length(clean) - 1000) / 800) AS BIGINT) END)) AS u(i)
+    UNION ALL SELECT 'reject', 'doc-' || doc_id || '.' || {_SENT}, NULL, CASE doc_id % 5 WHEN 2 THEN 'Unsupported file type' WHEN 3 THEN 'Invalid EPUB file' ELSE 'No text content found' END FROM documents WHERE doc_id % 5 >= 2 OR {_KEPT_TEXT} = ''""")
+def r1(t: Tables) -> DataFrame:
+    root = stream_dir(t)
+    files.write_files(_sent_files(t), f"{root}/sent")
+    jobs.stream_ingest(t.spark, f"{root}/sent", f"{root}/out", f"{root}/checkpoint", chunk=chunking.chunk_fixed).awaitTermination()
+    chunks = t.spark.read.parquet(f"{root}/out/chunks").select(F.lit("chunk").alias("kind"), F.col("id").alias("name"), "chunk_index", "content")
+    bad = t.spark.read.parquet(f"{root}/out/rejects").select(F.lit("reject").alias("kind"), "name", F.lit(None).cast("int").alias("chunk_index"), F.col("reason").alias("content"))
+    return chunks.unionByName(bad)
+
+
 @register("r2_stream_quota", """SELECT user_id, CAST(w AS VARCHAR) AS window_start, count(*) AS messages, count(*) > 100 AS over_limit FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS w FROM events, unnest(range(0, 24)) AS u(k) WHERE event_type IN ('view', 'click')) GROUP BY user_id, w""")
 def r2(t: Tables) -> DataFrame:
     return times(stream(t, t.message_stream(), jobs.rolling_quota), "window_start").drop("window_end")
@@ -746,10 +848,8 @@ def r3(t: Tables) -> DataFrame:
     t.votes().write.parquet(f"{root}/in/a")
     t.new_votes().write.parquet(f"{root}/in/b")
     votes = t.spark.readStream.schema("chat_id long, message_id long, is_upvoted boolean, ts timestamp_ntz").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").parquet(f"{root}/in")
-    q = jobs.stream_votes(votes, f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return t.spark.read.schema(votes.schema).parquet(f"{root}/out/v={last}").select("chat_id", "message_id", "is_upvoted")
+    jobs.stream_votes(votes, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("chat_id", "message_id", "is_upvoted")
 
 
 @register("r4_stream_cache", """SELECT user_id, query_hash, CAST(min(ts) AS VARCHAR) AS created_at, count(*) AS hit_count FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, query_hash ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
@@ -768,4 +868,4 @@ def r5(t: Tables) -> DataFrame:
 @register("r6_stream_dedupe_events", "SELECT event_id, user_id FROM events")
 def r6(t: Tables) -> DataFrame:
     e = t.message_stream()
-    return stream(t, e.unionByName(e.filter("event_id % 3 = 0")), jobs.dedupe_events, "append").select("event_id", "user_id")
+    return stream(t, e.unionByName(e.filter("event_id % 3 = 0")), jobs.dedupe_events).select("event_id", "user_id")

@@ -100,9 +100,9 @@ CTES = {
         SELECT v4.*, least(0.2::DOUBLE, coalesce(list_sum(list_transform(ks, lambda k: CASE WHEN regexp_matches(lower(content), '\\b' || k || '\\b')
             THEN least(0.1::DOUBLE, length(k) * 0.01::DOUBLE) + CASE WHEN strpos(lower(content), k) - 1 < 100 THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END ELSE 0::DOUBLE END)), 0)) AS b
         FROM v4 JOIN (SELECT query_id, {keywords('text')} AS ks FROM asked) USING (query_id))""",
-    "v6": """SELECT * EXCLUDE (share, nth) FROM (SELECT *, greatest(1, ceil(4 / (count(DISTINCT document_id) OVER (PARTITION BY query_id)))) AS share,
+    "v6": """SELECT * EXCLUDE (share, nth) FROM (SELECT *, greatest(1, ceil({results} / (count(DISTINCT document_id) OVER (PARTITION BY query_id)))) AS share,
             row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, document_id, chunk_index, chunk_id) AS nth FROM v5)
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nth > share THEN 1 ELSE 0 END, similarity DESC, document_id, chunk_index, chunk_id) <= 4""",
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nth > share THEN 1 ELSE 0 END, similarity DESC, document_id, chunk_index, chunk_id) <= {results}""",
     "v7": """SELECT h.query_id, h.user_id, h.chunk_id, h.document_id, h.chunk_index AS of_index, c.chunk_index, c.id AS neighbour_id, c.content, abs(c.chunk_index - h.chunk_index) AS distance, h.title, h.similarity
         FROM v6 h JOIN kd d ON d.id = h.document_id AND d.user_id = h.user_id JOIN chunks c ON c.document_id = h.document_id AND abs(c.chunk_index - h.chunk_index) BETWEEN 1 AND 2""",
     "v8": """SELECT * FROM (
@@ -133,8 +133,8 @@ CTES = {
 }
 
 
-def sql(body: str) -> str:
-    """``body`` with the tables it names, and those they name, in front."""
+def sql(body: str, results: int = 4) -> str:
+    """``body`` with the tables it names, and those they name, in front; diversified search keeps ``results`` rows."""
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -145,4 +145,4 @@ def sql(body: str) -> str:
                     need.append(name)
 
     add(body)
-    return ("WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in need) + " " if need else "") + body
+    return ("WITH " + ", ".join(f"{n} AS ({CTES[n].replace('{results}', str(results))})" for n in need) + " " if need else "") + body

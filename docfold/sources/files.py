@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -30,7 +31,7 @@ def file_type(name: Column | str) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``name, file_type, size, content`` of the files under a path."""
+    """``name, file_type, size, content`` of the files under a path; Spark's reader leaves out files without a byte."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return raw.select(name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content")
@@ -100,22 +101,46 @@ def extract_text(files: DataFrame) -> DataFrame:
 LETTERS = [chr(65 + k) for k in range(26)]
 
 
+def sheet_cells(content: Column | str) -> Column:
+    """Rows of cells of a CSV text, without rows whose cells are all blank; quoted cells may hold commas and line ends."""
+
+    @F.pandas_udf("array<array<string>>")
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [r for r in csv.reader(io.StringIO(t or "", newline="")) if any(x.strip() for x in r)])
+
+    return cells(F.col(content) if isinstance(content, str) else content)
+
+
 def clean_sheet_rows(sheets: DataFrame, pad_rows: int | None = None) -> DataFrame:
-    """``id, row_no, A..Z`` from CSV text in ``content``.
+    """``id, row_no, A..Z, cells`` from CSV text in ``content``.
 
-    Empty lines and rows whose cells are all blank go; missing cells are null, or '' when rows are padded to
-    ``pad_rows``.  A quoted cell may hold commas, not line ends.
+    Empty lines and rows whose cells are all blank go; ``cells`` holds all cells of a row, also those past Z.
+    Missing cells of A..Z are null, or '' when rows are padded to ``pad_rows``; padding adds rows without cells.
     """
-    lines = sheets.select("id", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
-    cells = F.from_csv("line", ", ".join(f"{x} string" for x in LETTERS), {"mode": "PERMISSIVE"})
-    rows = lines.select("id", "line_no", cells.alias("c")).select("id", "line_no", "c.*")
-    some = F.lit(False)
-    for x in LETTERS:
-        some = some | (F.trim(F.coalesce(F.col(x), F.lit(""))) != "")
-    from pyspark.sql import Window
-
-    kept = rows.filter(some).withColumn("row_no", F.row_number().over(Window.partitionBy("id").orderBy("line_no"))).drop("line_no")
-    if pad_rows is None:
-        return kept.select("id", "row_no", *LETTERS)
-    grid = sheets.select("id", F.explode(F.sequence(F.lit(1), F.lit(pad_rows))).alias("row_no"))
-    return kept.join(grid, ["id", "row_no"], "full").select("id", "row_no", *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in LETTERS])
+    rows = sheets.select("id", sheet_cells("content").alias("rows"))
+    if pad_rows is not None:
+        more = F.greatest(F.lit(pad_rows) - F.size("rows"), F.lit(0))
+        rows = rows.withColumn("rows", F.concat("rows", F.array_repeat(F.array().cast("array<string>"), more)))
+    kept = rows.select("id", F.posexplode("rows").alias("row_no", "cells")).withColumn("row_no", F.col("row_no") + 1)
+    missing = F.lit(None if pad_rows is None else "")
+    return kept.select("id", "row_no", *[F.coalesce(F.get("cells", F.lit(k)), missing).alias(x) for k, x in enumerate(LETTERS)], "cells")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file for each row of ``name, content`` in a folder that all executors see, written within tasks.
+
+    Names must differ; a task that runs again writes the same files again.
+    """
+
+    def write(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in rows:
+            for name, content in zip(b["name"], b["content"]):
+                where, path = fs.FileSystem.from_uri(f"{folder if '://' in folder or folder.startswith('file:') else 'file://' + folder}/{name}")
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(path) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    files.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()

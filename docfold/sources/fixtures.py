@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
+    @functools.cached_property
+    def n_documents(self) -> int:
+        return self.raw("documents").count()
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -48,8 +54,7 @@ class Tables:
         )
 
     def document_chunks(self) -> DataFrame:
-        docs = self.raw("documents")
-        n = docs.agg(F.count(F.lit(1)).alias("n")).first().n
+        docs, n = self.raw("documents"), self.n_documents
         e = self.raw("embeddings").withColumn("doc_id", F.col("vec_id") % n)
         v = F.col("vec_id")
         return e.join(docs.select("doc_id", "text"), "doc_id", "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,25 +46,46 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
     df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_votes(votes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The latest vote per message as a table of folders, one per batch; the reader takes the last folder.
+#: Folders of the vote table.
+VOTE_BUCKETS = 32
 
-    A batch is written under its number, so a batch that is run again replaces its own folder.
+
+def stream_votes(votes: DataFrame, path: str, checkpoint: str, buckets: int = VOTE_BUCKETS) -> StreamingQuery:
+    """The latest vote per message, as a Parquet table in ``buckets`` folders by a hash of the chat.
+
+    A batch reads, merges and replaces only the folders that its chats fall into, so the table holds each vote
+    once and a batch costs what its folders hold.  Merging a batch again changes nothing.
     """
     spark = votes.sparkSession
+    bucket = F.pmod(F.xxhash64("chat_id"), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        upsert_votes(current, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        fresh = batch.withColumn("bucket", bucket)
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        try:
+            current = spark.read.schema(fresh.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        except AnalysisException:  # the first batch
+            current = fresh.limit(0)
+        merged = upsert_votes(current.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket)
+        # The folders are read before they are replaced, so the merged rows are set down first.
+        merged = merged.checkpoint()
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return votes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "plain") -> StreamingQuery:
-    """New files are validated, extracted and chunked; chunks and rejects are appended."""
+def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "plain", chunk: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """New files are validated, extracted and chunked; chunks and rejects are appended.
+
+    ``chunk`` makes ``id, chunk_index, content, ...`` from ``id, text``; by default texts are split recursively by
+    ``profile``.  A batch that runs again replaces its own folders.
+    """
     from ..operators.chunking import chunk_recursive
     from ..sources.files import extract_text, file_type, validate_files
 
+    cut = chunk or (lambda texts: chunk_recursive(texts, profile))
     files = spark.readStream.format("binaryFile").schema(BINARY).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = files.select(name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content")
@@ -71,7 +93,7 @@ def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, p
     def ingest(batch: DataFrame, number: int) -> None:
         checked = validate_files(batch)
         texts = extract_text(checked.filter("reason is null"))
-        chunks = chunk_recursive(texts.filter("error is null and text <> ''").select(F.col("name").alias("id"), "text"), profile)
+        chunks = cut(texts.filter("error is null and text <> ''").select(F.col("name").alias("id"), "text"))
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         bad = checked.filter("reason is not null").select("name", "reason").unionByName(texts.filter("error is not null or text = ''").select("name", F.coalesce("error", F.lit("No text content found")).alias("reason")))
         bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")

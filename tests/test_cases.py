@@ -1,13 +1,15 @@
 """Small cases with known answers."""
 
+import datetime
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from docfold.functions import text as T
-from docfold.operators import chunking, embedding, history, migrate, vector
+from docfold.operators import chunking, embedding, history, migrate, rerank, vector
 from docfold.sources import files
 from docfold.streaming import jobs
 
@@ -164,7 +166,173 @@ def test_stream_ingest(spark, tmp_path):
     assert [r.name for r in spark.read.parquet(str(tmp_path / "out/rejects")).collect()] == ["b.exe"]
 
 
-def test_late_rows_are_dropped(spark):
+def test_batch_twins(spark):
     batch = spark.createDataFrame([(1, "2024-01-01 00:10:00", 1, "user")], "event_id long, t string, user_id long, role string").withColumn("ts", F.col("t").cast("timestamp"))
     assert jobs.rolling_quota(batch).count() == 24
     assert jobs.dedupe_events(batch.union(batch)).count() == 1
+
+
+def _streamed(spark, tmp_path, batches, job):
+    """What ``job`` appends when each of the batches arrives in a trigger of its own."""
+    schema = "event_id long, ts timestamp, user_id long, role string"
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "event_id long, t string, user_id long, role string").withColumn("ts", F.col("t").cast("timestamp")).select("event_id", "ts", "user_id", "role")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = job(spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in")))
+        jobs.drain(stream, lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}")), str(tmp_path / "ck"))
+    return spark.read.parquet(str(tmp_path / "out")).drop("b")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    batches = [
+        [(1, "2024-01-01 00:10:00", 1, "user"), (2, "2024-01-03 00:00:00", 2, "user")],
+        # User 1 again, in windows that the watermark has passed, and once more in time.
+        [(3, "2024-01-01 00:20:00", 1, "user"), (4, "2024-01-02 23:30:00", 1, "user")],
+        [(5, "2024-02-01 00:00:00", 3, "user")],
+    ]
+    got = {(r.user_id, str(r.window_start)): r.messages for r in _streamed(spark, tmp_path, batches, jobs.rolling_quota).collect()}
+    assert got[1, "2024-01-01 00:00:00"] == 1 and got[1, "2024-01-02 23:00:00"] == 1
+    assert {k[0] for k in got} == {1, 2} and sum(n for (u, _), n in got.items() if u == 1) == 24 + 24
+
+
+def test_replays_and_late_events(spark, tmp_path):
+    batches = [
+        [(1, "2024-01-01 10:00:00", 1, "user"), (2, "2024-01-01 12:00:00", 1, "user")],
+        [(2, "2024-01-01 12:00:00", 1, "user"), (3, "2024-01-01 12:10:00", 1, "user"), (4, "2024-01-01 09:00:00", 1, "user")],
+    ]
+    got = sorted(r.event_id for r in _streamed(spark, tmp_path, batches, jobs.dedupe_events).collect())
+    assert got == [1, 2, 3]
+
+
+def test_votes_replace_only_their_folders(spark, tmp_path):
+    schema = "chat_id long, message_id long, is_upvoted boolean, ts timestamp_ntz"
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    sets = [[(c, 1, True) for c in range(40)], [(3, 1, False), (3, 2, True)], [(3, 1, True)]]
+    for k, rows in enumerate(sets):
+        spark.createDataFrame([(*r, datetime.datetime(2024, 1, 1, k)) for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
+        jobs.stream_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), buckets=8).awaitTermination()
+        after = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
+        if k:
+            assert len({f.parent for f in set(before) ^ set(after)}) == 1 and len(after) == len(before)
+    got = {(r.chat_id, r.message_id): r.is_upvoted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(c, 1): True for c in range(40)} | {(3, 2): True}
+
+
+# ---- splits, differences, sheets, metadata ----
+@pytest.mark.parametrize(
+    "text, size, overlap, separators, keep, pieces",
+    [
+        ("aaa bbb ccc ddd", 10, 3, (" ", ""), False, ["aaa bbb", "bbb ccc", "ccc ddd"]),
+        ("aaa bbb ccc ddd", 10, 0, (" ", ""), False, ["aaa bbb", "ccc ddd"]),
+        ("intro\n## one two\n## x", 10, 0, ("\n## ", "\n", " ", ""), True, ["intro", "## one", "two", "## x"]),
+        ("abcdefgh", 3, 1, ("",), False, ["abc", "cde", "efg", "gh"]),
+        ("one.\n\ntwo three", 8, 0, ("\n\n", " ", ""), False, ["one.", "two", "three"]),
+        ("  \n ", 5, 0, ("\n", " ", ""), False, []),
+    ],
+)
+def test_known_splits(text, size, overlap, separators, keep, pieces):
+    assert chunking.recursive_split(text, chunking.Profile(size, overlap, separators, keep)) == pieces
+
+
+def test_splits_by_tokens(spark):
+    words = lambda t: len(t.split())
+    df = spark.createDataFrame([(1, "a b c d e"), (2, None)], "id long, text string")
+    got = [r.content for r in chunking.chunk_recursive(df, chunking.Profile(3, 1, (" ", ""), False), words).orderBy("chunk_index").collect()]
+    assert got == ["a b", "b c", "c d", "d e"]
+    assert [r.n for r in df.select(T.token_estimate("text", words).alias("n")).collect()] == [5, None]
+
+
+def _lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_diffs_are_minimal():
+    g = random.Random(3)
+    for _ in range(300):
+        a, b = ([g.choice("abcde") for _ in range(g.randint(0, 12))] for _ in range(2))
+        d = migrate.minimal_diff(a, b)
+        assert [x for o, x in d if o <= 0] == a and [x for o, x in d if o >= 0] == b
+        assert sum(o == 0 for o, _ in d) == _lcs(a, b)
+    assert migrate.minimal_diff(["a", "b"], ["a", "c"]) == [(0, "a"), (-1, "b"), (1, "c")]
+
+
+def test_version_diff_rows(spark):
+    v = spark.createDataFrame([(1, "2024-01-01", "One. Two. Three."), (1, "2024-01-02", "One. Three. Four."), (2, "2024-01-01", None)], "id long, t string, content string").withColumn("created_at", F.col("t").cast("timestamp_ntz"))
+    got = [(r.position, r.op, r.sentence.strip()) for r in migrate.version_diff(v).orderBy("position").collect()]
+    assert got == [(0, 0, "One."), (1, -1, "Two."), (2, -1, "Three."), (3, 1, "Three."), (4, 1, "Four.")] or got == [(0, 0, "One."), (1, -1, "Two."), (2, 0, "Three."), (3, 1, "Four.")]
+    assert migrate.version_diff(v.filter("id = 2")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, fixed",
+    [
+        ("D a t a S c i e n c e is fun", "data science is fun"), ("h e l l o world", "hello world"), ("T h e n e w m o d e l", "the new model"), ("fooBar end.Next", "foo Bar end. Next"), ("a b", "b"),
+        ("no change here", "no change here"), ("", ""), (None, ""), ("x y z1", "y z1"),
+    ],
+)
+def test_spaced_letters(spark, text, fixed):
+    assert one(spark, T.repair_spaced_letters(F.lit(text).cast("string"))) == fixed
+
+
+def test_sheet_rows(spark):
+    wide = ",".join(["", *[""] * 27, "far"])
+    text = f'a,"b, b"\n , \n"two\nlines",c\n\n{wide}\n'
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, content string")
+    got = files.clean_sheet_rows(df).collect()
+    assert [(r.row_no, r.A, r.B, len(r.cells)) for r in got] == [(1, "a", "b, b", 2), (2, "two\nlines", "c", 2), (3, "", "", 29)]
+    assert got[2].cells[28] == "far" and got[0].C is None
+    padded = files.clean_sheet_rows(df, 5).collect()
+    assert sorted((r.id, r.row_no) for r in padded) == [(i, k) for i in (1, 2) for k in range(1, 6)]
+    assert {r.Z for r in padded} == {""} and {r.A for r in padded if r.id == 2} == {""}
+
+
+def test_nested_metadata(spark):
+    df = spark.sql("select named_struct('a', ' x\\u0007 y ', 'n', 3, 'm', map(' k\\u0001 ', array('p  q', null))) as m, '{\"a \":[{\"b\":\" x\\\\u0007  y \",\"n\":1.5,\"t\":null}]}' as j")
+    r = df.select(T.sanitize_nested("m", df.schema["m"].dataType).alias("m"), T.sanitize_json("j").alias("j"), T.sanitize_json(F.lit("{broken")).alias("bad")).first()
+    assert (r.m.a, r.m.n, r.m.m) == ("x y", 3, {"k": ["p q", None]})
+    assert r.j == '{"a":[{"b":"x y","n":1.5,"t":null}]}' and r.bad is None
+    assert one(spark, T.sanitize_metadata(F.create_map(F.lit(" a\x01"), F.lit(None).cast("string")))) == {"a": ""}
+
+
+@pytest.mark.parametrize(
+    "query, profile, threshold",
+    [("two words", "strict", 0.3), ("one two three four five six seven eight", "strict", 0.4), ("one two three four", "strict", 0.35), ("two words", "debug", 0.15), ("what one two three four five six seven eight", "debug", 0.32), ('one "two"', "debug", 0.15)],
+)
+def test_other_threshold_profiles(spark, query, profile, threshold):
+    assert one(spark, T.dynamic_threshold(F.lit(query), 0.35, profile)) == pytest.approx(threshold)
+
+
+def test_strict_labels(spark):
+    got = [one(spark, T.relevance_label(F.lit(x), "strict")) for x in (0.8, 0.7, 0.5, 0.3, 0.29)]
+    assert got == ["Highly Relevant", "Very Relevant", "Relevant", "Somewhat Relevant", "Low Relevance"]
+
+
+def test_book_sections(spark):
+    schema = "query_id long, rank int, result_id string, chunk_id long, document_id long, chunk_index int, content string, title string, similarity double, keyword_boost double, file_type string, chapter_title string, chapter_order int"
+    rows = [(1, 1, "a", 1, 1, 4, "x", "t", 0.9, None, "epub", "Storms", 2), (1, 2, "b", 2, 1, 5, "x", "t", 0.8, None, "epub", None, 3), (1, 3, "c", 3, 2, 6, "x", "t", 0.7, None, "pdf", "Storms", 2), (1, 4, "d", 4, 1, 7, "x", "t", 0.6, None, "epub", "Storms", None)]
+    got = [r.section for r in rerank.format_results(spark.createDataFrame(rows, schema)).orderBy("rank").collect()]
+    assert got == ["Chapter: Storms", "Chapter: Chapter 4", "Chunk 7", "Chunk 8"]
+
+
+def test_short_summaries_of_long_blanks(spark):
+    for text in ("  " * 5000 + "word " * 10, ("ab" + " " * 400) * 200, "x" * 149, "x" * 150, "x" * 151, " " + "y" * 150 + " \n", "z" * 151 + " more", "", "\u3000 \n"):
+        whole = " ".join(text.split())
+        cut = whole[:151].rpartition(" ")[0]
+        want = whole if len(whole) <= 150 else (cut or whole[:150]) + "..."
+        assert one(spark, T.summarize(F.lit(text))) == want
+
+
+def test_search_runs_once(spark):
+    from conftest import DATA
+
+    from docfold.plans.registry import QUERIES
+
+    df = QUERIES["v13_search_pipeline"](spark, DATA)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1
