@@ -8,9 +8,11 @@ of ``length`` are equal, and equal ones are verified byte by byte.
 Only suffixes that may have an equal are sorted.  Each window of ``length`` bytes picks an anchor (the gram in
 it with the smallest hash), so equal windows pick equal anchors at equal places, and consecutive windows with
 one anchor form a run.  Blocks of documents ask the hash ranges about their runs (anchor hash and hash of the
-run's whole text): runs whose anchor occurs once are done, runs that equal an earlier run repeat it as a
-whole, and what is left is sent by anchor to the tasks that sort.  Anchors with very many different runs are
-spread over salted sorts, whose survivors meet once more by the hash of their window.
+run's whole text): runs whose anchor occurs once are done, runs with the hash of an earlier run repeat it as a
+whole, and what is left is sent by anchor to the tasks that sort.  Runs that were taken for equal go there too,
+with the first of their kind, and their bytes are compared; those that differ are sorted after all.  Anchors
+with very many different runs are spread over salted sorts, whose survivors meet once more by the hash of their
+window.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ GRAM = 32
 ASKED = 16
 #: An anchor with more different runs than this is sorted in salted parts.
 HOT = 1000
-DONE, REPEAT, SORT, SALTED, AGAIN = 0, 1, 2, 3, 128
-_PLACE = np.uint64((1 << 28) - 1)
+#: States of runs; FIRST is added where later runs repeat one, AGAIN where a repeat's anchor is salted.
+DONE, REPEAT, SORT, SALTED, FIRST, AGAIN = 0, 1, 2, 3, 64, 128
+#: Places in a block's text; a row holds 2**31 bytes at most, and a block less than that before its last row.
+_PLACE = np.uint64((1 << 34) - 1)
 
 
 class Runs:
     """Runs of windows with one anchor in texts laid end to end: first and last start, anchor, hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, bits: int = 64) -> None:
+        self.data, self.length = data, length
         size = np.diff(offsets)
         begin = offsets[:-1][size >= length]
         stop = offsets[1:][size >= length] - length + 1
@@ -69,13 +74,27 @@ class Runs:
         self.lo, self.anchor = starts[k], anchor[k]
         self.hi = starts[np.append(k[1:], len(starts)) - 1]
         self.gram = gram[self.anchor]
-        self.text = mix(span_hashes(self.prefix, self.lo, self.hi + length) + (self.anchor - self.lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        self.text = mix(span_hashes(self.prefix, self.lo, self.hi + length) + (self.anchor - self.lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) & np.uint64((1 << bits) - 1)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bytes of runs ``a`` and ``b``, or the places of their anchors, differ."""
+        size = self.hi - self.lo + self.length
+        out = (size[a] != size[b]) | (self.anchor[a] - self.lo[a] != self.anchor[b] - self.lo[b])
+        left = np.flatnonzero(~out)
+        done = np.cumsum(size[a[left]])
+        for part in np.split(left, np.searchsorted(done, np.arange(1 << 20, int(done[-1]) if len(done) else 0, 1 << 20))):
+            if len(part):
+                n = size[a[part]]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                unlike = self.data[np.repeat(self.lo[a[part]], n) + step] != self.data[np.repeat(self.lo[b[part]], n) + step]
+                out[part] = np.add.reduceat(unlike, np.cumsum(n) - n) > 0
+        return out
 
 
 class BlockText:
     """One block's rows in the order of their ids, and its runs."""
 
-    def __init__(self, table: pa.Table, length: int) -> None:
+    def __init__(self, table: pa.Table, length: int, bits: int = 64) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.table = table
         text = table.column("text").cast(pa.large_binary()).combine_chunks()
@@ -86,10 +105,16 @@ class BlockText:
         self.data = self.data[self.offsets[0] : self.offsets[-1]]
         self.offsets = self.offsets - self.offsets[0]
         self.ids = np.array(table.column("doc_id").fill_null(-(1 << 63)).to_numpy())
-        self.runs = Runs(self.data, self.offsets, length)
+        self.runs = Runs(self.data, self.offsets, length, bits)
         self.row = np.searchsorted(self.offsets, self.runs.lo, "right") - 1
         # The first run of each text, in order; later equal runs repeat it.
-        _, own, self.kind = np.unique(self.runs.text, return_index=True, return_inverse=True)
+        _, own, kind = np.unique(self.runs.text, return_index=True, return_inverse=True)
+        later = np.setdiff1d(np.arange(len(kind)), own)
+        unlike = later[self.runs.differ(later, own[kind[later]])]
+        if len(unlike):
+            # Equal hashes of different texts: each of these gets a hash of its own, and bytes decide in the sort.
+            self.runs.text[unlike] = mix(self.runs.text[unlike] + mix(unlike.astype(np.uint64) + np.uint64(1)))
+            own = np.append(own, unlike)
         self.fresh = np.sort(own)
         self.repeats = np.ones(len(self.runs.lo), bool)
         self.repeats[self.fresh] = False
@@ -118,7 +143,8 @@ class BlockText:
 def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarray, most: int = HOT) -> np.ndarray:
     """State of every asked run of one range: DONE, REPEAT, SORT, or SALTED + log2 of the number of salts.
 
-    A repeat of an anchor with salts has both: runs of that anchor that weren't asked about need the salts.
+    A repeat of an anchor with salts has both: runs of that anchor that weren't asked about need the salts.  The
+    first of several runs of one hash has FIRST besides.
     """
     order = np.lexsort((ids, texts, grams))
     g, t = grams[order], texts[order]
@@ -132,7 +158,9 @@ def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarr
     salts = np.clip(np.ceil(np.log2(np.maximum(kinds / (most / 2), 2))), 1, 40).astype(np.int64)
     state = np.where(kinds == 1, DONE, np.where(hot, SALTED + salts, SORT))[group]
     out = np.empty(len(g), np.uint8)
-    out[order] = np.where(new_t, state, np.where(hot[group], AGAIN + state, REPEAT))
+    kind = np.cumsum(new_t) - 1
+    several = np.bincount(kind)[kind] > 1
+    out[order] = np.where(new_t, state + FIRST * several, np.where(hot[group], AGAIN + state, REPEAT))
     return out
 
 
@@ -234,7 +262,7 @@ def _second_hash(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT, hash_bits: int = 64) -> DataFrame:
     """``doc_id, n_bytes, spans`` (array of start, end: maximal removed byte runs), ``kept`` (binary), ``carried``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: at a smaller id, or earlier in
@@ -242,7 +270,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are integers; null ids come first.  Null text counts as empty.  Rows that repeat an id come in the
     order of their texts.  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
-    named in ``carry`` return in the struct ``carried``, others are ignored.
+    named in ``carry`` return in the struct ``carried``, others are ignored.  ``hash_bits`` is how much of a run's
+    hash is used (few, in tests, make runs collide).
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
@@ -254,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried_arrow = to_arrow_type(carried)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        block = BlockText(table, length)
+        block = BlockText(table, length, hash_bits)
         which, r, more, _ = block.asked(ranges, asked_runs)
         cut = np.searchsorted(r, np.arange(ranges + 1)).tolist()
         there = [k for k in range(ranges) if cut[k] < cut[k + 1]]
@@ -273,55 +302,61 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n = len(parts)
         return pa.table({"block": table.column("block"), "kind": pa.array([0] * n, pa.int32()), "at": table.column("range").cast(pa.int64()), "n": pa.array([0] * n, pa.int64()), "data": pa.array([pack(x) for x in np.split(state, sizes)], pa.binary())})
 
-    def states(block: BlockText, info: pa.Table) -> np.ndarray:
-        """State of every run; runs that repeat one of their own block are REPEAT."""
+    def states(block: BlockText, info: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State of every run (runs that repeat one of their own block are REPEAT), log2 of its salts, and whether
+        its bytes are to be compared with those of other blocks."""
         which, r, _, rest = block.asked(ranges, asked_runs)
-        out = np.full(len(block.runs.lo), REPEAT, np.uint8)
+        raw = np.full(len(block.runs.lo), REPEAT, np.uint8)
         given = {a: d for k, a, d in zip(*(info.column(c).to_pylist() for c in ("kind", "at", "data"))) if k == 0}
         for k in np.unique(r).tolist():
             if k not in given:
                 raise RuntimeError("a hash range didn't answer a block")
-            out[which[r == k]] = unpack(given[k], "u1")[0]
+            raw[which[r == k]] = unpack(given[k], "u1")[0]
+        check = np.zeros(len(raw), bool)
+        check[which] = (raw[which] == REPEAT) | (raw[which] >= FIRST)
         # Runs that weren't asked about go where their anchor's asked runs go.
         if len(rest):
             by_gram = np.argsort(block.runs.gram[which], kind="stable")
             g = block.runs.gram[which][by_gram]
-            told = out[which][by_gram]
+            told = raw[which][by_gram]
             for x in rest.tolist():
                 a, b = np.searchsorted(g, block.runs.gram[x]), np.searchsorted(g, block.runs.gram[x], "right")
-                out[x] = told[a:b].max() % AGAIN
-        return np.where(out >= AGAIN, REPEAT, out)
+                raw[x] = (told[a:b] % FIRST).max()
+        state = raw % FIRST
+        salts = np.maximum(state.astype(np.int64) - SALTED, 0)
+        return np.where(raw >= AGAIN, REPEAT, state), salts, check
 
     def fragments(key: tuple, table: pa.Table, info: pa.Table) -> pa.Table:
-        block = BlockText(table, length) if table.num_rows else None
-        runs = block.runs if block else None
-        state = states(block, info) if block else np.zeros(0, np.uint8)
-        pick = np.flatnonzero(state >= SORT)
-        # A hot anchor's repeats of runs elsewhere are decided; its fresh runs are salted by their text.
-        salt = np.where(state[pick] > SORT, runs.text[pick] & ((np.uint64(1) << np.maximum(state[pick].astype(np.int64) - SALTED, 0).astype(np.uint64)) - np.uint64(1)), 0).astype(np.int64) if block else pick
-        body = block.data.tobytes() if block else b""
-        text = [body[a : b + length] for a, b in zip(runs.lo[pick].tolist(), runs.hi[pick].tolist())] if block else []
-        n = len(pick)
-        empty = np.zeros(0, np.int64)
-        return pa.table(
-            {
-                "gram": runs.gram[pick].view(np.int64) if block else empty,
-                "salt": salt,
-                "hot": pa.array((state[pick] > SORT).tolist(), pa.bool_()),
-                "doc_id": block.ids[block.row[pick]] if block else empty,
-                "block": pa.array([key[0].as_py()] * n, pa.int64()),
-                "lo": runs.lo[pick] if block else empty,
-                "back": (runs.anchor - runs.lo)[pick] if block else empty,
-                "text": pa.array(text, pa.binary()),
-            }
-        )
+        block = BlockText(table, length, hash_bits) if table.num_rows else None
+        if block is None or not len(block.runs.lo):
+            return pa.table({k: pa.array([], t) for k, t in fragment_types})
+        runs = block.runs
+        state, salts, check = states(block, info)
+        # What is taken for a repeat, and what it repeats, goes along for a check.
+        pick = np.flatnonzero((state >= SORT) | check)
+        # Fresh runs of a hot anchor are salted by their text, so that equal ones stay together.
+        salt = (runs.text[pick] & ((np.uint64(1) << salts[pick].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        body = block.data.tobytes()
+        text = [body[a : b + length] for a, b in zip(runs.lo[pick].tolist(), runs.hi[pick].tolist())]
+        columns = (
+            runs.gram[pick].view(np.int64), salt, runs.text[pick].view(np.int64), pa.array(state[pick] < SORT), pa.array(salts[pick] > 0), block.ids[block.row[pick]],
+            np.full(len(pick), key[0].as_py()), runs.lo[pick], (runs.anchor - runs.lo)[pick], pa.array(text, pa.binary()),
+        )
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip(fragment_types, columns)})
+
+    fragment_types = [("gram", pa.int64()), ("salt", pa.int64()), ("kind", pa.int64()), ("check", pa.bool_()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("block", pa.int64()), ("lo", pa.int64()), ("back", pa.int64()), ("text", pa.binary())]
 
     def sorter(hot: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
-            total, last = 0, None
+            total, last, first = 0, None, None
             for b in batches:
                 b = b.filter(b.column("hot") if hot else pa.compute.invert(b.column("hot")))
+                if not b.num_rows:
+                    continue
+                b, first, unlike = compared(b, first)
+                if unlike.num_rows:
+                    yield not_repeats(unlike)
                 if not b.num_rows:
                     continue
                 # A group is sorted as a whole: cut where the key changes.
@@ -346,14 +381,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def rebuild(key: tuple, table: pa.Table, info: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_bytes", "spans", "kept", "carried"), (pa.int64(), pa.int64(), spans_type, pa.binary(), carried_arrow))})
-        block = BlockText(table, length)
-        state = states(block, info)
+        block = BlockText(table, length, hash_bits)
+        state, _, _ = states(block, info)
         change = np.zeros(len(block.data) + 1, np.int64)
         again = state == REPEAT
-        np.add.at(change, block.runs.lo[again], 1)
-        np.add.at(change, block.runs.hi[again] + length, -1)
         told = np.array(info.column("kind")) == 1
         at, n = np.array(info.column("at"))[told], np.array(info.column("n"))[told]
+        # Of runs with the hash of another but other bytes, the sort has told which starts repeat.
+        again &= ~np.isin(block.runs.lo, at[n < 0])
+        at, n = at[n > 0], n[n > 0]
+        np.add.at(change, block.runs.lo[again], 1)
+        np.add.at(change, block.runs.hi[again] + length, -1)
         np.add.at(change, at, 1)
         np.add.at(change, at + n - 1 + length, -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -379,8 +417,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_block = rows.groupBy("block")
     asked = by_block.applyInArrow(ask, "range int, block long, data binary")
     replies = asked.groupBy("range").applyInArrow(reply, form)
-    frags = by_block.cogroup(replies.groupBy("block")).applyInArrow(fragments, "gram long, salt long, hot boolean, doc_id long, block long, lo long, back long, text binary")
-    dealt = frags.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    frags = by_block.cogroup(replies.groupBy("block")).applyInArrow(fragments, "gram long, salt long, kind long, check boolean, hot boolean, doc_id long, block long, lo long, back long, text binary")
+    # Of one kind, what is sorted comes first, then what is compared with it, the smallest id before others.
+    dealt = frags.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "kind", "check", "doc_id", "block", "lo")
     sorted_form = "block long, at long, n long, range int, data binary"
     marks = dealt.mapInArrow(sorter(False), sorted_form)
     hot = dealt.mapInArrow(sorter(True), sorted_form)
@@ -393,6 +432,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out if carry else out.drop("carried")
 
 
+_KIND = ("gram", "salt", "kind", "back", "text")
+
+
+def compared(b: pa.RecordBatch, first: pa.RecordBatch | None) -> tuple[pa.RecordBatch, pa.RecordBatch, pa.RecordBatch]:
+    """What is to be sorted of a batch in order of kinds, the first row of its last kind, and the checked rows that
+    differ from the first row of their kind.
+
+    Rows to check leave if they equal that row; else both are sorted.  ``first`` is what the batch before gave.
+    """
+    rows = pa.Table.from_batches([b]) if first is None else pa.Table.from_batches([first, b])
+    rows = rows.combine_chunks()
+    kind = np.stack([np.array(rows.column(k)) for k in _KIND[:3]], 1)
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]).any(1)
+    place = np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0))
+    check = np.array(rows.column("check"))
+    look = np.flatnonzero(check & ~new)
+    theirs = rows.take(pa.array(place[look]))
+    own = rows.take(pa.array(look))
+    same = np.array(pa.compute.and_(pa.compute.equal(own.column("text"), theirs.column("text")), pa.compute.equal(own.column("back"), theirs.column("back"))), bool)
+    keep = ~check
+    unlike = look[~same]
+    if len(unlike):
+        keep[unlike] = True
+        keep[place[unlike]] = True
+    if first is not None:  # was given out before, unless it was one to check
+        keep[0] &= bool(check[0])
+    plain = lambda t: (t.to_batches() or [b.slice(0, 0)])[0]
+    last = int(place[-1])
+    nxt = plain(rows.slice(last, 1).combine_chunks())
+    if keep[last] and check[last]:  # sorted already: it isn't given out again with the next batch
+        nxt = nxt.set_column(nxt.schema.get_field_index("check"), "check", pa.array([False]))
+    return plain(rows.filter(pa.array(keep)).combine_chunks()), nxt, plain(rows.take(pa.array(unlike)).combine_chunks())
+
+
+def not_repeats(rows: pa.RecordBatch) -> pa.RecordBatch:
+    n = rows.num_rows
+    return pa.RecordBatch.from_arrays([rows.column("block"), rows.column("lo"), pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["block", "at", "n", "range", "data"])
+
+
 def _sorted(held: list[pa.RecordBatch], length: int, ranges: int) -> pa.RecordBatch:
     """Repeats among whole groups of fragments, as runs of starts.
 

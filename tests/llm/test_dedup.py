@@ -219,6 +219,13 @@ def test_repeats_against_brute_force(spark, asked, hot):
     assert removed(remove_repeats(frame(spark, rows), block_bytes=4000, asked_runs=asked, hot_runs=hot)) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("bits, hot", [(0, 1000), (2, 1000), (5, 3)])
+def test_repeats_with_colliding_hashes(spark, bits, hot):
+    """With hashes of so few bits that most runs collide, within blocks and between them, bytes still decide."""
+    rows = passages()
+    assert removed(remove_repeats(frame(spark, rows), block_bytes=4000, hot_runs=hot, hash_bits=bits)) == brute_repeats(rows)
+
+
 def test_repeats_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op3_suffix_dedup(spark, DATA).collect()}
