@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pack, range_of, ranges_of, unpack, with_blocks
+from .blocks import pack, range_of, unpack, with_blocks
 from .common import ascii_lower, give_back, mix, prefix_hashes, bounded_batches, span_hashes, text_steps, word_spans
 
 #: Counts up to this are discounted.
@@ -90,7 +90,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row, over its whole text.
 
     ``train`` tells which rows the model learns from (null: not).  Tokens are words ``[^\\x20\\x09-\\x0D]+`` after
@@ -104,8 +104,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranges = ranges_of(spark)
-    rows, n_blocks = with_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "doc_id", "text", block_bytes, ("train",))
+    rows, n_blocks, ranges = with_blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "doc_id", "text", block_bytes, range_bytes, ("train",))
     by_block = rows.groupBy("block")
     form = "block long, kind int, at long, data binary, heads binary"
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import pack, range_of, ranges_of, unpack, with_blocks
+from .blocks import pack, range_of, unpack, with_blocks
 from .common import give_back, mix, powers, prefix_hashes, bounded_batches, span_hashes
 
 GRAM = 32
@@ -140,13 +140,13 @@ class BlockText:
         return self.fresh[ask[by_range]], r[by_range], more[ask[by_range]], self.fresh[rest]
 
 
-def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarray, most: int = HOT) -> np.ndarray:
+def answer(grams: np.ndarray, texts: np.ndarray, ids: np.ndarray, more: np.ndarray, blocks: np.ndarray, most: int = HOT) -> np.ndarray:
     """State of every asked run of one range: DONE, REPEAT, SORT, or SALTED + log2 of the number of salts.
 
     A repeat of an anchor with salts has both: runs of that anchor that weren't asked about need the salts.  The
     first of several runs of one hash has FIRST besides.
     """
-    order = np.lexsort((ids, texts, grams))
+    order = np.lexsort((blocks, ids, texts, grams))
     g, t = grams[order], texts[order]
     new_g, new_t = np.ones(len(g), bool), np.ones(len(g), bool)
     new_g[1:] = g[1:] != g[:-1]
@@ -262,14 +262,14 @@ def _second_hash(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT, hash_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, range_bytes: int = 16 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT, hash_bits: int = 64) -> DataFrame:
     """``doc_id, n_bytes, spans`` (array of start, end: maximal removed byte runs), ``kept`` (binary), ``carried``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: at a smaller id, or earlier in
     the same document.  Strings are judged on the input, don't cross rows, and may overlap.
 
-    Ids are integers; null ids come first.  Null text counts as empty.  Rows that repeat an id come in the
-    order of their texts.  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
+    Ids are integers; null ids come first.  Null text counts as empty.  Rows that repeat an id come in an
+    order that their texts fix.  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
     named in ``carry`` return in the struct ``carried``, others are ignored.  ``hash_bits`` is how much of a run's
     hash is used (few, in tests, make runs collide).
     """
@@ -277,8 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be {GRAM} or more")
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranges = ranges_of(spark)
-    rows, _ = with_blocks(docs, id_col, text_col, block_bytes, carry)
+    rows, _, ranges = with_blocks(docs, id_col, text_col, block_bytes, range_bytes, carry)
     carried = rows.schema["carried"].dataType
     carried_arrow = to_arrow_type(carried)
 
@@ -298,7 +297,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def reply(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(x, "u8", "u8", "i8", "u4") for x in table.column("data").to_pylist()]
         sizes = np.cumsum([len(p[0]) for p in parts])[:-1]
-        state = answer(*(np.concatenate(x) for x in (*zip(*((p[0], p[1], np.cumsum(p[2]), p[3]) for p in parts)),)), most=hot_runs)
+        of_block = np.repeat(np.array(table.column("block")), [len(p[0]) for p in parts])
+        state = answer(*(np.concatenate(x) for x in (*zip(*((p[0], p[1], np.cumsum(p[2]), p[3]) for p in parts)),)), of_block, most=hot_runs)
         n = len(parts)
         return pa.table({"block": table.column("block"), "kind": pa.array([0] * n, pa.int32()), "at": table.column("range").cast(pa.int64()), "n": pa.array([0] * n, pa.int64()), "data": pa.array([pack(x) for x in np.split(state, sizes)], pa.binary())})
 
@@ -493,7 +493,7 @@ def _sorted(held: list[pa.RecordBatch], length: int, ranges: int) -> pa.RecordBa
     # Equal windows hold their anchor at the same place.
     bucket = group[frag] * length + back[frag] - step
     rank = np.empty(len(at), np.int64)
-    rank[np.lexsort((lo[frag] + step, doc[frag]))] = np.arange(len(at))
+    rank[np.lexsort((lo[frag] + step, block[frag], doc[frag]))] = np.arange(len(at))
     again = repeated_suffixes(data, at, bucket, rank, length)
     first = again.copy()
     first[1:] &= ~(again[:-1] & (frag[1:] == frag[:-1]))

@@ -246,6 +246,30 @@ def test_repeats_odd_rows(spark):
     assert {r.doc_id: r.text for r in out.collect()}[2].startswith("x") and out.filter("lang = 'en' and h = 'x'").count() == 2
 
 
+def test_tables_are_dropped(spark):
+    rows = near_duplicates(frame(spark, ODD)).collect()
+    assert rows
+    from docfold.llm.common import drop_tables, materialize
+
+    df = materialize(spark.range(3))
+    assert df.count() == 3
+    drop_tables(spark)
+    with pytest.raises(Exception):
+        df.count()
+
+
+def test_rows_that_share_an_id_are_spread(spark):
+    """Null and repeated ids don't gather in one block, and the result is that of the rows in the order given to them."""
+    from docfold.llm.blocks import with_blocks
+
+    rows = [(None, f"{k} " * 60) for k in range(300)] + [(7, f"x{k} " * 60) for k in range(300)]
+    blocks, n, _ = with_blocks(frame(spark, rows), "doc_id", "text", 4000, 1 << 20)
+    most = max(r["count"] for r in blocks.groupBy("block").count().collect())
+    assert n > 20 and most < 100
+    got = remove_repeats(frame(spark, rows + [(9, rows[5][1]), (9, rows[400][1])]), block_bytes=4000).collect()
+    assert len(got) == 602 and all(len(r.kept) == 0 for r in got if r.doc_id == 9)
+
+
 def test_suffix_sort_verifies_bytes(monkeypatch):
     """With hashes that all collide, bytes still decide."""
     import numpy as np
