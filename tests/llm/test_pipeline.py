@@ -52,3 +52,19 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_with_no_rows_and_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    own = ("component_id", "kept", "_stays", "_sha", "_rows", "block", "score", "label", "cell", "at", "carried", "h", "node")
+    more = docs.limit(12).withColumns({c: F.lit(c) for c in own}).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
+    for rows, n in ((more.limit(0), 0), (more, 12)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, DATA)
+            if name == "packing":
+                assert out.select("doc_id").distinct().count() == n
+            else:
+                assert out.columns == rows.columns and out.count() <= n
+                assert all(r[c] == c for r in out.select(*own).collect() for c in own)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -378,6 +379,21 @@ def test_packing(spark):
     assert odd.count() == 3 and packing.pack_documents(frame(spark, []), file).count() == 0
 
 
+def test_packing_query(spark):
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out, sequences = collections.defaultdict(list), collections.Counter()
+    for r in queries.op9_packing(spark, DATA).collect():
+        out[r.doc_id].append(r)
+        sequences[r.sequence_id] += r.length
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert set(out) == {r.doc_id for r in docs} and max(sequences.values()) <= 1024
+    for d in docs:
+        ids = np.array([*tk.encode(d.text, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(out[d.doc_id], key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids) and [r.start for r in own] == np.cumsum([0, *[r.length for r in own[:-1]]]).tolist()
+        assert all((r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in own)
+
+
 def test_packing_matches_added_tokens(spark):
     file = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(file)
@@ -445,8 +461,12 @@ def test_top_k_repeated_ids():
 
 
 # ---- language model ----
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {k: k + 32 for k in range(65, 91)}
+
+
 def brute_katz(rows, train):
-    token = {i: [*(t or "").lower().split(), None] for i, t in rows}
+    token = {i: [*WORDS.findall((t or "").translate(LOWER)), None] for i, t in rows}
     c1, c2, ch, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
     for i, t in token.items():
         if train(i):
@@ -495,6 +515,17 @@ def test_katz_against_brute_force(spark, block_bytes):
         assert (r.base_score, r.score) == pytest.approx(w[3:])
 
 
+def test_katz_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = brute_katz(rows, lambda i: not held(i))
+    got = queries.op10_katz(spark, DATA).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == held(r.doc_id) and (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])
+
+
 def test_katz_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (2, None)], "doc_id long, text string")
     assert katz.katz_scores(df, F.lit(True)).count() == 4
