@@ -115,7 +115,7 @@ def added_tokens(tokenizer_file: str) -> dict[str, bytes]:
 class PieceEncoder:
     """Token ids of pieces as little-endian 32-bit bytes; each distinct piece is encoded once while cached."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 300_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 100_000) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
 

@@ -262,7 +262,7 @@ def _second_hash(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, range_bytes: int = 16 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT, hash_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 2 << 20, range_bytes: int = 16 << 20, carry: tuple[str, ...] = (), asked_runs: int = ASKED, hot_runs: int = HOT, hash_bits: int = 64, as_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, spans`` (array of start, end: maximal removed byte runs), ``kept`` (binary), ``carried``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: at a smaller id, or earlier in
@@ -271,7 +271,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are integers; null ids come first.  Null text counts as empty.  Rows that repeat an id come in an
     order that their texts fix.  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
     named in ``carry`` return in the struct ``carried``, others are ignored.  ``hash_bits`` is how much of a run's
-    hash is used (few, in tests, make runs collide).
+    hash is used (few, in tests, make runs collide).  With ``as_text`` there is ``text`` instead of ``kept``: what
+    the kept bytes spell, without what is left of characters that were cut.
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
@@ -380,7 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def rebuild(key: tuple, table: pa.Table, info: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_bytes", "spans", "kept", "carried"), (pa.int64(), pa.int64(), spans_type, pa.binary(), carried_arrow))})
+            return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_bytes", "spans", left, "carried"), (pa.int64(), pa.int64(), spans_type, left_type, carried_arrow))})
         block = BlockText(table, length, hash_bits)
         state, _, _ = states(block, info)
         change = np.zeros(len(block.data) + 1, np.int64)
@@ -407,11 +408,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for r, a, b in zip(row.tolist(), first.tolist(), stop.tolist()):
             spans[r].append({"start": a - int(block.offsets[r]), "end": b - int(block.offsets[r])})
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
-            kept.append(block.data[a:b][~gone[a:b]].tobytes())
+            one = block.data[a:b][~gone[a:b]].tobytes()
+            kept.append(one.decode("utf-8", "ignore") if as_text else one)
         t = block.table
         give_back()
-        return pa.table({"doc_id": t.column("doc_id"), "n_bytes": np.diff(block.offsets), "spans": pa.array(spans, spans_type), "kept": pa.array(kept, pa.binary()), "carried": t.column("carried")})
+        return pa.table({"doc_id": t.column("doc_id"), "n_bytes": np.diff(block.offsets), "spans": pa.array(spans, spans_type), left: pa.array(kept, left_type), "carried": t.column("carried")})
 
+    left, left_type = ("text", pa.string()) if as_text else ("kept", pa.binary())
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     form = "block long, kind int, at long, n long, data binary"
     by_block = rows.groupBy("block")
@@ -428,7 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     info = replies
     for x in found:
         info = info.unionByName(x)
-    out = by_block.cogroup(info.groupBy("block")).applyInArrow(rebuild, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, carried {carried.simpleString()}")
+    out = by_block.cogroup(info.groupBy("block")).applyInArrow(rebuild, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, {left} {"string" if as_text else "binary"}, carried {carried.simpleString()}")
     return out if carry else out.drop("carried")
 
 
@@ -536,14 +539,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     What is left of a character whose bytes are removed in part goes too.  A null text becomes empty.
     """
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    cut = remove_repeats(docs, id_col, text_col, length, carry=others)
-    text = docs.schema[text_col]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], ["doc_id", "text", "carried"])
-
-    carried = cut.schema["carried"].dataType.simpleString() if others else "int"
-    plain = (cut if others else cut.withColumn("carried", F.lit(None).cast("int"))).select("doc_id", "kept", "carried").mapInArrow(decode, f"doc_id long, text string, carried {carried}")
-    from_ = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text.name: F.col("text")} | {c: F.col("carried")[c] for c in others}
-    return plain.select(*[from_[c].alias(c) for c in docs.columns])
+    cut = remove_repeats(docs, id_col, text_col, length, carry=others, as_text=True)
+    from_ = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col("carried")[c] for c in others}
+    return cut.select(*[from_[c].alias(c) for c in docs.columns])
