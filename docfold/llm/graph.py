@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     until the edges form stars; the number of rounds grows with the logarithm of the graph.  Each round is
     written to the shared folder.  Self-loops and repeated edges do no harm; an empty list gives no rows.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    most = edges.count()
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), most)
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small)
+        # Rounds never add edges.
+        now = materialize(small, state[0])
         fresh = _state(now)
         if fresh == state:
             break
