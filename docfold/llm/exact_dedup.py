@@ -55,7 +55,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat id and text, one."""
     kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").groupBy(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_rows"))
     stays = materialize(kept, docs.count())
-    same = F.col(id_col).eqNullSafe(F.col("_stays")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_sha"))
+    same = docs[id_col].eqNullSafe(stays["_stays"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == stays["_sha"])
     out = docs.join(stays, same, "left_semi")
     # Whole texts are shuffled once more only where a row is repeated.
     return out if stays.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col, text_col])

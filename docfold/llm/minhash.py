@@ -326,4 +326,4 @@ def across_components(open_: DataFrame, full: DataFrame, percent: int, block: in
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps."""
     stays = near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
