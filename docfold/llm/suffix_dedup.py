@@ -280,7 +280,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     rows, _, ranges = with_blocks(docs, id_col, text_col, block_bytes, range_bytes, carry)
     carried = rows.schema["carried"].dataType
-    carried_arrow = to_arrow_type(carried)
+    # Fields that can't be null come back as fields that can.
+    carried_arrow = to_arrow_type(spark.createDataFrame([], f"carried {carried.simpleString()}").schema["carried"].dataType)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block = BlockText(table, length, hash_bits)
@@ -412,7 +413,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(one.decode("utf-8", "ignore") if as_text else one)
         t = block.table
         give_back()
-        return pa.table({"doc_id": t.column("doc_id"), "n_bytes": np.diff(block.offsets), "spans": pa.array(spans, spans_type), left: pa.array(kept, left_type), "carried": t.column("carried")})
+        return pa.table({"doc_id": t.column("doc_id"), "n_bytes": np.diff(block.offsets), "spans": pa.array(spans, spans_type), left: pa.array(kept, left_type), "carried": t.column("carried").cast(carried_arrow)})
 
     left, left_type = ("text", pa.string()) if as_text else ("kept", pa.binary())
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
