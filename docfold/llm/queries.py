@@ -10,6 +10,7 @@ from . import byte_bpe as _bpe
 from . import exact_dedup as _exact
 from . import katz as _katz
 from . import langid as _lang
+from . import line_dedup as _lines
 from . import minhash as _minhash
 from . import packing as _packing
 from . import quality as _quality
@@ -86,7 +87,11 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing, "op10_katz": op10_katz}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing, "op10_katz": op10_katz, "op13_line_dedup": op13_line_dedup}
 
 ORACLES = {
     "op8_exact_topk": """
@@ -105,4 +110,15 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, l[n] AS line, n, translate(trim(l[n], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(n)
+        ), held AS (
+            SELECT key, min(doc_id) AS keeper FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        ), told AS (
+            SELECT lines.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines LEFT JOIN held USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id
+    """,
 }
