@@ -17,6 +17,7 @@ from . import quality as _quality
 from . import suffix_dedup as _suffix
 from . import toxicity as _tox
 from . import vector_search as _vectors
+from . import whitening as _white
 from .common import crc32_mod, table
 
 
@@ -87,11 +88,16 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _white.whitened_components(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing, "op10_katz": op10_katz, "op13_line_dedup": op13_line_dedup}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_minhash": op5_minhash, "op6_langid": op6_langid, "op7_exact_dedup": op7_exact_dedup, "op8_exact_topk": op8_exact_topk, "op9_packing": op9_packing, "op10_katz": op10_katz, "op11_whitening": op11_whitening, "op13_line_dedup": op13_line_dedup}
 
 ORACLES = {
     "op8_exact_topk": """
