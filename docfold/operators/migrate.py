@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART = "struct<type:string,text:string,content:string,reasoning:string,toolCallId:string,toolName:string>"
+def field(part: Column, name: str, kind: str = "string") -> Column:
+    """A part's field; null where the part has none, or none of that kind."""
+    return F.try_variant_get(part, f"$.{name}", kind)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often the functions within ask for it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def parts_of(content: Column) -> Column:
-    """Content as an array of parts; plain text is one text part."""
-    text = F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text"))), PART))
-    return F.coalesce(F.when(content.startswith("["), F.from_json(content, f"array<{PART}>")), text)
+    """Content as an array of variants, one for each part with all its fields; what isn't a JSON array is one text part."""
+    text = F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), content.alias("text"))))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(content), "$", "array<variant>"), text)
 
 
 def message_rank(role: Column, parts: Column) -> Column:
     """G1: order among messages of one time: calls, their results, answers, others."""
-    has = lambda t: F.exists(parts, lambda p: p["type"] == t)
+    has = lambda t: F.exists(parts, lambda p: F.coalesce(field(p, "type") == t, F.lit(False)))
     return F.when((role == "assistant") & has("tool-call"), 0).when((role == "tool") & has("tool-result"), 1).when(role == "assistant", 2).otherwise(3)
 
 
@@ -30,39 +39,83 @@ def message_sections(messages: DataFrame) -> DataFrame:
 
 
 def dedupe_parts(parts: Column) -> Column:
-    """The first part of each type and content."""
-    key = lambda p: F.concat(p["type"], F.lit("|"), F.coalesce(p["content"], F.to_json(p)))
-    keys = F.transform(parts, key)
-    return F.filter(parts, lambda p, i: F.array_position(keys, key(p)) == i + 1)
+    """The first part of each type and content, or of each whole part where it has no content.
+
+    Contents are compared as JSON of any shape; the order of an object's fields makes no difference.
+    """
+
+    def key(p: Column) -> Column:
+        content = field(p, "content", "variant")
+        return F.concat(F.coalesce(field(p, "type"), F.lit("")), F.lit("|"), F.to_json(F.when(content.isNull() | F.is_variant_null(content), p).otherwise(content)))
+
+    firsts = lambda all_: once(F.transform(all_, key), lambda keys: F.filter(all_, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return once(parts, firsts)
 
 
 def drop_undefined_reasoning(parts: Column) -> Column:
     """Without reasoning parts that say ``undefined``."""
-    return F.filter(parts, lambda p: ~((p["type"] == "reasoning") & F.coalesce(p["reasoning"] == "undefined", F.lit(False))))
+    return F.filter(parts, lambda p: ~(F.coalesce(field(p, "type") == "reasoning", F.lit(False)) & F.coalesce(field(p, "reasoning") == "undefined", F.lit(False))))
+
+
+def attach_results(parts: Column) -> Column:
+    """Each tool call with the result of its ``toolCallId`` (the last one, if there are more), which then goes.
+
+    Results without a call, and calls without a result or with one of their own, stay as they are.
+    """
+    called = lambda p: F.coalesce(field(p, "type") == "tool-call", F.lit(False)) & field(p, "toolCallId").isNotNull() & field(p, "result", "variant").isNull()
+    told = lambda p: F.coalesce(field(p, "type") == "tool-result", F.lit(False))
+
+    def joined(p: Column, results: Column) -> Column:
+        body = F.to_json(p)
+
+        def with_result(mine: Column) -> Column:
+            found = F.coalesce(F.to_json(field(F.get(mine, F.size(mine) - 1), "result", "variant")), F.lit("null"))
+            whole = F.parse_json(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"result":'), found, F.lit("}")))
+            return F.when(F.size(mine) > 0, whole).otherwise(p)
+
+        return F.when(called(p), once(F.filter(results, lambda r: field(r, "toolCallId") == field(p, "toolCallId")), with_result)).otherwise(p)
+
+    def attached(all_: Column) -> Column:
+        calls = F.transform(F.filter(all_, called), lambda p: field(p, "toolCallId"))
+        rest = once(calls, lambda ids: F.filter(all_, lambda p: ~(told(p) & F.coalesce(F.array_contains(ids, field(p, "toolCallId")), F.lit(False)))))
+        return once(F.filter(all_, told), lambda results: F.when(F.size(results) > 0, F.transform(rest, lambda p: joined(p, results))).otherwise(all_))
+
+    return once(parts, attached)
 
 
 def migrate_messages(messages: DataFrame, votes: DataFrame, id_from: str = "first") -> tuple[DataFrame, DataFrame]:
-    """Messages as user and merged assistant rows with parts, and the votes on what is left.
+    """``id, chat_id, role, parts, attachments, created_at`` as user and merged assistant rows, and the votes left.
+
+    Parts are variants and keep every field, whatever its shape: arguments and results of calls, images, files.  A
+    section's assistant and tool messages become one assistant row with their parts in order, results attached to
+    their calls; its id and time are those of the first assistant message (``id_from="last"``: id of the last).
+    Sections without assistant messages keep their user row alone; other roles go.  Attachments start out empty.
 
-    A section's assistant and tool messages become one assistant row with their parts in order; its id and time
-    are those of the first assistant message (``id_from="last"``: id of the last).  Sections without assistant
-    messages keep their user row alone; other roles go.
+    A section's contents meet as JSON text, as variants can't be sorted.
     """
-    s = message_sections(messages).withColumn("parts", parts_of(F.col("content")))
-    user = s.filter("role = 'user'").select("id", "chat_id", "role", "parts", "created_at")
+    s = message_sections(messages)
+    user = s.filter("role = 'user'").select("id", "chat_id", "role", parts_of(F.col("content")).alias("parts"), "created_at")
     own = F.when(F.col("role") == "assistant", F.struct("created_at", "rank", "id"))
-    ordered = F.array_sort(F.collect_list(F.struct("created_at", "rank", "id", "parts")))
+    ordered = F.array_sort(F.collect_list(F.struct("created_at", "rank", "id", "content")))
     merged = (
         s.filter("role in ('assistant', 'tool')").groupBy("chat_id", "section")
-        .agg((F.min(own) if id_from == "first" else F.max(own)).alias("own"), F.min(own).alias("first"), F.flatten(F.transform(ordered, lambda x: x["parts"])).alias("parts"))
+        .agg((F.min(own) if id_from == "first" else F.max(own)).alias("own"), F.min(own).alias("first"), ordered.alias("said"))
         .filter("own is not null")
-        .select(F.col("own.id").alias("id"), "chat_id", F.lit("assistant").alias("role"), drop_undefined_reasoning(dedupe_parts(F.col("parts"))).alias("parts"), F.col("first.created_at").alias("created_at"))
+        .withColumn("parts", F.flatten(F.transform("said", lambda x: parts_of(x["content"]))))
+        .withColumn("parts", attach_results(F.col("parts")))
+        .withColumn("parts", dedupe_parts(F.col("parts")))
+        .select(F.col("own.id").alias("id"), "chat_id", F.lit("assistant").alias("role"), drop_undefined_reasoning(F.col("parts")).alias("parts"), F.col("first.created_at").alias("created_at"))
     )
-    out = user.unionByName(merged)
+    out = user.unionByName(merged).select("id", "chat_id", "role", "parts", F.array().cast("array<variant>").alias("attachments"), "created_at")
     kept = votes.join(merged.select("chat_id", F.col("id").alias("message_id")), ["chat_id", "message_id"], "left_semi")
     return out, kept
 
 
+def parts_json(parts: Column) -> Column:
+    """Parts as JSON text, as the ``parts`` column of the message table has them."""
+    return F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: F.to_json(p)), ","), F.lit("]"))
+
+
 MODEL_ROLES = {"user": "human", "assistant": "ai", "system": "system"}
 
 
@@ -71,7 +124,7 @@ def to_model_messages(messages: DataFrame) -> DataFrame:
     role = F.lit(None).cast("string")
     for k, v in MODEL_ROLES.items():
         role = F.when(F.col("role") == k, v).otherwise(role)
-    text = F.array_join(F.transform(F.filter(parts_of(F.col("content")), lambda p: p["type"] == "text"), lambda p: p["text"]), " ")
+    text = F.array_join(F.transform(F.filter(parts_of(F.col("content")), lambda p: field(p, "type") == "text"), lambda p: field(p, "text")), " ")
     return messages.select("id", role.alias("model_role"), text.alias("text"), role.isNull().alias("rejected"))
 
 

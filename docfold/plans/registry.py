@@ -753,7 +753,7 @@ def m12(t: Tables) -> DataFrame:
 
 
 # ---- migration ----
-@register("g1_message_rank", "SELECT id, CASE WHEN role = 'assistant' AND id % 2 = 0 THEN 0 WHEN role = 'assistant' THEN 2 ELSE 3 END AS rank FROM messages")
+@register("g1_message_rank", "SELECT DISTINCT id, rank FROM old_parts")
 def g1(t: Tables) -> DataFrame:
     return t.old_messages().select("id", migrate.message_rank(F.col("role"), migrate.parts_of(F.col("content"))).alias("rank"))
 
@@ -763,26 +763,28 @@ def g2(t: Tables) -> DataFrame:
     return migrate.message_sections(t.old_messages()).select("id", "chat_id", "section")
 
 
-@register("g3_dedupe_parts", "SELECT id, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS parts FROM messages")
-def g3(t: Tables) -> DataFrame:
-    return t.old_messages().select("id", F.size(migrate.dedupe_parts(migrate.parts_of(F.col("content")))).alias("parts"))
+#: A part's type and its content, or the whole part.
+_KEY = """regexp_extract(p.part, '"type":"([^"]+)"\\}$', 1) || '|' || coalesce(CAST(json_extract(p.part, '$.content') AS VARCHAR), p.part)"""
 
 
-@register("g4_drop_undefined_reasoning", "SELECT id, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS parts FROM messages")
-def g4(t: Tables) -> DataFrame:
-    return t.old_messages().select("id", F.size(migrate.drop_undefined_reasoning(migrate.parts_of(F.col("content")))).alias("parts"))
+@register("g3_dedupe_parts", f"SELECT id, '[' || string_agg(p.part, ',' ORDER BY p.k) || ']' AS parts FROM (SELECT id, p FROM old_parts QUALIFY row_number() OVER (PARTITION BY id, {_KEY} ORDER BY p.k) = 1) GROUP BY id")
+def g3(t: Tables) -> DataFrame:
+    return t.old_messages().select("id", migrate.parts_json(migrate.dedupe_parts(migrate.parts_of(F.col("content")))).alias("parts"))
 
 
-_MERGED_PARTS = """list_transform(list(struct_pack(ty := ty, tx := tx) ORDER BY created_at, rank, id, k), lambda x: x.ty || ':' || coalesce(x.tx, ''))"""
+@register("g4_drop_undefined_reasoning", """SELECT id, '[' || string_agg(p.part, ',' ORDER BY p.k) || ']' AS parts FROM old_parts WHERE p.part <> '{"reasoning":"undefined","type":"reasoning"}' GROUP BY id""")
+def g4(t: Tables) -> DataFrame:
+    return t.old_messages().select("id", migrate.parts_json(migrate.drop_undefined_reasoning(migrate.parts_of(F.col("content")))).alias("parts"))
 
 
-@register("g5_migrate_messages", f"""SELECT id, chat_id, role, CAST(created_at AS VARCHAR) AS created_at, 'text:' || content AS parts FROM messages WHERE role = 'user' UNION ALL
-    SELECT arg_min(id, (created_at, rank, id)), chat_id, 'assistant', CAST(min(created_at) AS VARCHAR), array_to_string(list_filter({_MERGED_PARTS}, lambda x, i: list_position({_MERGED_PARTS}, x) = i), '|') FROM (
-        SELECT *, 0 AS k, 'text' AS ty, content AS tx FROM ranked_messages WHERE role = 'assistant' UNION ALL SELECT *, 1, 'tool-call', NULL FROM ranked_messages WHERE role = 'assistant' AND id % 2 = 0) GROUP BY chat_id, section""")
+@register("g5_migrate_messages", f"""SELECT id, chat_id, role, CAST(created_at AS VARCHAR) AS created_at, '[' || p.part || ']' AS parts, 0 AS attachments FROM old_parts WHERE role = 'user' UNION ALL
+    SELECT arg_min(id, (created_at, rank, id)) FILTER (role = 'assistant'), chat_id, 'assistant', CAST(min(created_at) AS VARCHAR), '[' || string_agg(p.part, ',' ORDER BY (created_at, rank, id, p.k)) FILTER (p.part NOT LIKE '{{"reasoning":"undefined"%') || ']', 0 FROM (
+        SELECT * FROM (SELECT o.id, o.chat_id, o.role, o.created_at, o.rank, section, {{'k': p.k, 'part': CASE WHEN p.part LIKE '%"tool-call"}}' THEN replace(p.part, ',"toolCallId"', ',"result":{{"hits":[' || o.id || '],"more":null}},"toolCallId"') ELSE p.part END}} AS p
+            FROM old_parts o JOIN ranked_messages USING (id) WHERE o.role = 'assistant')
+        QUALIFY row_number() OVER (PARTITION BY chat_id, section, {_KEY} ORDER BY created_at, rank, id, p.k) = 1) GROUP BY chat_id, section""")
 def g5(t: Tables) -> DataFrame:
     out, _ = migrate.migrate_messages(t.old_messages(), t.votes())
-    parts = F.array_join(F.transform("parts", lambda p: F.concat(p["type"], F.lit(":"), F.coalesce(p["text"], F.lit("")))), "|")
-    return times(out.select("id", "chat_id", "role", "created_at", parts.alias("parts")), "created_at")
+    return times(out.select("id", "chat_id", "role", "created_at", migrate.parts_json(F.col("parts")).alias("parts"), F.size("attachments").alias("attachments")), "created_at")
 
 
 @register("g5_migrate_votes", "SELECT chat_id, message_id, is_upvoted FROM votes WHERE message_id IN (SELECT arg_min(id, (created_at, rank, id)) FROM ranked_messages WHERE role = 'assistant' GROUP BY chat_id, section)")

@@ -128,8 +128,15 @@ CTES = {
     "cache_writes": "SELECT user_id, md5(props) AS query_hash, ts FROM events WHERE event_type = 'click'",
     "doc_sizes": "SELECT document_id, count(*) AS n, sum(length(content)) AS chars, min(created_at) AS first, max(created_at) AS last FROM chunks GROUP BY 1",
     "cutoffs": "SELECT chat_id, max(created_at) FILTER (role = 'user') AS ts FROM messages WHERE chat_id % 3 = 0 GROUP BY 1",
+    "old_parts": """SELECT id, chat_id, role, created_at, rank, unnest(list_transform(parts, lambda p, k: {'k': k, 'part': p})) AS p FROM (
+        SELECT id, chat_id, role, created_at, CASE WHEN role = 'assistant' AND id % 2 = 0 THEN 0 WHEN role = 'assistant' THEN 2 ELSE 3 END AS rank,
+            CASE WHEN role = 'assistant' AND id % 2 = 0 THEN [full_text, '{"args":{"limit":3,"tags":["a",' || id || ']},"toolCallId":"c' || id || '","toolName":"search","type":"tool-call"}']
+                 WHEN role = 'assistant' THEN [said, said, '{"reasoning":"undefined","type":"reasoning"}', '{"image":"data:' || id || '/1","type":"image"}', '{"image":"data:' || id || '/2","type":"image"}', '{"image":"data:' || id || '/1","type":"image"}']
+                 ELSE [full_text] END AS parts
+        FROM (SELECT *, '{"content":' || to_json(content) || ',"text":' || to_json(content) || ',"type":"text"}' AS full_text, '{"text":' || to_json(content) || ',"type":"text"}' AS said FROM messages)
+        UNION ALL SELECT id + 100000000, chat_id, 'tool', created_at, 1, ['{"result":{"hits":[' || id || '],"more":null},"toolCallId":"c' || id || '","toolName":"search","type":"tool-result"}'] FROM messages WHERE role = 'assistant' AND id % 2 = 0)""",
     "ranked_messages": """SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY created_at, rank, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section
-        FROM (SELECT *, CASE WHEN role = 'assistant' AND id % 2 = 0 THEN 0 WHEN role = 'assistant' THEN 2 ELSE 3 END AS rank FROM messages)""",
+        FROM (SELECT DISTINCT id, chat_id, role, created_at, rank FROM old_parts)""",
 }
 
 

@@ -127,10 +127,17 @@ class Tables:
         return self.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant").alias("role"))
 
     def old_messages(self) -> DataFrame:
-        """Messages of the old shape: JSON parts, with calls, repeats and empty reasoning mixed in."""
-        text = F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.col("content").alias("content")))
-        call = F.lit('{"type":"tool-call","toolCallId":"c1","toolName":"search"}')
-        idle = F.lit('{"type":"reasoning","reasoning":"undefined"}')
-        odd = F.col("id") % 2 == 1
-        body = F.when((F.col("role") == "assistant") & ~odd, F.concat(F.lit("["), text, F.lit(","), call, F.lit("]"))).when((F.col("role") == "assistant") & odd, F.concat(F.lit("["), text, F.lit(","), text, F.lit(","), idle, F.lit("]")))
-        return self.messages().select("id", "chat_id", "role", body.otherwise(F.concat(F.lit("["), text, F.lit("]"))).alias("content"), "created_at")
+        """Messages of the old shape: JSON parts, with calls and their results, repeats, images and empty reasoning mixed in."""
+        i, lit = F.col("id").cast("string"), F.lit
+        text = F.to_json(F.struct(F.col("content").alias("content"), F.col("content").alias("text"), lit("text").alias("type")))
+        said = F.to_json(F.struct(F.col("content").alias("text"), lit("text").alias("type")))
+        call = F.concat(lit('{"args":{"limit":3,"tags":["a",'), i, lit(']},"toolCallId":"c'), i, lit('","toolName":"search","type":"tool-call"}'))
+        result = F.concat(lit('[{"result":{"hits":['), i, lit('],"more":null},"toolCallId":"c'), i, lit('","toolName":"search","type":"tool-result"}]'))
+        image = lambda n: F.concat(lit('{"image":"data:'), i, lit(f'/{n}","type":"image"}}'))
+        idle = lit('{"reasoning":"undefined","type":"reasoning"}')
+        listed = lambda *parts: F.concat(lit("["), F.concat_ws(",", *parts), lit("]"))
+        mine, odd = F.col("role") == "assistant", F.col("id") % 2 == 1
+        body = F.when(mine & ~odd, listed(text, call)).when(mine & odd, listed(said, said, idle, image(1), image(2), image(1))).otherwise(listed(text))
+        m = self.messages()
+        rows = m.select("id", "chat_id", "role", body.alias("content"), "created_at")
+        return rows.unionByName(m.filter(mine & ~odd).select((F.col("id") + 100_000_000).alias("id"), "chat_id", lit("tool").alias("role"), result.alias("content"), "created_at"))

@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import json
 import random
 import zipfile
 
@@ -149,11 +150,30 @@ def test_migration_keeps_votes_of_kept_ids(spark):
     ).withColumn("created_at", F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(mins=F.col("m")))
     votes = spark.createDataFrame([(1, 2, True), (1, 4, False)], "chat_id long, message_id long, is_upvoted boolean")
     rows, kept = migrate.migrate_messages(m, votes)
-    got = {r.id: [p.type for p in r.parts] for r in rows.collect()}
-    assert got == {1: ["text"], 2: ["tool-call", "tool-result", "text"], 5: ["text"]}
+    got = {r.id: r.parts for r in rows.select("id", migrate.parts_json(F.col("parts")).alias("parts")).collect()}
+    assert got == {1: '[{"text":"hi","type":"text"}]', 2: '[{"result":null,"toolCallId":"c","type":"tool-call"},{"text":"a","type":"text"}]', 5: '[{"text":"bye","type":"text"}]'}
     assert [r.message_id for r in kept.collect()] == [2]
 
 
+def test_parts_keep_every_field(spark):
+    """Arguments, results, images, files and nested shapes of any kind come through a migration."""
+    call = {"type": "tool-call", "toolCallId": "c1", "toolName": "search", "args": {"q": "été", "n": [1, 2.5, None, {"deep": True}]}}
+    other = {"type": "tool-call", "toolCallId": "c2", "toolName": "search", "args": {}}
+    images = [{"type": "image", "image": "data:1"}, {"type": "image", "image": "data:2"}, {"type": "file", "file": {"name": "a.pdf", "size": 3}}]
+    result = {"type": "tool-result", "toolCallId": "c1", "result": [{"id": 1}, "x"], "isError": False}
+    stray = {"type": "tool-result", "toolCallId": "c9", "result": 5}
+    said = [{"type": "text", "text": "a"}, {"type": "text", "text": "a"}, {"type": "text", "text": "b", "content": "a"}, {"type": "text", "text": "c", "content": "a"}, {"type": "text", "text": "d", "content": None}, {"no": "type"}, "bare", 7]
+    rows = [(1, "user", json.dumps([{"type": "text", "text": "look"}, images[0]])), (2, "assistant", json.dumps([call, other, *images])), (3, "tool", json.dumps([result, stray])), (4, "assistant", json.dumps([*said, images[0]])), (5, "user", "[not json"), (6, "user", None), (7, "user", "[]")]
+    m = spark.createDataFrame([(i, 1, role, body, i) for i, role, body in rows], "id long, chat_id long, role string, content string, m int").withColumn("created_at", F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(mins=F.col("m")))
+    out, _ = migrate.migrate_messages(m, spark.createDataFrame([], "chat_id long, message_id long, is_upvoted boolean"))
+    got = {r.id: json.loads(r.parts) for r in out.select("id", migrate.parts_json(F.col("parts")).alias("parts")).collect()}
+    assert got[1] == [{"type": "text", "text": "look"}, images[0]]
+    assert got[2] == [{**call, "result": result["result"]}, other, *images, stray, said[0], said[2], said[4], said[5], "bare", 7]
+    assert got[5] == [{"type": "text", "text": "[not json"}] and got[6] == [{"type": "text", "text": None}] and got[7] == []
+    assert all(r.attachments == [] for r in out.select("attachments").collect())
+    assert dict(out.dtypes)["parts"] == "array<variant>"
+
+
 def test_stream_ingest(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
