@@ -40,7 +40,7 @@ class Profile:
 
 # Fixed values.
 PROFILES = {
-    "rag": Profile(2400, 400, ("\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ", ""), True),
+    "rag": Profile(2400, 400, ("\n## ", "\n### ", "\n#### ", "\n\n", "\n", ". ", "! ", "? ", "; ", ":", ", ", " ", ""), True),
     "plain": Profile(1000, 200, ("\n\n", "\n", " ", ""), False),
     "book": Profile(1000, 200, ("\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""), False),
 }

@@ -337,6 +337,18 @@ def c2(t: Tables) -> DataFrame:
     return chunking.chunk_recursive(t.raw_text(), "rag").select("id", "chunk_index", "content", "metadata.tokens")
 
 
+#: Splitting at blanks alone, without overlap, is a running choice that SQL can make.
+WORDS = chunking.Profile(200, 0, (" ",), False)
+
+
+@register("c2_chunk_by_words", """SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INTEGER) AS chunk_index, content FROM (SELECT id, n, regexp_replace(l[n], '^\\s+|\\s+$', '', 'g') AS content FROM (
+    SELECT id, list_reduce(list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: [x]),
+        lambda kept, x: CASE WHEN length(kept[len(kept)]) < 200 AND length(x[1]) < 200 AND length(kept[len(kept)]) + 1 + length(x[1]) <= 200 THEN list_append(kept[1:len(kept) - 1], kept[len(kept)] || ' ' || x[1]) ELSE list_append(kept, x[1]) END) AS l
+    FROM raw_text WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0), unnest(range(1, len(l) + 1)) AS u(n)) WHERE content <> ''""")
+def c2b(t: Tables) -> DataFrame:
+    return chunking.chunk_recursive(t.raw_text(), WORDS).select("id", "chunk_index", "content")
+
+
 @register("c3_document_record", f"""SELECT r.id, 'doc-' || r.id AS title, {S.summarize('r.text')} AS summary, arg_min(f.content, f.chunk_index) AS first_page_content, count(f.id) AS chunk_count, CAST(floor(avg(length(f.content)) + 0.5) AS BIGINT) AS avg_chunk_size, strlen(r.text) AS file_size, 'txt' AS file_type
     FROM raw_text r LEFT JOIN ({FIXED}) f ON f.id = r.id GROUP BY r.id, r.text""")
 def c3(t: Tables) -> DataFrame:

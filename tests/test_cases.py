@@ -143,6 +143,25 @@ def test_approximate_search_recall(spark):
     assert exact.join(found, ["query_id", "chunk_id"]).count() >= 0.9 * exact.count()
 
 
+# Fixed values.
+RAG = ["\n## ", "\n### ", "\n#### ", "\n\n", "\n", ". ", "! ", "? ", "; ", ":", ", ", " ", ""]
+
+
+@pytest.mark.parametrize("sep", RAG[:-1])
+def test_rag_chunks_end_at_each_separator(sep):
+    """A text that has one kind of separator ends its chunks there, and the separator opens the next chunk."""
+    words = ["x" * 1500, "y" * 1500, "z" * 1500]
+    assert list(chunking.PROFILES["rag"].separators) == RAG
+    got = chunking.recursive_split(sep.join(words), chunking.PROFILES["rag"])
+    assert got == [words[0], *((sep + w).strip() for w in words[1:])]
+
+
+def test_rag_chunks_prefer_coarse_separators():
+    text = ". ".join(f"Sentence {k} about a thing; with a clause: and a phrase, so" for k in range(200))
+    parts = chunking.recursive_split(text, chunking.PROFILES["rag"])
+    assert all(len(p) <= 2400 for p in parts) and all(p.startswith((". ", "Sentence 0")) for p in parts)
+
+
 def test_migration_keeps_votes_of_kept_ids(spark):
     m = spark.createDataFrame(
         [(1, 1, "user", "hi", 0), (2, 1, "assistant", '[{"type":"tool-call","toolCallId":"c"}]', 1), (3, 1, "tool", '[{"type":"tool-result","toolCallId":"c"}]', 1), (4, 1, "assistant", '[{"type":"text","text":"a"},{"type":"reasoning","reasoning":"undefined"}]', 1), (5, 1, "user", "bye", 2)],
