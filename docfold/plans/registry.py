@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import chunking, embedding, history, migrate, rerank, stats, vector
 from ..sources import files
 from ..sources.fixtures import Tables, now
-from ..streaming import jobs
+from ..streaming import jobs, windows
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,11 +48,10 @@ END_OF_STREAM = "timestamp'2100-01-01 00:00:00'"
 def stream(t: Tables, df: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Drains ``job`` over the rows of ``df`` as a stream in append mode, and gives what it has written.
 
-    A last row without user closes all windows and sessions; what comes of it is left out.
+    A last row of user -1 closes all windows and sessions; what comes of it is left out.
     """
     root = stream_dir(t)
-    last = t.spark.range(1).select(*[(F.expr(END_OF_STREAM) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) if f.name != "role" else F.lit("user").alias("role") for f in df.schema])
-    df.unionByName(last).write.parquet(f"{root}/in")
+    stream_file(t, df, f"{root}/in")
     rows = t.spark.readStream.schema(df.schema).parquet(f"{root}/in")
     out = job(rows)
 
@@ -60,7 +59,14 @@ def stream(t: Tables, df: DataFrame, job: Callable[[DataFrame], DataFrame]) -> D
         batch.write.mode("overwrite").parquet(f"{root}/out/b={number}")
 
     jobs.drain(out, sink, f"{root}/checkpoint")
-    return t.spark.read.schema(out.schema).parquet(f"{root}/out").drop("b").filter("user_id is not null")
+    return t.spark.read.schema(out.schema).parquet(f"{root}/out").drop("b").filter("not user_id <=> -1")
+
+
+def stream_file(t: Tables, df: DataFrame, path: str) -> None:
+    """Writes the rows of a stream, and a last one of user -1 that closes it."""
+    ends = {"ts": F.expr(END_OF_STREAM), "role": F.lit("user"), "user_id": F.lit(-1), "query_hash": F.lit("")}
+    last = t.spark.range(1).select(*[ends.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+    df.unionByName(last).write.parquet(path)
 
 
 def stream_dir(t: Tables) -> str:
@@ -856,6 +862,40 @@ def r2(t: Tables) -> DataFrame:
     return times(stream(t, t.message_stream(), jobs.rolling_quota), "window_start").drop("window_end")
 
 
+_LAST_DAY = "SELECT event_id, user_id, CAST(ts AS VARCHAR) AS ts, count(*) OVER w AS messages, count(*) OVER w > 100 AS over_limit FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)"
+
+
+@register("r2_exact_quota", _LAST_DAY)
+def r2b(t: Tables) -> DataFrame:
+    return times(stream(t, t.message_stream(), windows.exact_quota), "ts")
+
+
+@register("r2_exact_quota_batch", _LAST_DAY)
+def r2c(t: Tables) -> DataFrame:
+    return times(windows.exact_quota(t.message_stream()), "ts")
+
+
+_HITS = """SELECT request_id, user_id, query_hash, CAST(ts AS VARCHAR) AS ts, EXISTS (FROM (SELECT user_id AS u, query_hash AS q, ts AS written FROM cache_writes) w WHERE u = r.user_id AND q = r.query_hash AND written <= r.ts AND written > r.ts - INTERVAL 1 HOUR) AS hit
+    FROM (SELECT event_id AS request_id, user_id, md5(props) AS query_hash, ts FROM events WHERE event_type = 'view') r"""
+
+
+def _requests(t: Tables) -> DataFrame:
+    return t.raw("events").filter("event_type = 'view'").select(F.col("event_id").alias("request_id"), "user_id", F.md5("props").alias("query_hash"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@register("r4_cache_hits", _HITS)
+def r4b(t: Tables) -> DataFrame:
+    writes = t.cache_writes().withColumn("ts", F.col("ts").cast("timestamp"))
+    root = stream_dir(t)
+    stream_file(t, writes, f"{root}/writes")
+    return times(stream(t, _requests(t), lambda rows: windows.cache_hits(rows, t.spark.readStream.schema(writes.schema).parquet(f"{root}/writes"))), "ts")
+
+
+@register("r4_cache_hits_batch", _HITS)
+def r4c(t: Tables) -> DataFrame:
+    return times(windows.cache_hits(_requests(t), t.cache_writes().withColumn("ts", F.col("ts").cast("timestamp"))), "ts")
+
+
 @register("r3_stream_votes", "SELECT chat_id, message_id, is_upvoted FROM (SELECT * FROM votes UNION ALL SELECT * FROM new_votes) QUALIFY row_number() OVER (PARTITION BY chat_id, message_id ORDER BY ts DESC) = 1")
 def r3(t: Tables) -> DataFrame:
     root = stream_dir(t)
