@@ -6,26 +6,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import user_type
+from ..sources.buckets import BucketTable
 
 
-def _sizes(chunks: DataFrame) -> DataFrame:
+#: What is kept of a document's chunks: everything that A1 and A2 are made of.
+SUMS = "document_id long, chunk_count long, chars long, first_chunk_date timestamp_ntz, last_chunk_date timestamp_ntz"
+
+
+def chunk_sums(chunks: DataFrame) -> DataFrame:
     """Lengths instead of texts, and one row per document before any join."""
     return chunks.select("document_id", F.length("content").alias("n"), "created_at").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("n").alias("chars"), F.min("created_at").alias("first_chunk_date"), F.max("created_at").alias("last_chunk_date"))
 
 
 def document_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """A1: per document, chunk count, mean length and dates; 0 and nulls without chunks."""
-    j = docs.select(F.col("id").alias("document_id"), "user_id", "title", "file_type").join(_sizes(chunks), "document_id", "left")
+    return stats_of_sums(docs, chunk_sums(chunks))
+
+
+def stats_of_sums(docs: DataFrame, sums: DataFrame) -> DataFrame:
+    """A1 from sums per document, computed or kept up (:func:`refresh_sums`)."""
+    j = docs.select(F.col("id").alias("document_id"), "user_id", "title", "file_type").join(sums, "document_id", "left")
     return j.select("document_id", "user_id", "title", "file_type", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), (F.col("chars") / F.col("chunk_count")).alias("avg_chunk_length"), "first_chunk_date", "last_chunk_date")
 
 
 def knowledge_base_size(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """A2: per user, documents, chunks, characters, rounded mean length, bytes of vectors."""
-    j = docs.select(F.col("id").alias("document_id"), "user_id").join(_sizes(chunks), "document_id", "left").groupBy("user_id")
+    return size_of_sums(docs, chunk_sums(chunks))
+
+
+def size_of_sums(docs: DataFrame, sums: DataFrame) -> DataFrame:
+    """A2 from sums per document."""
+    j = docs.select(F.col("id").alias("document_id"), "user_id").join(sums, "document_id", "left").groupBy("user_id")
     n = F.coalesce(F.sum("chunk_count"), F.lit(0))
     return j.agg(F.countDistinct("document_id").alias("documents"), n.alias("chunks"), F.sum("chars").alias("characters"), F.floor(F.sum("chars") / F.sum("chunk_count") + 0.5).alias("avg_chunk_length"), (n * 1536 * 4).alias("vector_bytes"))
 
 
+def refresh_sums(sums: BucketTable, inserted: DataFrame, deleted: DataFrame, chunks: BucketTable | DataFrame, number: int | None = None) -> bool:
+    """Brings ``sums`` (of :data:`SUMS`, by document) up to date after chunks were inserted and deleted.
+
+    ``inserted`` and ``deleted`` are rows of chunks (of deleted ones the content as it was), and ``chunks`` the table after
+    both.  Counts and lengths are added and subtracted; a first or last date that went is looked up again, in the
+    chunks of just those documents.  Documents without chunks leave.  Folders that no change falls into aren't read,
+    and neither are chunks of documents that keep their dates.  Under a ``number`` that was merged before nothing happens.
+    """
+    plus, minus = chunk_sums(inserted), chunk_sums(deleted)
+    names = ["chunk_count", "chars", "first_chunk_date", "last_chunk_date"]
+    change = plus.select("document_id", *[F.col(c).alias(f"in_{c}") for c in names]).join(minus.select("document_id", *[F.col(c).alias(f"out_{c}") for c in names]), "document_id", "full")
+
+    def how(held: DataFrame, delta: DataFrame) -> DataFrame:
+        n = lambda c: F.coalesce(F.col(c), F.lit(0))
+        j = held.join(delta, "document_id", "full").withColumns({c: n(c) + n(f"in_{c}") - n(f"out_{c}") for c in ("chunk_count", "chars")}).filter("chunk_count > 0")
+        first, last = F.least("first_chunk_date", "in_first_chunk_date"), F.greatest("last_chunk_date", "in_last_chunk_date")
+        lost = F.coalesce(F.col("out_first_chunk_date") <= first, F.lit(False)) | F.coalesce(F.col("out_last_chunk_date") >= last, F.lit(False))
+        j = j.select("document_id", "chunk_count", "chars", first.alias("first_chunk_date"), last.alias("last_chunk_date"), lost.alias("lost"))
+        gone = j.filter("lost").select("document_id")
+        if gone.isEmpty():
+            return j.drop("lost")
+        left = (chunks.read_keys(gone) if isinstance(chunks, BucketTable) else chunks.join(gone, "document_id", "left_semi")).groupBy("document_id").agg(F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
+        again = j.join(left, "document_id", "left")
+        return again.select("document_id", "chunk_count", "chars", *[F.when(F.col("lost"), F.col(f"_{x}")).otherwise(F.col(f"{x}_chunk_date")).alias(f"{x}_chunk_date") for x in ("first", "last")])
+
+    return sums.merge(change, how, number)
+
+
+def change_chunks(chunks: BucketTable, inserted: DataFrame, deleted: DataFrame, number: int | None = None) -> bool:
+    """The chunk table (by document) without the chunks of ``deleted(id, document_id)`` and with ``inserted``."""
+    columns = inserted.columns
+    change = inserted.withColumn("_new", F.lit(True)).unionByName(deleted.select("id", "document_id", F.lit(False).alias("_new")), allowMissingColumns=True)
+
+    def how(held: DataFrame, delta: DataFrame) -> DataFrame:
+        return held.join(delta.filter("not _new").select("id", "document_id"), ["id", "document_id"], "left_anti").select(*columns).unionByName(delta.filter("_new").select(*columns))
+
+    return chunks.merge(change, how, number)
+
+
 def table_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """A3: documents and chunks per user, and of all (user null; also chunks without a document)."""
     d = docs.select(F.col("id").alias("document_id"), "user_id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, embedding, history, migrate, rerank, stats, vector
 from ..sources import files
+from ..sources.buckets import BucketTable
 from ..sources.fixtures import Tables, now
 from ..streaming import jobs, windows
 from . import sql as S
@@ -652,6 +653,35 @@ def a2(t: Tables) -> DataFrame:
     return stats.knowledge_base_size(t.knowledge_documents(), t.document_chunks())
 
 
+#: Chunks after three batches of changes: what stays.
+_LEFT = "SELECT * FROM chunks WHERE NOT (id % 4 = 1 AND id % 3 <> 0) AND NOT (id % 5 IN (0, 4) AND document_id % 3 = 0) AND document_id % 11 <> 0"
+_LEFT_SIZES = f"SELECT document_id, count(*) AS n, sum(length(content)) AS chars, min(created_at) AS first, max(created_at) AS last FROM ({_LEFT}) GROUP BY 1"
+
+
+def _kept_up(t: Tables) -> DataFrame:
+    """Sums per document after chunks came and went in three batches, each merged into what was there."""
+    root = stream_dir(t)
+    c = t.document_chunks().drop("embedding")
+    schema = "id long, document_id long, chunk_index int, content string, created_at timestamp_ntz"
+    chunks, sums = BucketTable(t.spark, f"{root}/chunks", schema, "document_id"), BucketTable(t.spark, f"{root}/sums", stats.SUMS, "document_id")
+    gone = ["id % 4 = 1 and id % 3 <> 0", "id % 5 in (0, 4) and document_id % 3 = 0", "document_id % 11 = 0"]
+    batches = [(c.filter("id % 3 <> 0"), c.limit(0)), (c.filter("id % 3 = 0"), c.filter(gone[0])), (c.limit(0), c.filter(f"({gone[1]} or {gone[2]}) and not ({gone[0]})"))]
+    for added, removed in batches:
+        stats.change_chunks(chunks, added, removed)
+        stats.refresh_sums(sums, added, removed, chunks)
+    return sums.read()
+
+
+@register("a1_kept_up_stats", f"SELECT d.id AS document_id, user_id, title, coalesce(n, 0) AS chunk_count, round(chars / n, 6) AS avg_chunk_length, CAST(first AS VARCHAR) AS first_chunk_date, CAST(last AS VARCHAR) AS last_chunk_date FROM kd d LEFT JOIN ({_LEFT_SIZES}) s ON s.document_id = d.id")
+def a1b(t: Tables) -> DataFrame:
+    return times(stats.stats_of_sums(t.knowledge_documents(), _kept_up(t)).drop("file_type").withColumn("avg_chunk_length", six("avg_chunk_length")), "first_chunk_date", "last_chunk_date")
+
+
+@register("a2_kept_up_size", f"SELECT user_id, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks, CAST(sum(chars) AS BIGINT) AS characters, CAST(floor(sum(chars) / sum(n) + 0.5) AS BIGINT) AS avg_chunk_length, CAST(coalesce(sum(n), 0) * 6144 AS BIGINT) AS vector_bytes FROM kd d LEFT JOIN ({_LEFT_SIZES}) s ON s.document_id = d.id GROUP BY 1")
+def a2b(t: Tables) -> DataFrame:
+    return stats.size_of_sums(t.knowledge_documents(), _kept_up(t))
+
+
 @register("a3_table_counts", "SELECT user_id, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM kd d LEFT JOIN doc_sizes s ON s.document_id = d.id GROUP BY 1 UNION ALL SELECT NULL, (SELECT count(*) FROM kd), (SELECT count(*) FROM chunks)")
 def a3(t: Tables) -> DataFrame:
     return stats.table_counts(t.knowledge_documents(), t.document_chunks())
@@ -902,8 +932,9 @@ def r3(t: Tables) -> DataFrame:
     t.votes().write.parquet(f"{root}/in/a")
     t.new_votes().write.parquet(f"{root}/in/b")
     votes = t.spark.readStream.schema("chat_id long, message_id long, is_upvoted boolean, ts timestamp_ntz").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").parquet(f"{root}/in")
-    jobs.stream_votes(votes, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("chat_id", "message_id", "is_upvoted")
+    table = jobs.vote_table(t.spark, f"{root}/out")
+    jobs.stream_votes(votes, table, f"{root}/checkpoint").awaitTermination()
+    return table.read().select("chat_id", "message_id", "is_upvoted")
 
 
 @register("r4_stream_cache", """SELECT user_id, query_hash, CAST(min(ts) AS VARCHAR) AS created_at, count(*) AS hit_count FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, query_hash ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island

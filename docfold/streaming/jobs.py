@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import upsert_votes
+from ..sources.buckets import BucketTable
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -46,38 +46,29 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
     df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-#: Folders of the vote table.
-VOTE_BUCKETS = 32
+VOTES = "chat_id long, message_id long, is_upvoted boolean, ts timestamp_ntz"
 
 
-def stream_votes(votes: DataFrame, path: str, checkpoint: str, buckets: int = VOTE_BUCKETS) -> StreamingQuery:
-    """The latest vote per message, as a Parquet table in ``buckets`` folders by a hash of the chat.
+def vote_table(spark: SparkSession, path: str, bucket_rows: int = 1_000_000) -> BucketTable:
+    """The votes that :func:`stream_votes` keeps: ``vote_table(spark, path).read()`` is the table as last published."""
+    return BucketTable(spark, path, VOTES, "chat_id", bucket_rows)
 
-    A batch reads, merges and replaces only the folders that its chats fall into, so the table holds each vote
-    once and a batch costs what its folders hold.  Merging a batch again changes nothing.
+
+def stream_votes(votes: DataFrame, table: BucketTable, checkpoint: str) -> StreamingQuery:
+    """The latest vote per message, in a table by chat.
+
+    A batch merges the folders that its chats fall into and publishes them under its number (:class:`BucketTable`), so
+    the table holds each vote once, and a batch that runs again changes nothing, wherever it had stopped.
     """
-    spark = votes.sparkSession
-    bucket = F.pmod(F.xxhash64("chat_id"), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.withColumn("bucket", bucket)
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        try:
-            current = spark.read.schema(fresh.schema).parquet(path).filter(F.col("bucket").isin(touched))
-        except AnalysisException:  # the first batch
-            current = fresh.limit(0)
-        merged = upsert_votes(current.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", bucket)
-        # The folders are read before they are replaced, so the merged rows are set down first.
-        merged = merged.checkpoint()
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        table.merge(batch, upsert_votes, number)
 
     return votes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "plain", chunk: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """New files are validated, extracted and chunked; chunks and rejects are appended.
+    """New files are validated, extracted and chunked; texts, chunks and rejects are appended.
 
     ``chunk`` makes ``id, chunk_index, content, ...`` from ``id, text``; by default texts are split recursively by
     ``profile``.  A batch that runs again replaces its own folders.
@@ -92,10 +83,13 @@ def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, p
 
     def ingest(batch: DataFrame, number: int) -> None:
         checked = validate_files(batch)
-        texts = extract_text(checked.filter("reason is null"))
-        chunks = cut(texts.filter("error is null and text <> ''").select(F.col("name").alias("id"), "text"))
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        bad = checked.filter("reason is not null").select("name", "reason").unionByName(texts.filter("error is not null or text = ''").select("name", F.coalesce("error", F.lit("No text content found")).alias("reason")))
+        texts = extract_text(checked.filter("reason is null")).select("name", "text", "error")
+        # Each file is read and extracted once; both outputs come from what is set down.
+        told = texts.unionByName(checked.filter("reason is not null").select("name", F.lit(None).cast("string").alias("text"), F.col("reason").alias("error")))
+        told.write.mode("overwrite").parquet(f"{out}/texts/batch={number}")
+        told = spark.read.schema("name string, text string, error string").parquet(f"{out}/texts/batch={number}")
+        cut(told.filter("error is null and text <> ''").select(F.col("name").alias("id"), "text")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        bad = told.filter("error is not null or text = ''").select("name", F.coalesce("error", F.lit("No text content found")).alias("reason"))
         bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
 
     return rows.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -243,21 +243,6 @@ def test_replays_and_late_events(spark, tmp_path):
     assert got == [1, 2, 3]
 
 
-def test_votes_replace_only_their_folders(spark, tmp_path):
-    schema = "chat_id long, message_id long, is_upvoted boolean, ts timestamp_ntz"
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
-    sets = [[(c, 1, True) for c in range(40)], [(3, 1, False), (3, 2, True)], [(3, 1, True)]]
-    for k, rows in enumerate(sets):
-        spark.createDataFrame([(*r, datetime.datetime(2024, 1, 1, k)) for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
-        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
-        jobs.stream_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), buckets=8).awaitTermination()
-        after = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
-        if k:
-            assert len({f.parent for f in set(before) ^ set(after)}) == 1 and len(after) == len(before)
-    got = {(r.chat_id, r.message_id): r.is_upvoted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(c, 1): True for c in range(40)} | {(3, 2): True}
-
-
 # ---- splits, differences, sheets, metadata ----
 @pytest.mark.parametrize(
     "text, size, overlap, separators, keep, pieces",
