@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, embedding, history, migrate, rerank, stats, vector
+from ..operators import chunking, embedding, history, migrate, quantise, rerank, stats, vector
 from ..sources import files
 from ..sources.buckets import BucketTable
 from ..sources.fixtures import Tables, now
@@ -553,6 +553,35 @@ def v18b(t: Tables) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
+@register("v18_quantised_search")
+def v18c(t: Tables) -> DataFrame:
+    """The best ten by codes of 32 bytes and twelve exact vectors a query."""
+    return _quantised(t)
+
+
+def _quantised(t: Tables, **how) -> DataFrame:
+    chunks, docs = t.document_chunks(), t.knowledge_documents()
+    books = quantise.train_codebooks(chunks, 16, 32)
+    index = quantise.encode_chunks(chunks, books)
+    return quantise.quantised_search(t.queries(), index, chunks, docs, books, **({"probes": 16, "candidates": 12} | how))
+
+
+@register("v18_quantised_recall")
+def v18d(t: Tables) -> DataFrame:
+    """Per query: recall of the ten best against the exact search, and the share of its user's vectors that were read."""
+    q, chunks, docs = t.queries(), t.document_chunks(), t.knowledge_documents()
+    exact = vector.similarity_search(q, chunks, docs, 10).select("query_id", "chunk_id")
+    owned = chunks.join(docs.select(F.col("id").alias("document_id"), "user_id"), "document_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("vectors"))
+    share = q.select("query_id", "user_id").join(owned, "user_id").select("query_id", (F.lit(12) / F.col("vectors")).alias("read"))
+    return vector.search_recall(_quantised(t), exact).join(share, "query_id")
+
+
+@register("v18_quantised_exhaustive", V2.format(least=0.1, k=10))
+def v18e(t: Tables) -> DataFrame:
+    """With every list and every candidate it is the exact search."""
+    return _quantised(t, candidates=1 << 30).select("query_id", "rank", "chunk_id", six("similarity").alias("similarity"))
+
+
 @register("v19_tune_search_params", """SELECT user_id, vectors, lists, probes, vectors * 0.1::DOUBLE * probes / lists AS estimated_ms FROM (SELECT *, greatest(1, least(100, CAST(ceil(lists * (1 - 0.9::DOUBLE) * 2) AS BIGINT))) AS probes FROM (
     SELECT user_id, count(*) AS vectors, greatest(10, least(1000, count(*) // 1000)) AS lists FROM chunks c JOIN kd d ON d.id = c.document_id GROUP BY 1))""")
 def v19(t: Tables) -> DataFrame:
