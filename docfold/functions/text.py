@@ -119,6 +119,27 @@ def token_estimate(c: Column | str, count_tokens: Callable[[str], int] | None =
     return exact(col(c))
 
 
+def bpe_token_count(rank_file: str, pattern: str) -> Callable[[Column], Column]:
+    """T9, exact: counts the tokens of byte-pair ranks (``tiktoken`` file format); null counts none.
+
+    The ranks are read once in each Python worker, from a path that all of them see.
+    """
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        with open(rank_file, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for batch in texts:
+            yield batch.map(lambda t: len(bpe.encode_ordinary(t)) if t else 0).astype("int64")
+
+    return lambda c: count(c)
+
+
 def preprocess_query(c: Column | str) -> Column:
     """One line without filler words."""
     return collapse_ws(F.regexp_replace(collapse_ws(col(c)), rf"(?i)(?<![A-Za-z0-9_])({'|'.join(FILLER_WORDS)})(?![A-Za-z0-9_])", " "))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_keywords, relevance_label, token_estimate
-from .vector import TIES, similarity_search
-
+from ..functions.text import dynamic_threshold, extract_keywords, relevance_label, token_estimate
+from .vector import TIES, bulk_similarity_search
 
 
 def _by_similarity(*more: Column) -> Window:
@@ -30,15 +31,21 @@ def search_variations(variations: DataFrame, chunks: DataFrame, docs: DataFrame,
     A variation counts only while the ones before it have given fewer than ``limit`` unique results.  Which
     results are unique depends on earlier variations alone, so that is a running count.
     """
-    found = similarity_search(variations, chunks, docs, 2 * limit, 0.1, ("query_id", "variation_no"))
+    found = bulk_similarity_search(variations, chunks, docs, 2 * limit, 0.1, ("query_id", "variation_no"))
     unique = distinct_by_prefix(found, ["query_id"], ["variation_no", "rank"])
     before = F.rank().over(Window.partitionBy("query_id").orderBy("variation_no")) - 1
     return unique.withColumn("_before", before).filter(F.col("_before") < limit).drop("_before")
 
 
-def threshold_and_cap(rows: DataFrame, least: Column | float, cap: int = 25) -> DataFrame:
-    """V4: rows of at least that similarity, the best ``cap`` per query."""
-    kept = rows.filter(F.col("similarity") >= least)
+def threshold_and_cap(rows: DataFrame, least: DataFrame | Column | float, cap: int = 25) -> DataFrame:
+    """V4: rows of at least that similarity, the best ``cap`` per query.
+
+    ``least`` is a number, a column of the rows, or a table ``query_id, least`` with a floor for each query.
+    """
+    if isinstance(least, DataFrame):
+        kept = rows.join(least.select("query_id", F.col("least").alias("_least")), "query_id").filter(F.col("similarity") >= F.col("_least")).drop("_least")
+    else:
+        kept = rows.filter(F.col("similarity") >= least)
     return kept.withColumn("rank", F.row_number().over(_by_similarity())).filter(F.col("rank") <= cap)
 
 
@@ -126,10 +133,15 @@ def format_results(rows: DataFrame, size: int = 2400, preview: int = 200) -> Dat
     )
 
 
-def token_budget(rows: DataFrame, max_chars: int = 48_000, max_tokens: int = 12_000) -> DataFrame:
-    """The longest prefix by rank within both budgets; running sums only grow, so a filter gives a prefix."""
+def token_budget(rows: DataFrame, max_chars: int = 48_000, max_tokens: int = 12_000, count_tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """The longest prefix by rank within both budgets; running sums only grow, so a filter gives a prefix.
+
+    ``count_tokens`` counts the tokens of a content: a quarter of its characters, or exactly
+    (:func:`~docfold.functions.text.bpe_token_count`).  Counts stay in ``tokens``, which V11 adds up.
+    """
     run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("tokens", token_estimate("content")).withColumn("_c", F.sum("content_length").over(run)).withColumn("_t", F.sum("tokens").over(run))
+    counted = rows.withColumn("tokens", count_tokens(F.col("content")))
+    out = counted.withColumn("_c", F.sum("content_length").over(run)).withColumn("_t", F.sum("tokens").over(run))
     return out.filter((F.col("_c") <= max_chars) & (F.col("_t") <= max_tokens)).drop("_c", "_t")
 
 
@@ -194,8 +206,15 @@ def build_rag_prompts(questions: DataFrame, sources: DataFrame, template: str =
     return questions.select("query_id", "text").join(context, "query_id", "left").select("query_id", prompt.alias("prompt"))
 
 
-def search_pipeline(queries: DataFrame, variations: DataFrame, chunks: DataFrame, docs: DataFrame, limit: int = 10, least: Column | float = 0.22, max_chars: int = 48_000, max_tokens: int = 12_000) -> DataFrame:
-    """Variations, threshold, boost, diversity, context, format, budget."""
-    rows = threshold_and_cap(search_variations(variations, chunks, docs, limit), least)
+def search_pipeline(
+    queries: DataFrame, variations: DataFrame, chunks: DataFrame, docs: DataFrame, limit: int = 10, least: float = 0.22, max_chars: int = 48_000, max_tokens: int = 12_000,
+    dynamic: bool = True, count_tokens: Callable[[Column], Column] = token_estimate,
+) -> DataFrame:
+    """Variations, threshold, boost, diversity, context, format, budget.
+
+    The floor of each query follows from its text (T13, from ``least``), or is ``least`` itself without ``dynamic``.
+    """
+    floors = queries.select("query_id", dynamic_threshold("text", least).alias("least")) if dynamic else least
+    rows = threshold_and_cap(search_variations(variations, chunks, docs, limit), floors)
     rows = diversify_by_document(boost_keywords(rows, queries), limit)
-    return token_budget(format_results(add_context(rows, chunks, docs)), max_chars, max_tokens)
+    return token_budget(format_results(add_context(rows, chunks, docs)), max_chars, max_tokens, count_tokens)

@@ -69,39 +69,50 @@ def with_contents(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFr
     return hits.join(c, "chunk_id").join(docs.select(F.col("id").alias("document_id"), "title"), "document_id")
 
 
-def bulk_similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 25, least: float = 0.1, slot_rows: int = 20_000, query_block: int = 1024) -> DataFrame:
-    """V2 in bulk: a user's chunks are dealt into slots, its queries go to every slot in blocks, and each slot
-    takes one matrix product per block and keeps ``k`` rows per query.
+def bulk_similarity_search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 25, least: float = 0.1, keys: tuple[str, ...] = ("query_id",), slot_rows: int = 20_000, query_rows: int = 1024) -> DataFrame:
+    """V2 in bulk, with the rows and columns of :func:`similarity_search`: one matrix product for each slot and block.
 
-    A user has a slot for every ``slot_rows`` of its chunks, so a slot's size doesn't grow with the user; only ids
-    and similarities are shuffled on, and contents join the final rows.
+    A user's chunks are dealt into slots of about ``slot_rows`` and its queries into blocks of about ``query_rows``.
+    Every slot meets every block in a task of its own, which keeps ``k`` rows per query; so neither a large user nor a
+    user with many queries is one task, and a task's size doesn't grow.  Only ids and similarities are shuffled on, and
+    contents join the final rows.  Similarities are rounded at 12 decimals, so equal vectors tie.
     """
     k = min(k, 50)
     base = user_chunks_for_search(chunks, docs).select("user_id", "chunk_id", "document_id", "chunk_index", "embedding")
+    asked = queries.select(*keys, "user_id", F.col("embedding").alias("q")).filter("q is not null")
     slots = base.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / slot_rows).alias("slots"))
-    c = base.join(slots, "user_id").select("user_id", F.pmod(F.xxhash64("chunk_id"), F.col("slots")).alias("slot"), "chunk_id", "document_id", "chunk_index", "embedding")
-    q = queries.join(slots, "user_id").select("user_id", "query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    blocks = asked.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("blocks"))
+    deal = slots.join(blocks, "user_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    c = base.join(deal, "user_id").withColumn("slot", F.pmod(F.xxhash64("chunk_id"), F.col("slots"))).withColumn("block", each("blocks")).drop("slots", "blocks")
+    q = asked.join(deal, "user_id").withColumn("block", F.pmod(F.xxhash64(*keys), F.col("blocks"))).withColumn("slot", each("slots")).drop("slots", "blocks")
+    types = ", ".join(f"{n} {queries.schema[n].dataType.simpleString()}" for n in keys)
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             left = left.sort_values(["document_id", "chunk_index", "chunk_id"], ignore_index=True)
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            vecs = unit(np.stack(left["embedding"]).astype(float))
-            for lo in range(0, len(right), query_block):
-                part = right.iloc[lo : lo + query_block]
-                sims = unit(np.stack(part["q"]).astype(float)) @ vecs.T
-                for query_id, s in zip(part["query_id"], sims):
+            # Vectors of different lengths have no similarity.
+            for d in left["embedding"].map(len).unique():
+                there, mine = left[left["embedding"].map(len) == d], right[right["q"].map(len) == d]
+                if not len(mine) or not d:
+                    continue
+                sims = np.round(unit(np.stack(mine["q"]).astype(float)) @ unit(np.stack(there["embedding"]).astype(float)).T, 12)
+                for row, s in zip(mine[list(keys)].itertuples(index=False), sims):
                     top = np.argsort(-s, kind="stable")[:k]
                     top = top[s[top] >= least]
-                    out.append(left.loc[top, ["chunk_id", "document_id", "chunk_index"]].assign(query_id=query_id, similarity=s[top]))
-        none = pd.DataFrame({"chunk_id": [], "document_id": [], "chunk_index": [], "query_id": [], "similarity": []})
-        return (pd.concat(out) if out else none)[["query_id", "chunk_id", "document_id", "chunk_index", "similarity"]]
-
-    found = c.groupBy("user_id", "slot").cogroup(q.groupBy("user_id", "slot")).applyInPandas(search, "query_id long, chunk_id long, document_id long, chunk_index int, similarity double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *TIES)
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(queries.select("query_id", "user_id"), "query_id")
-    return with_contents(ranked, chunks, docs)
+                    out.append(there.iloc[top][["chunk_id", "document_id", "chunk_index"]].assign(**dict(zip(keys, row)), similarity=s[top]))
+        none = pd.DataFrame({n: [] for n in (*keys, "chunk_id", "document_id", "chunk_index", "similarity")})
+        return (pd.concat(out) if out else none)[[*keys, "chunk_id", "document_id", "chunk_index", "similarity"]]
+
+    met = ["user_id", "slot", "block"]
+    found = c.groupBy(*met).cogroup(q.groupBy(*met)).applyInPandas(search, f"{types}, chunk_id long, document_id long, chunk_index int, similarity double")
+    best = Window.partitionBy(*keys).orderBy(F.desc("similarity"), *TIES)
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(queries.select(*keys, "user_id"), list(keys))
+    return with_contents(ranked, chunks, docs).select(*keys, "user_id", "rank", "chunk_id", "document_id", "chunk_index", "content", "title", "similarity")
 
 
 def retrieve_batch(questions: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 5, least: float = 0.4) -> DataFrame:

@@ -21,13 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None, results: int = 4):
-    """Registers a query with its SQL, in which search steps keep ``results`` rows a query."""
+def register(name: str, oracle: str | None = None, results: int = 4, floor: str = "0.22"):
+    """Registers a query with its SQL, in which search steps keep ``results`` rows a query over ``floor``."""
 
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = S.sql(oracle, results)
+            ORACLES[name] = S.sql(oracle, results, floor)
         return f
 
     return add
@@ -504,7 +504,20 @@ def v12(t: Tables) -> DataFrame:
     return rerank.search_summary(t.queries(), _v10(t))
 
 
-@register("v13_search_pipeline", f"SELECT {RESULT}, tokens FROM v10", results=10)
+@register("v10_token_budget_words", """SELECT query_id, rank, result_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t
+    FROM (SELECT query_id, rank, result_id, len(regexp_extract_all(content, '[A-Za-z0-9]+')) AS tokens FROM v9)) WHERE t <= 200""")
+def v10b(t: Tables) -> DataFrame:
+    """A budget by another count of tokens, small enough to cut."""
+    words = lambda c: F.regexp_count(c, F.lit("[A-Za-z0-9]+")).cast("long")
+    return rerank.token_budget(rerank.format_results(_v8(t)), max_tokens=200, count_tokens=words).select("query_id", "rank", "result_id", "tokens")
+
+
+@register("v13_fixed_floor", f"SELECT {RESULT}, tokens FROM v10", results=10)
+def v13b(t: Tables) -> DataFrame:
+    return rerank.search_pipeline(t.queries(), t.variations(), t.document_chunks(), t.knowledge_documents(), 10, 0.22, 3000, dynamic=False).select(*RESULT.split(", "), "tokens")
+
+
+@register("v13_search_pipeline", f"SELECT {RESULT}, tokens FROM v10", results=10, floor=S.DYNAMIC)
 def v13(t: Tables) -> DataFrame:
     return rerank.search_pipeline(t.queries(), t.variations(), t.document_chunks(), t.knowledge_documents(), 10, 0.22, 3000).select(*RESULT.split(", "), "tokens")
 

@@ -95,7 +95,7 @@ CTES = {
                 FROM varied a JOIN kd d ON d.user_id = a.user_id JOIN chunks c ON c.document_id = d.id) WHERE similarity >= 0.1
             QUALIFY row_number() OVER (PARTITION BY query_id, variation_no ORDER BY similarity DESC, document_id, chunk_index, chunk_id) <= 20)
         QUALIFY row_number() OVER (PARTITION BY query_id, substr(content, 1, 100) ORDER BY variation_no, similarity DESC, document_id, chunk_index, chunk_id) = 1) WHERE before < 10""",
-    "v4": "SELECT * FROM v3 WHERE similarity >= 0.22 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, document_id, chunk_index, chunk_id) <= 25",
+    "v4": "SELECT * FROM v3 WHERE similarity >= {floor} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, document_id, chunk_index, chunk_id) <= 25",
     "v5": f"""SELECT query_id, user_id, chunk_id, document_id, chunk_index, content, title, CASE WHEN b > 0 THEN b END AS keyword_boost, CASE WHEN b > 0 THEN least(0.99::DOUBLE, similarity + b) ELSE similarity END AS similarity FROM (
         SELECT v4.*, least(0.2::DOUBLE, coalesce(list_sum(list_transform(ks, lambda k: CASE WHEN regexp_matches(lower(content), '\\b' || k || '\\b')
             THEN least(0.1::DOUBLE, length(k) * 0.01::DOUBLE) + CASE WHEN strpos(lower(content), k) - 1 < 100 THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END ELSE 0::DOUBLE END)), 0)) AS b
@@ -140,8 +140,12 @@ CTES = {
 }
 
 
-def sql(body: str, results: int = 4) -> str:
-    """``body`` with the tables it names, and those they name, in front; diversified search keeps ``results`` rows."""
+#: The floor of each query in v4, if it isn't a number.
+DYNAMIC = f"(SELECT {threshold('text', '0.22::DOUBLE')} FROM asked WHERE asked.query_id = v3.query_id)"
+
+
+def sql(body: str, results: int = 4, floor: str = "0.22") -> str:
+    """``body`` with the tables it names, and those they name, in front; diversified search keeps ``results`` rows over ``floor``."""
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -152,4 +156,4 @@ def sql(body: str, results: int = 4) -> str:
                     need.append(name)
 
     add(body)
-    return ("WITH " + ", ".join(f"{n} AS ({CTES[n].replace('{results}', str(results))})" for n in need) + " " if need else "") + body
+    return ("WITH " + ", ".join(f"{n} AS ({CTES[n].replace('{results}', str(results)).replace('{floor}', floor)})" for n in need) + " " if need else "") + body
