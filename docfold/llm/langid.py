@@ -22,8 +22,8 @@ ORDER = 3
 #: Bits of one character in a packed key: three code points fit 63 bits.
 BITS = 21
 DISCOUNT = 0.75
-#: Rows that a language needs for a limit of its own.
-LEAST_HELD = 20
+#: A language's limit leans on the limit of all rows as if it had that many more rows with it.
+LEANS = 20
 
 
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ class LanguageModels:
         self.keys = [np.zeros(0, np.uint64)] * 4
         self.prob = [np.zeros((0, len(langs)))] * 4
         self.left = [np.zeros((0, len(langs)))] * 4
-        seen3 = np.unique(np.concatenate([k for k, _ in per]))
+        seen3 = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in per]]))
         seen2 = np.unique(np.concatenate([seen3 & pair, seen3 >> np.uint64(BITS)]))
         seen1 = np.unique(np.concatenate([seen2 & low, seen2 >> np.uint64(BITS)]))
         alphabet = len(seen1) + 1
@@ -125,8 +125,9 @@ def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are chosen by the order of a hash of their ids; their whole texts are counted in tasks and only summed
     counts reach the driver.  The rejection is calibrated on texts that a model hasn't seen: each half of the
     sample (by a hash of the text) is measured by models of the other half, and a language's limit is the
-    cross-entropy that the share ``reject`` of its rows stays below.  A language with fewer than LEAST_HELD rows
-    takes the limit of all rows together.  Rows with null text or language take no part.
+    cross-entropy that the share ``reject`` of its rows stays below, drawn towards the limit of all rows together the
+    more, the fewer rows it has: ``(n * own + LEANS * overall) / (n + LEANS)``.  Rows with null text or language take
+    no part; where none is left, an empty table among them, no language is known and every text is ``und``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -134,7 +135,7 @@ def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        raise ValueError("no row with text and language to learn from")
+        return LanguageModels([], [])
     # Twice the share that is needed passes a filter by hash, so that no language is ranked as a whole.
     rate = spark.createDataFrame([(x, 2 * n_per_lang / n) for x, n in sizes.items()], "lang string, rate double")
     at = F.xxhash64(F.lit(17), F.col("doc_id"))
@@ -158,9 +159,10 @@ def train_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     models = LanguageModels(langs, every)
     unseen = materialize(sample.mapInArrow(_entropies(spark.sparkContext.broadcast(halves)), "lang string, h double"))
     limit = F.percentile("h", F.lit(reject)).alias("q")
-    limits = {r.lang: r.q for r in unseen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), limit).filter(F.col("n") >= LEAST_HELD).collect()}
+    own = {r.lang: (r.n, r.q) for r in unseen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), limit).collect()}
     overall = unseen.agg(limit).first().q
-    models.limits = np.array([limits.get(x, np.inf if overall is None else overall) for x in langs])
+    drawn = lambda n, q: (n * q + LEANS * overall) / (n + LEANS)
+    models.limits = np.array([np.inf if overall is None else drawn(*own.get(x, (0, 0.0))) for x in langs])
     return models
 
 
@@ -179,7 +181,7 @@ def _entropies(halves):
 def identify_language(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` for each row, over its whole text.
 
-    ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter; ``score`` is the share of
+    ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter, or no language is known; ``score`` is the share of
     the chosen language when cross-entropies over up to 50 characters compete.  ``rejected`` marks texts whose
     best cross-entropy is over the limit of that language; they keep their nearest language.  Ties go to the first language by
     name.  Repeated rows get equal answers; other columns are ignored.
@@ -191,6 +193,10 @@ def identify_language(docs: DataFrame, models: LanguageModels, id_col: str = "do
         m = shared.value
         for b in batches:
             column = b.column(1)
+            if not m.langs:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array(np.zeros(n, bool))], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                continue
             letters = np.array(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False))
             entropy, size = [np.zeros((0, len(m.langs)))], np.array(pc.fill_null(pc.utf8_length(column), 0))
             for lo, hi, _, _ in text_steps(column):

@@ -238,8 +238,20 @@ def test_language(spark):
     assert langid.identify_language(frame(spark, []), models).count() == 0
     strange = langid.identify_language(frame(spark, [(1, "日本語の文章です"), (2, docs.first().text)]), models).collect()
     assert {r.doc_id: r.rejected for r in strange} == {1: True, 2: False}
-    with pytest.raises(ValueError):
-        langid.train_langid(train.limit(0))
+
+
+def test_language_with_nothing_to_learn(spark, tmp_path):
+    """An empty table gives no rows; without any known language every text is ``und``."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for rows in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("text", F.lit(None).cast("string"))):
+        models = langid.train_langid(rows)
+        got = langid.identify_language(rows, models).collect()
+        assert models.langs == [] and len(got) == rows.count()
+        assert {(r.lang_pred, r.score, r.rejected) for r in got} <= {("und", 0.0, False)}
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op6_langid(spark, str(tmp_path)).collect() == []
+    docs.withColumn("lang", F.lit(None).cast("string")).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert {r.lang_pred for r in queries.op6_langid(spark, str(tmp_path)).collect()} == {"und"}
 
 
 def test_seventy_languages(spark):
