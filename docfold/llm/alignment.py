@@ -5,19 +5,20 @@ from __future__ import annotations
 import functools
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
 from .common import bounded_batches, give_back, materialize
+from .packing import byte_ranks
 
 #: Tokenises a string (a blank and text): its ids.  With it come the bytes of each id.
 Encode = Callable[[str], list[int]]
@@ -26,6 +27,7 @@ Encode = Callable[[str], list[int]]
 CUT = re.compile(r"(?<=[\w!-~])(?= )")
 #: Ends of chunks that another may follow.
 JOINT = re.compile(r"[\w!-~]\Z")
+LONG_RUN = re.compile(r"\s{1000}")
 
 
 # ---- tokenizers ----
@@ -38,7 +40,12 @@ def _byte_of_char() -> dict[str, int]:
 
 @functools.lru_cache(2)
 def byte_level(path: str) -> tuple[Encode, list[bytes], bool]:
-    """The tokenizer of a ``tokenizers`` file with byte-level BPE, each id's bytes, and whether texts may be cut at :data:`CUT`."""
+    """The tokenizer of a ``tokenizers`` file with byte-level BPE, each id's bytes, and whether texts may be cut at :data:`CUT`.
+
+    Where the file's ids follow its merges, its vocabulary is used by rank, several times as fast and with the same ids.
+    """
+    import tiktoken
+    from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -48,12 +55,21 @@ def byte_level(path: str) -> tuple[Encode, list[bytes], bool]:
         raise ValueError("a byte-level tokenizer is needed")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    library = lambda text: t.encode(text, add_special_tokens=False).ids
     plain = not spec.get("normalizer") and before.get("use_regex", True) and not before.get("add_prefix_space") and all(a["special"] for a in spec.get("added_tokens") or [])
     table = _byte_of_char()
     size = t.get_vocab_size()
     body = [bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token in (t.id_to_token(i) or "" for i in range(size))]
 
-    return (lambda text: t.encode(text, add_special_tokens=False).ids), body, bool(plain)
+    if not plain:
+        return library, body, False
+    try:
+        ranks = byte_ranks(path)
+    except ValueError:
+        return library, body, True
+    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # Matching the pattern on a long run of white space takes more stack than there is.
+    return (lambda text: library(text) if LONG_RUN.search(text) else fast.encode_ordinary(text)), body, True
 
 
 @functools.lru_cache(2)
@@ -81,40 +97,61 @@ def pieces(path: str) -> tuple[Encode, list[bytes], bool]:
 class Aligned:
     """Tokens of a string by both tokenizers, in groups that end at the ascending byte offsets ``ends``.
 
-    ``to_a`` and ``to_b`` count the tokens up to each group's end; ``links`` are pairs of ids as ``a << 32 | b``, and
-    ``linked`` counts them up to each group's end.
+    ``to_a`` and ``to_b`` count the tokens up to each group's end.  ``text`` has each group as ``a1,a2|b1;`` and
+    ``written`` its length up to each group's end.  ``links`` are pairs of ids as ``a << 32 | b``, and ``linked`` counts
+    them up to each group's end.
     """
 
-    ends: list[int]
-    to_a: list[int]
-    to_b: list[int]
-    groups: list[str]
-    links: list[int]
-    linked: list[int]
+    ends: np.ndarray
+    to_a: np.ndarray
+    to_b: np.ndarray
+    text: str
+    written: np.ndarray
+    links: np.ndarray
+    linked: np.ndarray
+
+
+class Vocabulary:
+    """Each id's bytes, and the ways to write it: A's ids before a comma or a bar, B's before a comma or a semicolon."""
 
+    def __init__(self, body_a: list[bytes], body_b: list[bytes]) -> None:
+        self.a, self.b = body_a, body_b
+        self.first_b = 2 * len(body_a)
+        self.words = [f"{i}{end}" for n, ends in ((len(body_a), ",|"), (len(body_b), ",;")) for i in range(n) for end in ends]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
 
-def align(ids_a: list[int], bytes_a: list[bytes], ids_b: list[int], bytes_b: list[bytes], want: bytes) -> Aligned | None:
+
+def align(ids_a: list[int], ids_b: list[int], want: bytes, words: Vocabulary) -> Aligned | None:
     """Groups and links of two token lists; ``None`` where the bytes of either aren't ``want``.
 
     Each list's ends go to a dictionary from byte offset to the index after the token.  The offsets that are in both,
     in order, slice both id lists into groups; within a group the tokens that end at its end are linked.
     """
+    bytes_a, bytes_b = [words.a[i] for i in ids_a], [words.b[i] for i in ids_b]
     if b"".join(bytes_a) != want or b"".join(bytes_b) != want:
         return None
     after_a = dict(zip(accumulate(map(len, bytes_a)), count(1)))
     after_b = dict(zip(accumulate(map(len, bytes_b)), count(1)))
     ends = sorted(after_a.keys() & after_b.keys())
-    to_a, to_b = [after_a[e] for e in ends], [after_b[e] for e in ends]
-    groups = [f"{ids_a[i]}|{ids_b[j]}" if m - i == 1 == n - j else ",".join(map(str, ids_a[i:m])) + "|" + ",".join(map(str, ids_b[j:n])) for i, m, j, n in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+    to_a, to_b = np.array([after_a[e] for e in ends], np.int64), np.array([after_b[e] for e in ends], np.int64)
+    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+    # A group's tokens of A are written before its tokens of B.
+    code = np.empty(len(a) + len(b), np.int64)
+    place_a = np.arange(len(a)) + np.repeat(to_b - np.diff(to_b, prepend=0), np.diff(to_a, prepend=0))
+    place_b = np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))
+    code[place_a], code[place_b] = 2 * a, words.first_b + 2 * b
+    code[place_a[to_a - 1]] += 1
+    code[place_b[to_b - 1]] += 1
+    text = "".join([words.words[c] for c in code.tolist()])
+    written = np.cumsum(words.sizes[code])[to_a + to_b - 1]
     if all(bytes_a) and all(bytes_b):
         # One token of each ends where a group does.
-        links = [ids_a[m - 1] << 32 | ids_b[n - 1] for m, n in zip(to_a, to_b)]
-        return Aligned(ends, to_a, to_b, groups, links, list(range(1, len(links) + 1)))
+        return Aligned(np.array(ends), to_a, to_b, text, written, a[to_a - 1] << 32 | b[to_b - 1], np.arange(1, len(ends) + 1))
     links, linked = [], []
     for i, m, j, n in zip([0, *to_a], to_a, [0, *to_b], to_b):
         links += [x << 32 | y for x in _last(ids_a, bytes_a, i, m) for y in _last(ids_b, bytes_b, j, n)]
         linked.append(len(links))
-    return Aligned(ends, to_a, to_b, groups, links, linked)
+    return Aligned(np.array(ends), to_a, to_b, text, written, np.array(links, np.int64), np.array(linked))
 
 
 def _last(ids: list[int], tokens: list[bytes], lo: int, hi: int) -> list[int]:
@@ -125,15 +162,16 @@ def _last(ids: list[int], tokens: list[bytes], lo: int, hi: int) -> list[int]:
     return ids[k:hi]
 
 
-#: What a chunk holds: tokens of A, of B, groups, their text, links.
-Chunk = tuple[int, int, int, str, array]
+#: What a chunk holds: tokens of A, of B, groups, their text, links (64-bit numbers).
+Chunk = tuple[int, int, int, str, bytes]
 
 
 class Aligner:
     """Aligns texts by their chunks, each distinct chunk once while it is remembered."""
 
-    def __init__(self, a: tuple[Encode, list[bytes], bool], b: tuple[Encode, list[bytes], bool], remember: int = 400_000) -> None:
-        (self.a, self.body_a, cut_a), (self.b, self.body_b, cut_b) = a, b
+    def __init__(self, a: tuple[Encode, list[bytes], bool], b: tuple[Encode, list[bytes], bool], remember: int = 200_000) -> None:
+        (self.a, body_a, cut_a), (self.b, body_b, cut_b) = a, b
+        self.words = Vocabulary(body_a, body_b)
         self.cut, self.remember = cut_a and cut_b, remember
         self.known: dict[str, Chunk] = {}
         self.bad: set[str] = set()
@@ -141,10 +179,6 @@ class Aligner:
     def chunks(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cut else [" " + text]
 
-    def _align(self, text: str) -> Aligned | None:
-        a, b = self.a(text), self.b(text)
-        return align(a, [self.body_a[i] for i in a], b, [self.body_b[i] for i in b], text.encode("utf-8", "replace"))
-
     def learn(self, chunks: list[str]) -> None:
         """Aligns what isn't known yet, laid end to end as one string where each chunk may be followed by another."""
         if len(self.known) + len(self.bad) > self.remember:
@@ -159,15 +193,17 @@ class Aligner:
 
     def _share(self, chunks: list[str]) -> bool:
         """Aligns the chunks as one string, and deals its groups out; false if its tokens don't give its bytes."""
-        found = self._align("".join(chunks)) if chunks else None
+        if not chunks:
+            return True
+        whole = "".join(chunks)
+        found = align(self.a(whole), self.b(whole), whole.encode("utf-8", "replace"), self.words)
         if found is None:
             return False
-        # The end of each chunk is a common end, if texts may be cut there.
-        last = np.searchsorted(found.ends, np.cumsum([len(c.encode()) for c in chunks]))
-        a, b, n = ([0, *np.array(x)[last].tolist()] for x in (found.to_a, found.to_b, found.linked))
-        g = [0, *(last + 1).tolist()]
-        for k, c in enumerate(chunks):
-            self.known[c] = (a[k + 1] - a[k], b[k + 1] - b[k], g[k + 1] - g[k], ";".join(found.groups[g[k] : g[k + 1]]), array("q", found.links[n[k] : n[k + 1]]))
+        # The end of each chunk is a common end, as texts may be cut there.
+        last = np.searchsorted(found.ends, np.cumsum([len(c.encode("utf-8", "replace")) for c in chunks]))
+        g, a, b, w, n = ([0, *x[last].tolist()] for x in (np.arange(1, len(found.ends) + 1), found.to_a, found.to_b, found.written, 8 * found.linked))
+        links = found.links.tobytes()
+        self.known.update((c, (a[k + 1] - a[k], b[k + 1] - b[k], g[k + 1] - g[k], found.text[w[k] : w[k + 1] - 1], links[n[k] : n[k + 1]])) for k, c in enumerate(chunks))
         return True
 
     def texts(self, texts: list[str | None]) -> list[list[str]]:
@@ -184,12 +220,6 @@ class Aligner:
         return [[] if self.bad and not self.bad.isdisjoint(each) else each for each in cut]
 
 
-@functools.lru_cache(1)
-def aligner_of(path_a: str, path_b: str) -> Aligner:
-    """What a worker has learned serves its next tasks too."""
-    return Aligner(byte_level(path_a), pieces(path_b))
-
-
 # ---- blocks ----
 @dataclass
 class Block:
@@ -216,27 +246,27 @@ class Block:
     def row(self, name: str) -> pa.RecordBatch:
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
         times = np.bincount(codes, minlength=len(self.held)).astype(np.int64)
-        links = np.frombuffer(b"".join([c[4].tobytes() for c in self.held]), np.int64)
-        n_links = np.array([len(c[4]) for c in self.held], np.uint32)
+        links = np.frombuffer(b"".join([c[4] for c in self.held]), np.int64)
+        n_links = np.array([len(c[4]) // 8 for c in self.held], np.uint32)
         pairs, which = np.unique(links, return_inverse=True)
         seen = np.bincount(which, np.repeat(times, n_links), len(pairs)).astype(np.int64)
         docs = pack(np.array([x if x is not None else 0 for x in self.ids], np.int64), np.array([x is None for x in self.ids], np.uint8), np.array(self.sizes, np.uint32))
         held = pack(*[np.array([c[k] for c in self.held], np.uint32) for k in range(3)], n_links)
-        fields = [[name], [docs], [pack(codes)], [held], [pack(which.astype(np.uint32))], ["\n".join(c[3] for c in self.held)], [pairs], [seen]]
-        types = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        fields = [[name], [docs], [pack(codes)], [held], [pack(which.astype(np.uint32))], [zstandard.ZstdCompressor(3).compress("\n".join([c[3] for c in self.held]).encode())], [pairs], [seen]]
+        types = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(fields, types)], BLOCK.names)
 
 
 class BLOCK:
     names = ["block", "docs", "codes", "chunks", "links", "groups", "pairs", "seen"]
-    schema = "block string, docs binary, codes binary, chunks binary, links binary, groups string, pairs array<long>, seen array<long>"
+    schema = "block string, docs binary, codes binary, chunks binary, links binary, groups binary, pairs array<long>, seen array<long>"
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, block_bytes: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = aligner_of(path_a, path_b)
+        aligner = Aligner(byte_level(path_a), pieces(path_b))
         part, number, now = TaskContext.get().partitionId(), 0, Block()
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -248,6 +278,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: st
                     give_back()
         if now.ids:
             yield now.row(f"{part}-{number}")
+        del aligner, now
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, BLOCK.schema)
 
@@ -293,7 +325,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
             sums = [_by(chunk, count[which], len(n_links)), _by(chunk, best[which], len(n_links))]
             begin = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
             total = {name: _runs(values[codes], begin) for name, values in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links), ("n_best", sums[1]), ("count_sum", sums[0]))}
-            text = r["groups"].split("\n")
+            text = zstandard.ZstdDecompressor().decompress(r["groups"]).decode().split("\n")
             groups = [";".join([text[k] for k in codes[lo:hi].tolist()]) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
             out.append(pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), **{k: pa.array(v) for k, v in total.items()}, "groups": pa.array(groups, pa.string())}))
         return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in _DONE})

@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 
 from docfold.llm import queries
-from docfold.llm.alignment import Aligner, align, align_documents, byte_level, pieces
+from docfold.llm.alignment import Aligner, Vocabulary, align, align_documents, byte_level, pieces
 from docfold.llm.line_dedup import line_dedup
 from docfold.llm.whitening import Planes, fit_whitening, whitened_components
 
@@ -121,9 +121,21 @@ def test_alignment_remembers_little():
 
 
 def test_tokens_without_bytes_end_together():
-    got = align([1, 2, 3], [b"a", b"b", b""], [7, 8], [b"ab", b""], b"ab")
-    assert got.groups == ["1,2,3|7,8"]
-    assert sorted(got.links) == sorted(x << 32 | y for x in (2, 3) for y in (7, 8))
+    words = Vocabulary([b"", b"a", b"b", b""], [b""] * 7 + [b"ab", b""])
+    got = align([1, 2, 3], [7, 8], b"ab", words)
+    assert got.text == "1,2,3|7,8;" and got.linked.tolist() == [4]
+    assert sorted(got.links.tolist()) == sorted(x << 32 | y for x in (2, 3) for y in (7, 8))
+    assert align([1, 2], [7], b"abc", words) is None
+
+
+def test_long_runs_and_long_words():
+    few = Aligner(byte_level(A), pieces(B))
+    rows = [(1, "a" + " " * 3000 + "b"), (2, "\n" * 2500), (3, "ab" * 1500 + " x"), (4, "é" * 2000)]
+    for (i, text), want in zip(rows, [plain_alignment([r])[0] for r in rows]):
+        (each,) = few.texts([text])
+        assert ";".join(few.known[c][3] for c in each) == want[7]
+    (each,) = few.texts(["a" + " " * 300_000 + "b"])
+    assert len(each) == 2 and all(few.known[c][2] for c in each)
 
 
 def test_alignment_query_like_brute_force(spark):
