@@ -284,7 +284,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, BLOCK.schema)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups``.
 
     A blank and the text are encoded by a byte-level BPE file (A) and a ``sentencepiece`` model (B), without special
@@ -328,6 +328,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
             text = zstandard.ZstdDecompressor().decompress(r["groups"]).decode().split("\n")
             groups = [";".join([text[k] for k in codes[lo:hi].tolist()]) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist())]
             out.append(pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), **{k: pa.array(v) for k, v in total.items()}, "groups": pa.array(groups, pa.string())}))
+        del left, right
+        give_back()
         return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in _DONE})
 
     each = blocks.drop("pairs", "seen").groupBy("block").cogroup(told.groupBy("of"))
