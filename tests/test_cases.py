@@ -359,4 +359,4 @@ def test_search_runs_once(spark):
     df = QUERIES["v13_search_pipeline"](spark, DATA)
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("zip_with") == 1
+    assert plan.count("FlatMapCoGroupsInPandas") == 1
