@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.buckets import BucketTable
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -60,6 +63,38 @@ def embed_chunks(df: DataFrame, embed: Embedder, text_col: str = "content", batc
     return df.withColumn("embedding", vectors(text_col))
 
 
+#: What an embedding cache holds: a text's hash and its vector.
+CACHE = "key string, embedding array<float>"
+
+
+def embedding_cache(spark: SparkSession, path: str, bucket_rows: int = 200_000) -> BucketTable:
+    """A cache for :func:`embed_cached`, one per model: vectors by the hash of their text."""
+    return BucketTable(spark, path, CACHE, "key", bucket_rows)
+
+
+def embed_cached(df: DataFrame, embed: Embedder, cache: BucketTable, text_col: str = "content", batch: int = 100) -> DataFrame:
+    """C5 with a cache: adds ``embedding``; a text goes to the model once, however often and in whichever run it occurs.
+
+    Texts are told apart by SHA-256.  Those that the cache doesn't know are made distinct, embedded in batches, set
+    down, and merged into the cache; vectors come back by a join in which each text has one row, so a text that is
+    everywhere can be split among tasks.  Where every text is known the model isn't called.  A run that is lost on the
+    way leaves the cache as it was.  Null texts count as empty, as in :func:`embed_chunks`.
+    """
+    spark = df.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.withColumn("_key", F.sha2(text, 256))
+    texts = df.select(F.sha2(text, 256).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    new = texts.join(cache.read_keys(texts).select("key"), "key", "left_anti")
+    draft = f"{cache.path}/fresh-{uuid.uuid4().hex}"
+    embed_chunks(new, embed, "text", batch).select("key", "embedding").write.parquet(draft)
+    fresh = spark.read.schema(CACHE).parquet(draft)
+    if not fresh.isEmpty():
+        cache.merge(fresh, lambda held, more: held.join(more.select("key"), "key", "left_anti").unionByName(more))
+    cache.delete(draft)
+    known = cache.read_keys(texts).select(F.col("key").alias("_key"), "embedding")
+    return keyed.drop("embedding").join(known, "_key", "left").drop("_key")
+
+
 def fit_dimension(vec: Column, dims: int = 1536) -> Column:
     """Cut to ``dims``, or zeros on the right; cosines don't change by padding."""
     return F.when(F.size(vec) >= dims, F.slice(vec, 1, dims)).otherwise(F.concat(vec, F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(dims) - F.size(vec), F.lit(0)))))

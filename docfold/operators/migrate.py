@@ -136,6 +136,48 @@ def from_model_messages(model: DataFrame) -> DataFrame:
     return model.filter(~F.col("rejected")).select("id", role.alias("role"), F.col("text").alias("content"))
 
 
+#: Cells of the table that a difference is read from; longer texts are divided first.
+TABLE_CELLS = 4_000_000
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence.
+
+    Above :data:`TABLE_CELLS` the first sequence is halved, and the second cut where the halves' common lengths add up to
+    most: two rows of lengths are held instead of a table, so memory is linear and time the product at most twice.
+    """
+    if not len(p) or not len(q):
+        return []
+    if (len(p) + 1) * (len(q) + 1) > TABLE_CELLS and len(p) > 1:
+        half = len(p) // 2
+        cut = int((_lengths(p[:half], q) + _lengths(p[half:][::-1], q[::-1])[::-1]).argmax())
+        return _common(p[:half], q[:cut]) + [(half + i, cut + j) for i, j in _common(p[half:], q[cut:])]
+    # most[i, j]: common items of p from i on and q from j on; a row follows from the one below by a running maximum.
+    most = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+    for i in range(len(p) - 1, -1, -1):
+        best = np.maximum(most[i + 1, :-1], np.where(q == p[i], most[i + 1, 1:] + 1, 0))
+        most[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    out = []
+    i = j = 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif most[i + 1, j] >= most[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def _lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each j, how many items p and the first j of q have in common at most."""
+    row = np.zeros(len(q) + 1, np.int32)
+    for x in p:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(q == x, row[:-1] + 1, 0)))
+    return row
+
+
 def minimal_diff(a: list[str], b: list[str]) -> list[tuple[int, str]]:
     """(op, item) from ``a`` to ``b`` along a longest common subsequence: 0 stays, -1 goes, 1 comes.
 
@@ -150,25 +192,14 @@ def minimal_diff(a: list[str], b: list[str]) -> list[tuple[int, str]]:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     code: dict[str, int] = {}
     p, q = (np.array([code.setdefault(s, len(code)) for s in part], np.int64) for part in (x, y))
-    # most[i, j]: common items of x from i on and y from j on; a row follows from the one below by a running maximum.
-    most = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-    for i in range(len(p) - 1, -1, -1):
-        best = np.maximum(most[i + 1, :-1], np.where(q == p[i], most[i + 1, 1:] + 1, 0))
-        most[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    # What only one side has can't be common.
+    at, to = np.flatnonzero(np.isin(p, q)), np.flatnonzero(np.isin(q, p))
     middle: list[tuple[int, str]] = []
-    come: list[tuple[int, str]] = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and p[i] == q[j]:
-            middle += [*come, (0, x[i])]
-            come, i, j = [], i + 1, j + 1
-        elif i < len(x) and (j == len(y) or most[i + 1, j] >= most[i, j + 1]):
-            middle.append((-1, x[i]))
-            i += 1
-        else:
-            come.append((1, y[j]))
-            j += 1
-    return [(0, s) for s in a[:head]] + middle + come + [(0, s) for s in a[len(a) - tail :]]
+    for k, m in [*((int(at[k]), int(to[m])) for k, m in _common(p[at], q[to])), (len(x), len(y))]:
+        middle += [(-1, s) for s in x[i:k]] + [(1, s) for s in y[j:m]] + [(0, s) for s in x[k : k + 1]]
+        i, j = k + 1, m + 1
+    return [(0, s) for s in a[:head]] + middle + [(0, s) for s in a[len(a) - tail :]]
 
 
 def _sentence_diff(old: pd.Series, new: pd.Series) -> pd.Series:
@@ -178,8 +209,8 @@ def _sentence_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 def version_diff(versions: DataFrame) -> DataFrame:
     """``id, from_version, to_version, position, op, sentence`` between consecutive versions (-1, 0, 1).
 
-    As few sentences as possible go and come; those at both ends that stay are set aside first, and what is left
-    takes memory and time by the product of both versions' sentences.
+    As few sentences as possible go and come; those at both ends that stay, and those that only one version has, are
+    set aside first.  What is left takes linear memory, and time by the product of both versions' sentences.
     """
     from ..functions.text import split_sentences
 

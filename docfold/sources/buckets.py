@@ -45,6 +45,10 @@ class BucketTable:
         fs, p = self._fs(path)
         return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
         return sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.path}/versions") if n.endswith(".json"))
