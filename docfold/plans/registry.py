@@ -132,6 +132,27 @@ def s4(t: Tables) -> DataFrame:
     return read_table(t.spark, root, "knowledge_documents").select("id", "user_id", "title", "file_type", "file_size")
 
 
+@register("s4_read_for_users", "SELECT id, user_id, title FROM kd WHERE user_id IN (1, 3)")
+def s4b(t: Tables) -> DataFrame:
+    from ..sources.tables import read_table, write_table
+
+    root = stream_dir(t)
+    write_table(t.knowledge_documents(), root, "knowledge_documents")
+    asked = t.knowledge_documents().filter("user_id in (1, 3)").select("user_id")
+    return read_table(t.spark, root, "knowledge_documents", users=asked).select("id", "user_id", "title")
+
+
+@register("s4_bucketed_message_count", "SELECT c.user_id, count(*) AS messages FROM messages m JOIN chats c ON c.id = m.chat_id WHERE role = 'user' AND m.created_at >= TIMESTAMP '2024-01-05 12:00:00' - INTERVAL 24 HOUR GROUP BY 1")
+def s4c(t: Tables) -> DataFrame:
+    """A4 over tables in buckets by chat: neither is shuffled to meet."""
+    from ..sources.tables import write_bucketed
+
+    root, tag = stream_dir(t), uuid.uuid4().hex
+    m = write_bucketed(t.messages(), root, "messages", "chat_id", f"messages_{tag}", 8)
+    c = write_bucketed(t.chats(), root, "chats", "id", f"chats_{tag}", 8)
+    return stats.message_count(m, c, now(False))
+
+
 @register("s5_vector_text", "SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
 def s5(t: Tables) -> DataFrame:
     v = T.parse_vector_text(T.format_vector_text("embedding"))
