@@ -377,6 +377,26 @@ def c2b(t: Tables) -> DataFrame:
     return chunking.chunk_recursive(t.raw_text(), WORDS).select("id", "chunk_index", "content")
 
 
+def _lateral(t: Tables, call: str, columns: str) -> DataFrame:
+    """A table function over all texts, called from SQL."""
+    from ..functions.tables import register_table_functions
+
+    register_table_functions(t.spark)
+    view = f"texts_{uuid.uuid4().hex}"
+    t.raw_text().createOrReplaceTempView(view)
+    return t.spark.sql(f"SELECT id, {columns} FROM {view}, LATERAL {call}")
+
+
+@register("c1_lateral_chunk_fixed", FIXED)
+def c1b(t: Tables) -> DataFrame:
+    return _lateral(t, "chunk_fixed(text, 1000, 200)", "chunk_index, content")
+
+
+@register("c2_lateral_chunk_recursive")
+def c2c(t: Tables) -> DataFrame:
+    return _lateral(t, "chunk_recursive(text, 'rag')", "chunk_index, content")
+
+
 @register("c3_document_record", f"""SELECT r.id, 'doc-' || r.id AS title, {S.summarize('r.text')} AS summary, arg_min(f.content, f.chunk_index) AS first_page_content, count(f.id) AS chunk_count, CAST(floor(avg(length(f.content)) + 0.5) AS BIGINT) AS avg_chunk_size, strlen(r.text) AS file_size, 'txt' AS file_type
     FROM raw_text r LEFT JOIN ({FIXED}) f ON f.id = r.id GROUP BY r.id, r.text""")
 def c3(t: Tables) -> DataFrame:
