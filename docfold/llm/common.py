@@ -30,14 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, most_rows: int | None = None, task_rows: int = 200_000) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back, so lost executors cost no rework.
 
-    Where ``most_rows`` bounds its rows, it is written by no more tasks than one for each ``task_rows`` (8 at least),
-    so that small tables aren't hundreds of files.
+    The tasks that compute it write it: there are as many files as they are, which AQE decides by size after a shuffle.
     """
-    if most_rows is not None:
-        df = df.coalesce(max(8, -(-most_rows // task_rows)))
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

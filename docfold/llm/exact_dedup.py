@@ -33,13 +33,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         .groupBy(F.col("r.h").alias("h"))
         .agg(F.min("r.text").alias("keep_text"))
     )
-    n = df.count()
-    told = materialize(groups.join(stays, "h", "left"), n, 50_000)
+    told = materialize(groups.join(stays, "h", "left"))
     compared = materialize(
         rows.join(told, "h").select(
             "doc_id", "h", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), (F.col("keep_text").isNull() | (F.col("keep_text") == F.col("text"))).alias("same")
-        ), n, 50_000,
-    )
+        )
+    )
     if compared.filter("not same").isEmpty():
         return compared.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     # Only hashes that more than one text shares are grouped again, by their bytes.
@@ -54,7 +53,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat id and text, one."""
     kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").groupBy(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_rows"))
-    stays = materialize(kept, docs.count())
+    stays = materialize(kept)
     same = docs[id_col].eqNullSafe(stays["_stays"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == stays["_sha"])
     out = docs.join(stays, same, "left_semi")
     # Whole texts are shuffled once more only where a row is repeated.

@@ -96,7 +96,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full sets; the component is the smallest id reachable by links.  25 bands of 5 coordinates miss a pair at
     0.85 with probability 4e-7, at 0.8 with 5e-5; nothing else is left to chance.
 
-    Equal sets (by a 128-bit hash) form a class, and only one row per class is compared.  Within a bucket every
+    A set holds 64-bit hashes of its shingles: no link is lost, and a false one would take many collisions in one
+    pair.  Equal sets (by a 128-bit hash) form a class, and only one row per class is compared.  Within a bucket every
     class is first compared with two hubs; where a bucket still spans several components, its members outside
     the largest one are compared with all others in blocks of ``block``, on full sets, and only links that join
     two components of the task are given out (see :func:`across_components`).
@@ -133,16 +134,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class is named by the 128-bit hash of its set.
     told = materialize(rows.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node binary, bands array<long>"))
     usable = told.filter("n_shingles > 0 and doc_id is not null")
-    n = told.count()
-    classes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n_shingles")), n)
+    classes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     keyed = classes.select("node", "least", "n_shingles", F.explode("bands").alias("key"))
     # Buckets of several classes, with two hubs: the smallest and the largest name.
     hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.max("node").alias("other_hub")).filter("size > 1")
-    buckets = materialize(keyed.join(hubs, "key"), bands * n)
-    m = buckets.count()
+    buckets = materialize(keyed.join(hubs, "key"))
     # Sets of all that any pair can name, gathered once.
     named = rows.join(buckets.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    full = materialize(named.mapInArrow(sets, "node binary, shingles binary"), n, 20_000)
+    full = materialize(named.mapInArrow(sets, "node binary, shingles binary"))
 
     def links(pairs: DataFrame) -> DataFrame:
         first = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -152,20 +151,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id with several texts links their classes.
     several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
     shared = usable.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
-    found = materialize(links(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).unionByName(shared), m + n)
+    found = materialize(links(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).unionByName(shared))
     joined = connected_components(found)
     for step in ("hubs", "blocks"):
         # Each bucket's members with their component so far.
         placed = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
-        open_ = materialize(placed.join(split, "key").select("key", "node", "component", "other_hub", "n_shingles"), m)
+        open_ = materialize(placed.join(split, "key").select("key", "node", "component", "other_hub", "n_shingles"))
         if open_.isEmpty():
             break
         if step == "hubs":
             hub = open_.filter("node = other_hub").select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-            more = materialize(links(open_.join(hub, "key").filter("component <> of_a").select("a", F.col("node").alias("b")).distinct()), m)
+            more = materialize(links(open_.join(hub, "key").filter("component <> of_a").select("a", F.col("node").alias("b")).distinct()))
         else:
-            more = materialize(across_components(open_, full, percent, block), m)
+            more = materialize(across_components(open_, full, percent, block))
         if not more.isEmpty():
             found = found.unionByName(more)
             joined = connected_components(found)
