@@ -1,6 +1,7 @@
 """Blocks of documents and hash ranges: tasks ask about hashes, and the range that owns a hash answers.
 
-Documents are dealt into blocks of bounded size by a hash of id and text.  A block asks each hash range about its
+Documents are dealt into blocks of bounded size by a hash of id and text (and row
+number, if rows repeat).  A block asks each hash range about its
 own hashes with one packed row, and gets one packed row back whose entries follow the order of the question.
 So the corpus-wide exchange is compact, and a hash that is everywhere costs a range one entry per block.
 """
@@ -14,21 +15,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, range_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
     """``block, doc_id, text`` and ``carried`` (a struct of other columns), how many blocks, and how many hash ranges.
 
     Rows count 64 bytes besides their texts, and null text counts as empty.  A range answers what is asked about
-    ``range_bytes`` of text, so neither blocks nor ranges grow with the corpus.  Rows that share an id but not the
-    text are spread over blocks.
+    ``range_bytes`` of text, so neither blocks nor ranges grow with the corpus.  Rows that share an id are spread
+    over blocks by their texts; where rows repeat both, the input is written once with row numbers, and those
+    spread them.  So every evaluation puts a row in the same block.
     """
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
-    n, ranges = (max(1, math.ceil(total / x)) for x in (block_bytes, range_bytes))
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
-    rows = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried")
-    )
-    return rows, n, ranges
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
+    alike = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 64).alias("bytes"))
+    total, most = (x or 0 for x in alike.agg(F.sum("bytes"), F.max("n")).first())
+    n, ranges = (max(1, math.ceil(total / x)) for x in (block_bytes, range_bytes))
+    by = ["doc_id", "text"]
+    if most > 1:
+        rows = materialize(rows.withColumn("number", F.monotonically_increasing_id()))
+        by.append("number")
+    return rows.select(F.pmod(F.xxhash64(*by), F.lit(n)).alias("block"), "doc_id", "text", "carried"), n, ranges
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:

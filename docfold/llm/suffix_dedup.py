@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same document.  Strings are judged on the input, don't cross rows, and may overlap.
 
     Ids are integers; null ids come first.  Null text counts as empty.  Rows that repeat an id come in an
-    order that their texts fix.  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
+    order that their texts fix (and their places in the input, if texts repeat too).  Rows shorter than ``length`` keep all bytes.  An empty table gives no rows; columns
     named in ``carry`` return in the struct ``carried``, others are ignored.  ``hash_bits`` is how much of a run's
     hash is used (few, in tests, make runs collide).  With ``as_text`` there is ``text`` instead of ``kept``: what
     the kept bytes spell, without what is left of characters that were cut.

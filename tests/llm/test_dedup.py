@@ -270,6 +270,39 @@ def test_rows_that_share_an_id_are_spread(spark):
     assert len(got) == 602 and all(len(r.kept) == 0 for r in got if r.doc_id == 9)
 
 
+def test_rows_that_repeat_whole_are_spread(spark):
+    """Equal rows take several blocks, each evaluation the same, and all of them but the first lose their text."""
+    from docfold.llm.blocks import with_blocks
+
+    text = "".join(f"{k * k * 7919 % 1009} " for k in range(60))
+    df = frame(spark, [(5, text)] * 5000 + [(None, None)] * 500)
+    blocks, n, _ = with_blocks(df, "doc_id", "text", 40_000, 1 << 20)
+    sizes = {r.block: r["count"] for r in blocks.groupBy("block").count().collect()}
+    assert n > 20 and max(sizes.values()) < 3 * 5500 / n
+    assert {r.block: r["count"] for r in blocks.repartition(3).groupBy("block").count().collect()} == sizes
+    got = remove_repeats(df, block_bytes=40_000).collect()
+    assert len(got) == 5500 and sum(len(r.kept) > 0 for r in got) == 1
+
+
+def test_written_tables_keep_their_tasks(spark, monkeypatch):
+    """The join that carries and compares texts runs in as many tasks as there are shuffle partitions."""
+    from docfold.llm import exact_dedup as module
+    from docfold.llm.common import materialize
+
+    files = []
+    monkeypatch.setattr(module, "materialize", lambda df: files.append(len((out := materialize(df)).inputFiles())) or out)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert exact_dedup(frame(spark, [(k, f"text {k % 900}") for k in range(2000)])).filter("kept").count() == 900
+        assert files == [24, 24]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_suffix_sort_verifies_bytes(monkeypatch):
     """With hashes that all collide, bytes still decide."""
     import numpy as np
