@@ -12,11 +12,12 @@ then about their distinct bigrams, and put the answers together token by token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,22 +217,35 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             }
         )
 
-    def combine(kind: int):
-        """Sums of all ranges: one short row per range comes in."""
+    sums = [f"s{k}" for k in range(SUMS)]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range's sums as rows: entry ``at`` of the data (``head`` false), or a history's sums."""
+        for b in batches:
+            for data, heads in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one = unpack(data, "i8")[0]
+                zeros = pa.array(np.zeros(len(one), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(one), bool)), pa.array(np.arange(len(one))), pa.array(one), *[zeros] * (SUMS - 1)], ["head", "at", *sums])
+                if heads is not None:
+                    at, *of = unpack(heads, *["i8"] * (1 + SUMS))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), *(pa.array(x) for x in (at, *of))], ["head", "at", *sums])
+
+    def closed(kind: int):
+        """One row of all sums: an entry for each spread history, of which there are fewer than ranges."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            data = np.sum([unpack(x, "i8")[0] for x in table.column("data").to_pylist()], axis=0)
-            parts = [unpack(x, *["i8"] * (1 + SUMS)) for x in table.column("heads").to_pylist() if x is not None]
-            heads = None
-            if parts:
-                own, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                heads = pack(own, *(np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(own)).astype(np.int64) for k in range(1, 1 + SUMS)))
-            return pa.table({"kind": pa.array([kind], pa.int32()), "data": pa.array([pack(data)], pa.binary()), "heads": pa.array([heads], pa.binary())})
+            table = table.sort_by("at")
+            data, heads = (table.filter(x) for x in (pc.invert(table["head"]), table["head"]))
+            blob = pack(*(np.array(heads[x]) for x in ("at", *sums)))
+            return pa.table({"kind": pa.array([kind], pa.int32()), "data": pa.array([pack(np.array(data["s0"]))], pa.binary()), "heads": pa.array([blob], pa.binary())})
 
         return run
 
     def to_all_blocks(told: DataFrame, kind: int) -> DataFrame:
-        whole = told.filter("block = -1").groupBy("block").applyInArrow(combine(kind), "kind int, data binary, heads binary")
+        # Ranges are summed by an ordinary shuffle, history by history.
+        rows = told.filter("block = -1").select("data", "heads").mapInArrow(opened, "head boolean, at long, " + ", ".join(f"{x} long" for x in sums))
+        summed = rows.groupBy("head", "at").agg(*[F.sum(x).alias(x) for x in sums])
+        whole = summed.groupBy(F.lit(-1).alias("all")).applyInArrow(closed(kind), "kind int, data binary, heads binary")
         return whole.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "kind", F.lit(0).cast("long").alias("at"), "data", "heads")
 
     def score(key: tuple, table: pa.Table, info: pa.Table) -> pa.Table:
@@ -330,5 +344,5 @@ def _undo(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _one(info: pa.Table, kind: int, column: str = "data") -> bytes:
     """The row of that kind; without one (no bigram was learned) what packs no entry."""
-    found = info.filter(pa.compute.equal(info.column("kind"), kind)).column(column)
+    found = info.filter(pc.equal(info.column("kind"), kind)).column(column)
     return found[0].as_py() if len(found) else pack(np.zeros(0, np.int64))
