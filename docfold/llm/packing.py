@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     isn't chosen by cost.  ``tokenizer_file`` is a ``tokenizers`` file of byte-level BPE, readable by executors.
 
     Null text counts as empty and gives the end id alone.  Repeated rows are packed as often as they occur
-    (ordered by text); null ids come first.  An empty table gives no rows.  Other columns are ignored.
+    (in the order of a hash of their texts, which lets one id take several tasks); null ids come first.  An empty table gives no rows.  Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -235,5 +235,6 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
             yield flush()
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions, *by).sortWithinPartitions(*by, "text")
     return ordered.mapInArrow(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
