@@ -110,6 +110,39 @@ def s1b(t: Tables) -> DataFrame:
     return files.read_files(t.spark, f"{root}/sent").select("name", "file_type", "size", F.sha2("content", 256).alias("content_sha256"))
 
 
+_HALVES = "doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) // 2 AS INTEGER) AS half"
+
+
+@register("s1_archive_entries", f"""SELECT 'doc-' || doc_id || '.epub' AS name, CAST(k AS INTEGER) AS entry_no, ['mimetype', 'text/1.html', 'text/2.html'][k + 1] AS entry, strlen(body) AS size, sha256(body) AS content_sha256, NULL::VARCHAR AS error
+    FROM (SELECT doc_id, k, CASE k WHEN 0 THEN 'application/epub+zip' WHEN 1 THEN left(text, half) ELSE substr(text, half + 1) END AS body FROM (SELECT {_HALVES} FROM documents WHERE doc_id % 3 = 0), unnest(range(0, 3)) AS u(k))
+    UNION ALL SELECT 'doc-' || doc_id || '.epub', NULL, NULL, 0, NULL, 'BadZipFile: File is not a zip file' FROM documents WHERE doc_id % 3 = 1
+    UNION ALL SELECT 'doc-' || doc_id || '.txt', NULL, NULL, 0, sha256(''), NULL FROM documents WHERE doc_id % 3 = 2""")
+def s1c(t: Tables) -> DataFrame:
+    """Books of three entries, books without a byte, and notes without a byte."""
+    root, half = stream_dir(t), F.floor(F.length("text") / 2).cast("int")
+    docs = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    halves = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("name"), F.left("text", half).alias("a"), F.expr("substr(text, cast(floor(length(text) / 2) as int) + 1)").alias("b"))
+    empty = docs.filter("doc_id % 3 > 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.expr("if(doc_id % 3 = 1, '.epub', '.txt')")).alias("name"), F.lit(b"").alias("content"))
+    files.write_files(halves.mapInPandas(_books, "name string, content binary").unionByName(empty), f"{root}/sent")
+    return files.read_entries(t.spark, f"{root}/sent").select("name", "entry_no", "entry", "size", F.sha2("content", 256).alias("content_sha256"), "error")
+
+
+def _books(batches):
+    """A book of two chapters from ``a`` and ``b``."""
+    import io
+    import zipfile
+
+    for b in batches:
+        out = []
+        for x, y in zip(b["a"], b["b"]):
+            with io.BytesIO() as f:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for entry, body in (("mimetype", "application/epub+zip"), ("text/1.html", x), ("text/2.html", y)):
+                        z.writestr(entry, body)
+                out.append(f.getvalue())
+        yield b[["name"]].assign(content=out)
+
+
 @register("s2_validate_files", """SELECT id, reason, reason IS NULL AND size > 4718592 AS needs_blob FROM (SELECT id, file_size AS size, CASE WHEN file_size > 15728640 THEN 'File size exceeds 15MB limit'
     WHEN id % 11 = 0 THEN 'Unsupported file type' WHEN file_size = 0 THEN 'No text content found' END AS reason FROM kd)""")
 def s2(t: Tables) -> DataFrame:
@@ -977,7 +1010,7 @@ _KEPT_TEXT = S.keep_format("text")
 def r1(t: Tables) -> DataFrame:
     root = stream_dir(t)
     files.write_files(_sent_files(t), f"{root}/sent")
-    jobs.stream_ingest(t.spark, f"{root}/sent", f"{root}/out", f"{root}/checkpoint", chunk=chunking.chunk_fixed).awaitTermination()
+    jobs.stream_ingest(t.spark, f"{root}/sent", f"{root}/out", f"{root}/checkpoint", chunk=chunking.chunk_fixed, settle=0).awaitTermination()
     chunks = t.spark.read.parquet(f"{root}/out/chunks").select(F.lit("chunk").alias("kind"), F.col("id").alias("name"), "chunk_index", "content")
     bad = t.spark.read.parquet(f"{root}/out/rejects").select(F.lit("reject").alias("kind"), "name", F.lit(None).cast("int").alias("chunk_index"), F.col("reason").alias("content"))
     return chunks.unionByName(bad)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_book_text, html_to_text, sanitize_keep_format
+from . import uploads
 
 MB = 1024 * 1024
 TYPES = {"pdf": "pdf", "txt": "txt", "md": "md", "markdown": "md", "docx": "docx", "epub": "epub"}
@@ -30,11 +31,21 @@ def file_type(name: Column | str) -> Column:
     return out
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``name, file_type, size, content`` of the files under a path; Spark's reader leaves out files without a byte."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return raw.select(name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content")
+def read_files(spark: SparkSession, path: str, content: bool = True, max_bytes: int | None = None) -> DataFrame:
+    """``name, file_type, size, content`` of the files under a path, files without a byte included.
+
+    Without ``content`` no file is opened; content of more than ``max_bytes`` isn't read and is null.
+    """
+    uploads.register(spark)
+    limit = {} if max_bytes is None else {"maxBytes": str(max_bytes)}
+    raw = spark.read.format("uploads").options(content=str(content).lower(), **limit).load(path)
+    return raw.select("name", file_type("name").alias("file_type"), "size", *(["content"] if content else []))
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``name, entry_no, entry, size, content, error``: a row for each entry of an archive, one for any other file."""
+    uploads.register(spark)
+    return spark.read.format("uploads").option("entries", "true").load(path).select("name", "entry_no", "entry", "size", "content", "error")
 
 
 def validate_files(files: DataFrame, max_bytes: int = 15 * MB, blob_bytes: int = int(4.5 * MB)) -> DataFrame:

@@ -11,9 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.history import upsert_votes
 from ..sources.buckets import BucketTable
 
-BINARY = "path string, modificationTime timestamp, length long, content binary"
-
-
 def rolling_quota(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     """R2: user messages per user in sliding windows of 24 hours every hour (an exact count for any instant is A4)."""
     rows = messages.filter("role = 'user'")
@@ -67,19 +64,21 @@ def stream_votes(votes: DataFrame, table: BucketTable, checkpoint: str) -> Strea
     return votes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "plain", chunk: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: str = "plain", chunk: Callable[[DataFrame], DataFrame] | None = None, settle: float = 2.0) -> StreamingQuery:
     """New files are validated, extracted and chunked; texts, chunks and rejects are appended.
 
     ``chunk`` makes ``id, chunk_index, content, ...`` from ``id, text``; by default texts are split recursively by
-    ``profile``.  A batch that runs again replaces its own folders.
+    ``profile``.  A batch that runs again replaces its own folders.  Files are taken ``settle`` seconds after their
+    last change; those beyond the size limit are refused unread, those without a byte as empty.
     """
     from ..operators.chunking import chunk_recursive
-    from ..sources.files import extract_text, file_type, validate_files
+    from ..sources import uploads
+    from ..sources.files import MB, extract_text, file_type, validate_files
 
     cut = chunk or (lambda texts: chunk_recursive(texts, profile))
-    files = spark.readStream.format("binaryFile").schema(BINARY).load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = files.select(name.alias("name"), file_type(name).alias("file_type"), F.col("length").alias("size"), "content")
+    uploads.register(spark)
+    files = spark.readStream.format("uploads").options(settle=str(settle), maxBytes=str(15 * MB)).load(folder)
+    rows = files.select("name", file_type("name").alias("file_type"), "size", "content")
 
     def ingest(batch: DataFrame, number: int) -> None:
         checked = validate_files(batch)

@@ -168,7 +168,7 @@ def test_each_file_is_extracted_once(spark, tmp_path, monkeypatch):
         return own(df.mapInArrow(count, df.schema))
 
     monkeypatch.setattr(files, "extract_text", counted)
-    jobs.stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    jobs.stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), settle=0).awaitTermination()
     assert seen.value == 2
     assert {r.id for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()} == {"a.txt"}
     assert {(r.name, r.reason) for r in spark.read.parquet(str(tmp_path / "out/rejects")).collect()} == {("b.exe", "Unsupported file type"), ("c.md", "No text content found")}
