@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, repeatable
 from .pretokens import split_texts
 
 HEAD, WORDS, DOC = 0, 1, 2
@@ -94,11 +94,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     ``rank_file`` must be readable by the executors.  Null and empty texts get an empty array; repeated rows are
     each encoded; null ids are kept; an empty table gives no rows; other columns are ignored.  A piece is
-    encoded as often as a task's cache of 400,000 pieces overflows, else once.
+    encoded as often as a task's cache of 400,000 pieces overflows, else once.  Blocks are cut from the rows twice, so
+    rows that don't come straight from files are written once first.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = repeatable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     # Several ranges per partition even out what partitions get.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

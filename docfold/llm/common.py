@@ -40,6 +40,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What leaves rows in the order of their files, however often they are read.
+_ORDERLY = ("Project", "Filter", "Union", "LocalTableScan", "ColumnarToRow", "Scan ")
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df`` if every evaluation gives its rows in one order, as scans of files do; else written once.
+
+    After a shuffle, or in a task that a lost executor makes run again, rows may come in another order.
+    """
+    execution = df._jdf.queryExecution()
+    nodes, orderly = [execution.sparkPlan()], execution.optimizedPlan().deterministic()
+    while nodes and orderly:
+        node = nodes.pop()
+        orderly = node.nodeName().startswith(_ORDERLY) and node.nodeName() != "Scan ExistingRDD"
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return df if orderly else materialize(df)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes all tables that :func:`materialize` has written in this application; results that read them must be stored."""
     sc = spark.sparkContext

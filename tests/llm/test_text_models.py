@@ -334,6 +334,23 @@ def test_byte_bpe(spark):
     assert encode_documents(frame(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_rows_in_changing_order(spark, monkeypatch):
+    """Rows that come in another order each time they are evaluated are written once, then encoded as any others."""
+    from docfold.llm import byte_bpe, common
+
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, own=common.materialize: written.append(df) or own(df))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    encode = lambda df: {r.doc_id: r.ids for r in encode_documents(df, ranks, public_tokenizers.PATTERN, block_bytes=3000).collect()}
+    want = encode(docs)
+    assert not written
+    assert encode(docs.orderBy(F.rand())) == want and len(written) == 1
+    assert encode(docs.repartition(7)) == want and len(written) == 2
+    assert encode(docs.unionByName(docs.filter("doc_id < 0"))) == want and len(written) == 2
+    assert byte_bpe.repeatable(docs.filter(F.rand() < 0.5)).count() < docs.count() and len(written) == 3
+
+
 def test_byte_bpe_query(spark):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks), special_tokens={})
