@@ -137,6 +137,32 @@ def test_each_language_is_calibrated(spark):
         assert net.calibration_rows["bb"][0] == 40 and net.calibration_rows["bb"][1] >= 200
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """Far more rows than one block has: thresholds count all, and words of any of them are known."""
+    g = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    # A toxic row has one of sixty words, and each of those is in few rows.
+    rows = [(i, " ".join([g.choice(words) for _ in range(8)] + ([f"{i // 8 % 60:02d}vile"] if i % 8 == 0 else [])), "aa") for i in range(2600)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 8 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    for bounds in ({}, {"n_toxic": 50, "n_clean": 100}):
+        net = toxicity.train_toxicity(docs, labels, buckets=1 << 12, dim=8, **bounds)
+        assert net.calibration_rows == {"aa": (325, 2275)}
+        assert accuracy(toxicity.score_toxicity(docs, net), labels.filter("toxic = 1"), "toxic", 0.5) > 0.95
+        assert accuracy(toxicity.score_toxicity(docs, net), labels, "toxic", 0.5) > 0.97
+
+
+def test_words_of_rows_in_a_file():
+    """Rows beyond the bound are kept in a file, in order, empty ones too."""
+    g = np.random.default_rng(2)
+    rows = [g.integers(0, 99, (n, 3)).astype(np.int32) for n in (3, 0, 5, 1)]
+    for most in (0, 40, 1000):
+        held = toxicity.Words(most)
+        for x in rows:
+            held.add(x, np.array([len(x)]))
+        assert len(held) == 4 and all(np.array_equal(a, b) for a, b in zip(held, rows))
+        assert np.array_equal(held.of(np.array([2, 0]))[0], rows[2])
+
+
 def test_long_texts_are_learned_from(spark):
     """Toxic rows that are all far longer than other texts train the net and are found; a bound in bytes holds."""
     g = random.Random(11)
