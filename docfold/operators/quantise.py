@@ -103,81 +103,101 @@ def _residuals(centres: np.ndarray):
     return residual
 
 
-CODED = "chunk_id long, document_id long, chunk_index int, list int, code binary"
+CODED = "chunk_id long, document_id long, chunk_index int, list int, code binary, error double"
+#: Vectors that one step codes: each takes parts x words distances.
+STEP = 256
+#: What rounding may take from a bound.
+SLACK = 1e-4
 
 
 def encode_chunks(chunks: DataFrame, books: Codebooks) -> DataFrame:
-    """The index: ``chunk_id, document_id, chunk_index, list, code`` of every chunk with a vector of the right length.
+    """The index: ``chunk_id, document_id, chunk_index, list, code, error`` of every chunk with a vector of the right length.
 
-    A code is one byte for each sub-vector of what is left after the list's centre.  Write it as a table, by list.
+    A code is one byte for each sub-vector of what is left after the list's centre; ``error`` is how far the vector is
+    from what its code stands for, which no estimate exceeds.  Write it as a table, by list.
     """
+    parts = np.arange(books.words.shape[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, books.dims)
+            for some in (b.slice(lo, STEP) for lo in range(0, b.num_rows, STEP)):
+                x = np.asarray(some.column("v").flatten()).reshape(some.num_rows, books.dims)
                 at = books.lists(x, 1)[:, 0]
-                code = books.encode(x - books.centres[at])
-                yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("document_id"), b.column("chunk_index"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["chunk_id", "document_id", "chunk_index", "list", "code"])
+                left = x - books.centres[at]
+                code = books.encode(left)
+                error = np.linalg.norm(left - books.words[parts, code].reshape(left.shape), axis=1)
+                yield pa.RecordBatch.from_arrays([some.column("chunk_id"), some.column("document_id"), some.column("chunk_index"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["chunk_id", "document_id", "chunk_index", "list", "code", "error"])
 
     rows = chunks.filter(F.size("embedding") == books.dims).select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", unit_vector(F.col("embedding")).alias("v"))
     return rows.mapInArrow(run, CODED)
 
 
-def coded_candidates(queries: DataFrame, index: DataFrame, docs: DataFrame, books: Codebooks, candidates: int, probes: int, slot_rows: int = 50_000) -> DataFrame:
+def coded_candidates(queries: DataFrame, index: DataFrame, docs: DataFrame, books: Codebooks, candidates: int, probes: int, slot_rows: int = 50_000, k: int | None = None) -> DataFrame:
     """``query_id, chunk_id, document_id``: the best ``candidates`` of each query by its tables, from codes alone.
 
     Queries meet the codes of their user's chunks by user, list and slot: a list has a slot for each ``slot_rows`` codes
     of a user, so neither a large user nor a large list is one task.  A slot gives out ``candidates`` rows per query,
-    and so does the window over slots.
+    and so does the window over slots.  With ``k``, rows after the first 2 ``k`` go if at least ``k`` others are more
+    similar by the bounds that the codes' errors give: they aren't among the best ``k``, however many candidates there are.
     """
+    near = 2 * k if k is not None else candidates
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                q = np.asarray(b.column("q").flatten()).reshape(b.num_rows, books.dims)
-                near = books.lists(q, min(probes, len(books.centres)))
-                base = np.take_along_axis(q @ books.centres.T, near, 1)
-                n = near.shape[1]
-                take = np.repeat(np.arange(b.num_rows), n)
-                table = pa.array([books.products(x).astype(np.float32).tobytes() for x in q], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(take)), b.column("user_id").take(pa.array(take)), pa.array(near.ravel().astype(np.int32)), pa.array(base.ravel()), table.take(pa.array(take))], ["query_id", "user_id", "list", "base", "words"])
-
-    asked = queries.filter(F.size("embedding") == books.dims).select("query_id", "user_id", unit_vector(F.col("embedding")).alias("q")).mapInArrow(tables, "query_id long, user_id long, list int, base double, words binary")
+                at = books.lists(np.asarray(b.column("q").flatten()).reshape(b.num_rows, books.dims), min(probes, len(books.centres)))
+                take = pa.array(np.repeat(np.arange(b.num_rows), at.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(take), b.column("user_id").take(take), pa.array(at.ravel().astype(np.int32)), b.column("q").take(take)], ["query_id", "user_id", "list", "q"])
+
+    asked = queries.filter(F.size("embedding") == books.dims).select("query_id", "user_id", unit_vector(F.col("embedding")).alias("q")).mapInArrow(lists, "query_id long, user_id long, list int, q array<double>")
     owned = index.join(docs.select(F.col("id").alias("document_id"), "user_id"), "document_id")
     slots = owned.groupBy("user_id", "list").agg(F.ceil(F.count(F.lit(1)) / slot_rows).alias("slots"))
     codes = owned.join(slots, ["user_id", "list"]).withColumn("slot", F.pmod(F.xxhash64("chunk_id"), F.col("slots"))).drop("slots")
     sent = asked.join(slots, ["user_id", "list"]).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).drop("slots")
-    parts, size = books.words.shape[0], books.words.shape[1]
+    parts = books.words.shape[0]
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, owners, query, score = [], [], [], []
+        out = []
         if left.num_rows and right.num_rows:
             code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, parts)
-            chunk, document = np.asarray(left["chunk_id"].combine_chunks()), np.asarray(left["document_id"].combine_chunks())
-            for q, base, words in zip(right["query_id"].to_pylist(), right["base"].to_pylist(), right["words"].to_pylist()):
-                table = np.frombuffer(words, np.float32).reshape(parts, size)
-                s = base + table[np.arange(parts), code].sum(1, dtype=np.float64)
-                top = np.lexsort((chunk, -s))[:candidates] if len(s) > candidates else np.arange(len(s))
-                ids.append(chunk[top])
-                owners.append(document[top])
-                score.append(s[top])
-                query.append(np.full(len(top), q))
-        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-        return pa.table({"query_id": cat(query, np.int64), "chunk_id": cat(ids, np.int64), "document_id": cat(owners, np.int64), "estimate": cat(score, np.float64)})
-
+            chunk, document, error = (np.asarray(left[c].combine_chunks()) for c in ("chunk_id", "document_id", "error"))
+            centre = books.centres[left["list"][0].as_py()]
+            for q, x in zip(right["query_id"].to_pylist(), right["q"]):
+                x = np.array(x.as_py())
+                table = books.products(x).astype(np.float32)
+                s = np.full(len(code), x @ centre)
+                for p in range(parts):
+                    s += table[p, code[:, p]]
+                low = np.where(np.isnan(s - error), -np.inf, s - error)
+                top = np.arange(len(s))
+                if k is not None and len(s) > near:
+                    bound = np.partition(low, -k)[-k] - SLACK
+                    least = np.partition(s, -near)[-near]
+                    top = np.flatnonzero(~((s + error < bound) & (s < least)))
+                if len(top) > candidates:
+                    top = top[np.lexsort((chunk[top], -s[top]))[:candidates]]
+                out.append(pa.table({"query_id": np.full(len(top), q, np.int64), "chunk_id": chunk[top], "document_id": document[top], "estimate": s[top], "low": low[top], "high": s[top] + error[top]}))
+        return pa.concat_tables([found_schema.empty_table(), *out])
+
+    found_schema = pa.schema([(c, pa.int64()) for c in ("query_id", "chunk_id", "document_id")] + [(c, pa.float64()) for c in ("estimate", "low", "high")])
     keys = ["user_id", "list", "slot"]
-    met = codes.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(best, "query_id long, chunk_id long, document_id long, estimate double")
+    met = codes.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(best, "query_id long, chunk_id long, document_id long, estimate double, low double, high double")
     w = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "chunk_id")
-    return met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= candidates).drop("_n")
+    ranked = met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= candidates)
+    if k is not None and candidates > near:
+        at = ranked.withColumn("_low", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"))))
+        bound = F.max(F.when(F.col("_low") == k, F.col("low"))).over(Window.partitionBy("query_id")) - SLACK
+        ranked = at.withColumn("_bound", bound).filter((F.col("_n") <= near) | F.col("_bound").isNull() | (F.col("high") >= F.col("_bound"))).drop("_low", "_bound")
+    return ranked.drop("_n", "low", "high")
 
 
 def quantised_search(queries: DataFrame, index: DataFrame, chunks: DataFrame, docs: DataFrame, books: Codebooks, k: int = 10, least: float = 0.1, probes: int = 10, candidates: int = 50) -> DataFrame:
     """``query_id, rank, chunk_id, document_id, chunk_index, similarity``: the best ``k`` by exact similarity.
 
-    Only ``candidates`` vectors of each query are read: those with the highest estimates from codes (:func:`coded_candidates`).
+    Only ``candidates`` vectors of each query are read: those with the highest estimates from codes, without those
+    that their bounds exclude (:func:`coded_candidates`).
     """
-    found = coded_candidates(queries, index, docs, books, candidates, probes).select("query_id", "chunk_id")
+    found = coded_candidates(queries, index, docs, books, candidates, probes, k=k).select("query_id", "chunk_id")
     v = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "embedding")
     exact = found.join(v, "chunk_id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
     scored = exact.withColumn("similarity", unit_product(unit_vector(F.col("embedding")), unit_vector(F.col("asked")))).drop("embedding", "asked")

@@ -54,3 +54,18 @@ def test_slots_split_a_large_list(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     exact = vector.similarity_search(q, chunks, docs, 10).select("query_id", "chunk_id")
     assert exact.join(many, ["query_id", "chunk_id"]).count() >= 0.8 * exact.count()
+
+
+def test_bounds_leave_out_what_cannot_be_found(spark):
+    """With every candidate allowed the best ten are the exact ones, and most rows are never compared."""
+    t = Tables(spark, DATA)
+    chunks, q = t.document_chunks().select("id", "document_id", "chunk_index", F.lit("").alias("content"), "embedding"), t.queries().limit(5)
+    docs = t.knowledge_documents().withColumn("user_id", F.lit(1).cast("long"))
+    q = q.withColumn("user_id", F.lit(1).cast("long"))
+    books = quantise.train_codebooks(chunks, 4, 32)
+    index = quantise.encode_chunks(chunks, books)
+    for slot_rows in (50, 10**6):
+        found = quantise.coded_candidates(q, index, docs, books, 1 << 30, 4, slot_rows, k=10)
+        exact = vector.similarity_search(q, chunks, docs, 10)
+        assert exact.join(found, ["query_id", "chunk_id"]).count() == exact.count() >= 50
+        assert found.count() < 0.5 * q.count() * index.count()
