@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401
+
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
 
@@ -183,13 +185,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
-
-
-#: Every operator asks for the same bounds, so plans that run later aren't changed by other operators.
-BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded rows and bytes, so long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

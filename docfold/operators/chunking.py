@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches
 from ..functions.text import file_title, summarize
 from ..sources.files import file_type
 
@@ -92,8 +93,9 @@ def chunk_recursive(df: DataFrame, profile: str | Profile = "rag", length: Calla
     """``id, chunk_index, content, metadata`` from ``id, text``, by recursive splitting.
 
     ``length`` measures pieces against the profile's size and overlap: characters, or tokens of a tokenizer.
-    The Arrow helper sees the text column alone and returns arrays; rows multiply after it.
+    The Arrow helper sees the text column alone, in bounded batches, and returns arrays; rows multiply after it.
     """
+    bounded_batches(df.sparkSession)
     p = PROFILES[profile] if isinstance(profile, str) else profile
 
     @F.pandas_udf("array<string>")

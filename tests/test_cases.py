@@ -360,3 +360,13 @@ def test_search_runs_once(spark):
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_helpers_see_bounded_batches(spark):
+    """Chunks and extracted files come through Arrow batches of few rows, whatever the session had."""
+    docs = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("some words").alias("text"))
+    sent = docs.select(F.col("id").alias("name"), F.lit("txt").alias("file_type"), F.col("text").cast("binary").alias("content"))
+    for job in (lambda: chunking.chunk_recursive(docs), lambda: files.extract_text(sent)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        assert job().count() == 400
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 128
