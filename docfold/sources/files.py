@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import bounded_batches
 from ..functions.text import clean_book_text, html_to_text, sanitize_keep_format
 from . import uploads
 
@@ -98,10 +99,11 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """S3: ``name, file_type, text, error``.  Files are dealt evenly first, as their sizes differ much.
+    """S3: ``name, file_type, text, error``.  Files are dealt evenly first, as their sizes differ much, and read in bounded batches.
 
     PDF bytes aren't parsed here: give their text as txt and repair it with ``repair_spaced_letters``.
     """
+    bounded_batches(files.sparkSession)
     raw = files.select("name", "file_type", "content").repartition(files.sparkSession.sparkContext.defaultParallelism * 4).mapInPandas(_extract, _EXTRACTED)
     parts = F.filter(F.transform(F.split("raw_text", "\x1e"), lambda x: html_to_text(x)), lambda x: x != "")
     book = clean_book_text(F.array_join(parts, "\n\n"))
