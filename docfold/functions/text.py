@@ -34,11 +34,12 @@ def trim_ws(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"{WS}+", " "))
+    # What is white at the ends is one blank by then.
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def _without_controls(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\x00", ""), CONTROL, "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"[\x00{CONTROL[1:]}", "")
 
 
 def sanitize_keep_format(c: Column | str) -> Column:
@@ -142,13 +143,15 @@ def bpe_token_count(rank_file: str, pattern: str) -> Callable[[Column], Column]:
 
 def preprocess_query(c: Column | str) -> Column:
     """One line without filler words."""
-    return collapse_ws(F.regexp_replace(collapse_ws(col(c)), rf"(?i)(?<![A-Za-z0-9_])({'|'.join(FILLER_WORDS)})(?![A-Za-z0-9_])", " "))
+    # White space borders words alike, collapsed or not, so it is collapsed once.
+    return collapse_ws(F.regexp_replace(col(c), rf"(?i)(?<![A-Za-z0-9_])({'|'.join(FILLER_WORDS)})(?![A-Za-z0-9_])", " "))
 
 
 def extract_keywords(c: Column | str) -> Column:
     """Lower-case words of two characters or more that aren't stop words; repeats stay."""
-    plain = F.regexp_replace(F.regexp_replace(col(c), "[\"']", ""), rf"[^A-Za-z0-9_\t\n\x0B\f\r {WS[1:-1]}]", " ")
-    words = F.split(F.lower(plain), f"{WS}+")
+    # All but letters, digits and underscores part words, as white space does.
+    plain = F.regexp_replace(F.translate(col(c), "\"'", ""), "[^A-Za-z0-9_]+", " ")
+    words = F.split(F.lower(plain), " ")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
@@ -262,7 +265,7 @@ def sanitize_nested(c: Column | str, kind: T.DataType) -> Column:
 
 
 def _clean_json(value):
-    flat = lambda t: re.sub(f"^{_WS}+|{_WS}+$", "", re.sub(f"{_WS}+", " ", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", t)))
+    flat = lambda t: re.sub(f"{_WS}+", " ", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", t)).strip(" ")
     if isinstance(value, dict):
         return {flat(k): _clean_json(v) for k, v in value.items()}
     if isinstance(value, list):
