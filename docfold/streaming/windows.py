@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import bisect
-from collections import Counter
+import pickle
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HOUR_US = 3_600_000_000
+#: Rows of one entry of a key's state.
+RUN = 4096
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,26 +42,31 @@ def trailing_count(rows: DataFrame, keys: list[str], ts: str, span_us: int, coun
 class TrailingCounts(StatefulProcessor):
     """Rows wait until the watermark has passed them, and leave with the count of their span.
 
-    State of a key: how many rows each time of the last span has, and the rows that wait.  One timer is set, for the
+    State of a key: the rows that wait, and the times of rows that have left within the last span.  Both are lists of
+    runs of up to RUN rows, as each entry read or written is a message to the state's server.  One timer is set, for the
     earliest row that waits, or for the moment when the last time leaves the span, which clears the state.
     """
 
-    def __init__(self, key: str, columns: list[str], row_schema: str, span_us: int) -> None:
-        self.key, self.columns, self.row_schema, self.span_us = key, columns, row_schema, span_us
+    def __init__(self, key: str, columns: list[str], span_us: int) -> None:
+        self.key, self.columns, self.span_us = key, columns, span_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getMapState("times", "at bigint", "n bigint")
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.times = handle.getListState("times", "run binary")
+        self.waiting = handle.getListState("waiting", "run binary")
+        self.at = self.columns.index("at_us")
+        self.row = Row(self.key, *self.columns, "trailing")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh = [tuple(r[c] for c in self.columns) for r in rows]
-        k = self.columns.index("at_us")
-        for at, n in Counter(r[k] for r in fresh).items():
-            held = self.times.getValue((at,))[0] if self.times.containsKey((at,)) else 0
-            self.times.updateValue((at,), (held + n,))
-        self.waiting.appendList(fresh)
-        self._wake_at(min(r[k] for r in fresh))
+        wake, places = None, None
+        while run := list(islice(rows, RUN)):
+            places = places or [run[0].__fields__.index(c) for c in self.columns]
+            run = [tuple([r[k] for k in places]) for r in run]
+            self.waiting.appendValue((pickle.dumps(run),))
+            first = min(r[self.at] for r in run)
+            wake = first if wake is None else min(wake, first)
+        if wake is not None:
+            self._wake_at(wake)
         return iter([])
 
     def _wake_at(self, at: int) -> None:
@@ -72,22 +80,37 @@ class TrailingCounts(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = int(timerValues.getCurrentWatermarkInMs()) * 1000
-        rows = [tuple(r) for r in self.waiting.get()]
-        k = self.columns.index("at_us")
-        done, left = [r for r in rows if r[k] <= passed], [r for r in rows if r[k] > passed]
-        counts = sorted((a[0], n[0]) for a, n in self.times.iterator())
-        ats, total = [a for a, _ in counts], [0, *accumulate(n for _, n in counts)]
+        k, done, left = self.at, [], []
+        for (run,) in self.waiting.get():
+            for r in pickle.loads(run):
+                (done if r[k] <= passed else left).append(r)
+        known = array("q")
+        for (run,) in self.times.get():
+            known.frombytes(run)
+        # Rows that still wait are later than those that leave.
+        ats = sorted([*known, *(r[k] for r in done)])
         # A row that comes later is later than the watermark, and looks back one span at most.
-        for a in ats:
-            if a < passed - self.span_us:
-                self.times.removeKey((a,))
-        self.waiting.put(left) if left else self.waiting.clear()
-        wake = min((r[k] for r in left), default=ats[-1] + self.span_us + 1 if ats and ats[-1] >= passed - self.span_us else None)
+        oldest = passed - self.span_us
+        if done:
+            self.waiting.put([(pickle.dumps(left[x : x + RUN]),) for x in range(0, len(left), RUN)]) if left else self.waiting.clear()
+        fresh = [r[k] for r in done if r[k] >= oldest]
+        held = sum(a >= oldest for a in known)
+        if 2 * held < len(known):
+            # Times that no row will look back to are dropped when they are most of them.
+            keep = ats[bisect.bisect_left(ats, oldest) :]
+            self.times.put(self._runs(keep)) if keep else self.times.clear()
+        elif fresh:
+            self.times.appendList(self._runs(fresh))
+        wake = min((r[k] for r in left), default=ats[-1] + self.span_us + 1 if held or fresh else None)
         if wake is not None:
             self.handle.registerTimer(-(-wake // 1000))
         for r in done:
-            n = total[bisect.bisect_right(ats, r[k])] - total[bisect.bisect_left(ats, r[k] - self.span_us)]
-            yield Row(**{self.key: key[0]}, **dict(zip(self.columns, r)), trailing=n)
+            n = bisect.bisect_right(ats, r[k]) - bisect.bisect_left(ats, r[k] - self.span_us)
+            yield self.row(key[0], *r, n)
+
+    @staticmethod
+    def _runs(ats: list[int]) -> list[tuple[bytes]]:
+        return [(array("q", ats[x : x + RUN]).tobytes(),) for x in range(0, len(ats), RUN)]
 
     def close(self) -> None:
         pass
@@ -104,7 +127,7 @@ def stream_trailing_count(rows: DataFrame, key: str, ts: str, span_us: int, late
     columns = [c for c in marked.columns if c not in (key, ts)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name in columns)
     out = marked.groupBy(key).transformWithState(
-        statefulProcessor=TrailingCounts(key, columns, schema, span_us), outputStructType=f"`{key}` {marked.schema[key].dataType.simpleString()}, {schema}, trailing bigint", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=TrailingCounts(key, columns, span_us), outputStructType=f"`{key}` {marked.schema[key].dataType.simpleString()}, {schema}, trailing bigint", outputMode="Append", timeMode="EventTime"
     )
     return out.withColumn(ts, F.timestamp_micros("at_us").cast(rows.schema[ts].dataType)).drop("at_us")
 

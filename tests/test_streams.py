@@ -3,8 +3,11 @@
 import datetime
 import random
 import time
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docfold.streaming import jobs, windows
@@ -99,6 +102,79 @@ def test_exact_quota_of_a_hot_user_is_many_groups(spark):
     assert [r.messages for r in got.orderBy("event_id").collect()] == [min(i + 1, 145) for i in range(3000)]
 
 
+class Listed:
+    """A list state in memory that counts the messages it gets."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows))
+
+    def appendValue(self, value):
+        self.calls.append("append")
+        self.rows.append(value)
+
+    def appendList(self, values):
+        self.calls.append("append")
+        self.rows += values
+
+    def put(self, values):
+        self.calls.append("put")
+        self.rows = list(values)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers, self.states = [], set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Listed(self.calls))
+
+    def listTimers(self):
+        return iter(sorted((t,) for t in self.timers))
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+def test_trailing_counts_state_takes_runs_not_rows(monkeypatch):
+    """Messages to the state follow batches, not rows; runs, times that leave, and rows that wait longer stay exact."""
+    monkeypatch.setattr(windows, "RUN", 500)
+    rng, span = random.Random(3), 1000_000
+    got, rows, calls = [], [], []
+    handle = Handle()
+    p = windows.TrailingCounts("user_id", ["event_id", "at_us"], span)
+    p.init(handle)
+    asked = Row("user_id", "event_id", "at_us")
+
+    def clock(ms):
+        return SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+    for batch in range(30):
+        fresh = [asked(1, len(rows) + i, (batch * 400 + rng.randrange(600)) * 1000) for i in range(1200 if batch % 7 == 0 else 60)]
+        rows += fresh
+        handle.calls.clear()
+        assert list(p.handleInputRows((1,), iter(fresh), clock(batch * 400))) == []
+        now = (batch + 1) * 400 if batch < 29 else 10**9
+        while due := [t for t in handle.timers if t <= now]:
+            handle.timers -= set(due)
+            got += list(p.handleExpiredTimer((1,), clock(now), None))
+        calls.append(len(handle.calls))
+    assert max(calls) <= 8 and not any(s.rows for s in handle.states.values()) and not handle.timers
+    at = np.array([r.at_us for r in rows])
+    want = {r.event_id: int(((at >= a - span) & (at <= a)).sum()) for r, a in zip(rows, at)}
+    assert len(got) == len(rows) and {r.event_id: r.trailing for r in got} == want
+
+
 HIT = "request_id long, user_id long, query_hash string, ts timestamp"
 WRITE = "user_id long, query_hash string, ts timestamp"
 
