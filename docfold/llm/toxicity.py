@@ -315,7 +315,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
     given = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").distinct()
     # Equal texts are in one fold, so that no net has seen a copy of what it is held against.
-    known = materialize(rows.join(given, "doc_id").select("text", "lang", "label", F.xxhash64(F.lit(17), "doc_id").alias("at"), F.xxhash64("text").alias("hash")))
+    # Texts are shuffled at every size: labels, which grow with them, are never sent to all tasks.
+    known = materialize(rows.join(given.hint("merge"), "doc_id").select("text", "lang", "label", F.xxhash64(F.lit(17), "doc_id").alias("at"), F.xxhash64("text").alias("hash")))
     total = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     n, most = sum(total.values()), n_toxic + n_clean
     few = n <= most
@@ -388,12 +389,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             return pa.table({"turn": changes["turn"][:1], "part": changes["part"][:1], "change": pa.array([mean.tobytes()], pa.binary())})
 
         turn = dealt.filter(F.col("round") == k).repartitionById(folds + 1 if few else blocks, "task").sortWithinPartitions("label", "at", "hash").select("text", "label", "fold", "task")
-        changes = turn.mapInArrow(train, "turn int, part int, task int, change binary").groupBy("turn", "part").applyInArrow(average, "turn int, part int, change binary").collect()
+        changes = turn.mapInArrow(train, "turn int, part int, task int, change binary").groupBy("turn", "part").applyInArrow(average, "turn int, part int, change binary")
         now = [x.copy() for x in now]
-        for r in changes:
+        # The driver holds the changes of one partition at a time.
+        for r in changes.toLocalIterator():
             now[r.turn][r.part * SLICE : (r.part + 1) * SLICE] += np.frombuffer(r.change, np.float32)
+        shared.destroy()
 
+    net = nets(now, folds)
+    net.learn_langs(spoken, seen)
     held_out = spark.sparkContext.broadcast(now[:folds])
+    del now, start, seen, words
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[int, tuple[Net, np.ndarray]] = {}
@@ -413,14 +419,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         ready.clear()
         give_back()
 
-    net = nets(now, folds)
-    net.learn_langs(spoken, seen)
     guesser = spark.sparkContext.broadcast(net)
     scored = known.select("text", "label", F.pmod("hash", F.lit(folds)).cast("int").alias("fold")).mapInArrow(unseen, "guess long, label int, logit double")
     cell = F.floor(-F.col("logit") / CELL)
     cells = scored.groupBy("guess", cell.alias("cell")).agg(F.min("logit").alias("low"), F.max("logit").alias("high"), F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
     of = lambda name, t: np.array([r[name] for r in cells], t)
     net.calibrate(of("guess", int), of("low", float), of("high", float), of("toxic", int), of("n", int))
+    held_out.destroy()
+    guesser.destroy()
+    give_back()
     return net
 
 

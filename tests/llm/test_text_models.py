@@ -13,6 +13,7 @@ import pytest
 import regex
 import tiktoken
 from conftest import DATA
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -100,6 +101,25 @@ def test_quality_can_learn_words(spark):
     assert accuracy(quality.score_quality(docs, model), labels.filter("doc_id >= 200"), "quality", 0.5) > 0.95
 
 
+def test_toxicity_training_is_one_plan_at_every_size_and_frees_the_driver(spark, monkeypatch):
+    """Labels, which grow with the texts, are not broadcast; nets don't reach the driver all at once and don't stay there."""
+    rows = [(i, f"word{i % 7} other{i % 3} {'awful' if i % 4 == 0 else 'fine'} {i}", "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    plans, gone, shared = [], [], []
+    kept, send, destroy = toxicity.materialize, spark.sparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(toxicity, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: shared.append(send(x)) or shared[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda b, blocking=False: gone.append(id(b)) or destroy(b, blocking))
+    frame, collected = type(docs), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: collected.extend(df.columns) or collect(df))
+    toxicity.train_toxicity(docs, labels, buckets=1 << 10, dim=8, filters=4)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    assert len(shared) == 3 and sorted(gone) == sorted(map(id, shared))
+    assert "change" not in collected and "cell" in collected
+
+
 def test_toxicity(spark, labelled):
     docs, labels = labelled
     train = labels.filter("doc_id % 3 <> 0")
