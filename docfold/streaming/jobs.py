@@ -10,13 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import upsert_votes
 from ..sources.buckets import BucketTable
+from .windows import stream_sliding_count
 
 def rolling_quota(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     """R2: user messages per user in sliding windows of 24 hours every hour (an exact count for any instant is A4)."""
     rows = messages.filter("role = 'user'")
     if messages.isStreaming:
-        rows = rows.withWatermark("ts", late)
-    return rows.groupBy("user_id", F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("messages")).select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "messages", (F.col("messages") > 100).alias("over_limit"))
+        counted = stream_sliding_count(rows, "user_id", "ts", 24, late).select("user_id", F.col("start").alias("window_start"), (F.col("start") + F.expr("interval 24 hours")).alias("window_end"), F.col("count").alias("messages"))
+    else:
+        counted = rows.groupBy("user_id", F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("messages")).select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "messages")
+    return counted.withColumn("over_limit", F.col("messages") > 100)
 
 
 def cache_sessions(writes: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -8,9 +8,12 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR_US = 3_600_000_000
 #: Rows of one entry of a key's state.
@@ -132,6 +135,114 @@ def stream_trailing_count(rows: DataFrame, key: str, ts: str, span_us: int, late
     return out.withColumn(ts, F.timestamp_micros("at_us").cast(rows.schema[ts].dataType)).drop("at_us")
 
 
+class SlidingCounts:
+    """The step of a bucket of keys for :func:`stream_sliding_count`: messages go in, windows that have ended come out.
+
+    ``given`` is the hour up to which windows have been given out; none of them is given out again.  The rest of the
+    state is the counts of the hours that lie in a window still open, by key and hour.
+    """
+
+    def __init__(self, hours: int) -> None:
+        self.hours = hours
+
+    def __call__(self, bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        given, known = None, (np.empty(0, object), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        if state.exists:
+            given, packed = state.get
+            known = pickle.loads(packed)
+        if not state.hasTimedOut:
+            known = self._add(known, batches)
+        keys, codes, at, counts = known
+        passed = state.getCurrentWatermarkMs() // 3_600_000
+        last = None
+        for out in self._ended(known, passed, given):
+            last = max(int(out["stop"].max()) + self.hours, -(2**62) if last is None else last)
+            yield out
+        given = last if given is None else given if last is None else max(given, last)
+        left = at + self.hours > passed
+        if left.any():
+            held, codes = np.unique(codes[left], return_inverse=True)
+            state.update((given, pickle.dumps((keys[held], codes, at[left], counts[left]))))
+            # The first window of an hour ends with it.
+            wake = max(int(at[left].min()), passed) + 1
+        elif given is not None and given + self.hours > passed:
+            # A late row may still fall into a window that has been given out.
+            state.update((given, pickle.dumps((keys[:0], codes[:0], at[:0], counts[:0]))))
+            wake = given + self.hours
+        else:
+            state.remove()
+            return
+        # A state wakes when the watermark is later than this moment.
+        state.setTimeoutTimestamp(wake * 3_600_000 - 1)
+
+    @staticmethod
+    def _add(known: tuple, batches: Iterator[pd.DataFrame]) -> tuple:
+        """Counts by key and hour, in that order; rows are added up when there are more of them than counts."""
+        fresh, n = [], 0
+
+        def merged():
+            keys, codes, at, counts = known
+            place, names = pd.factorize(np.concatenate([keys, *(f["key"].to_numpy(object) for f in fresh)]), use_na_sentinel=False)
+            codes = np.concatenate([place[: len(keys)][codes], place[len(keys) :]])
+            at = np.concatenate([at, *(f["hour"].to_numpy(np.int64) for f in fresh)])
+            counts = np.concatenate([counts, np.ones(n, np.int64)])
+            order = np.lexsort((at, codes))
+            codes, at = codes[order], at[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(codes) != 0) | (np.diff(at) != 0)])
+            return names, codes[first], at[first], np.add.reduceat(counts[order], first)
+
+        for f in batches:
+            fresh.append(f)
+            n += len(f)
+            if n > max(len(known[1]), 100_000):
+                known, fresh, n = merged(), [], 0
+        return merged() if n else known
+
+    def _ended(self, known: tuple, passed: int, given: int | None) -> Iterator[pd.DataFrame]:
+        """Windows that hold a message and end by ``passed``, without those that end by ``given``, some at a time.
+
+        A row stands for the windows that start from ``start`` to ``stop``, which have one count.
+        """
+        keys, codes, at, counts = known
+        if not len(at) or at.min() + 1 > passed:
+            return
+        # Places on one line, on which the windows of two keys have no hour in common.
+        base, width = int(at.min()) - self.hours, int(at.max() - at.min()) + 2 * self.hours + 1
+        line, upto = codes * width + (at - base), np.concatenate([[0], np.cumsum(counts)])
+        # An hour brings the windows that start after the hour before it.
+        fresh = np.minimum(np.diff(line, prepend=line[0] - self.hours), self.hours)
+        for x in range(0, len(line), RUN):
+            n = fresh[x : x + RUN]
+            starts = np.arange(n.sum()) + np.repeat(line[x : x + len(n)] + 1 - np.cumsum(n), n)
+            owner = np.repeat(codes[x : x + len(n)], n)
+            start = starts - owner * width + base
+            keep = start + self.hours <= passed
+            if given is not None:
+                keep &= start + self.hours > given
+            if keep.any():
+                starts, owner, start = starts[keep], owner[keep], start[keep]
+                messages = upto[np.searchsorted(line, starts + self.hours)] - upto[np.searchsorted(line, starts)]
+                cut = np.r_[True, (np.diff(starts) != 1) | (np.diff(messages) != 0)]
+                yield pd.DataFrame({"key": keys[owner[cut]], "start": start[cut], "stop": start[np.roll(cut, -1)], "count": messages[cut]})
+
+
+def stream_sliding_count(rows: DataFrame, key: str, ts: str, hours: int, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """Rows of a key in windows of ``hours`` that start every hour: ``key, start, count``, each window once, when the watermark has passed its end.
+
+    ``F.window`` sends a row through the shuffle ``hours`` times and holds each window of a key in the state.  Here a
+    row is sent once, and the state has a count for each hour of a key that lies in a window still open.  Keys share
+    ``buckets``, whose counts are one entry of the state and are added up together; a key is an integer or a text.  A
+    row that comes late counts in those of its windows that end after the last one that its bucket has given out.
+    """
+    # As wide as a row's last window, so that a row is late when none of its windows is open; the watermark is the same.
+    last = (F.col(ts).cast("timestamp") + F.expr(f"interval {hours} hours")).alias("_last")
+    name = F.col(key).cast("string").alias("key")
+    dealt = rows.filter(F.col(ts).isNotNull()).select(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket"), name, F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600).alias("hour"), last).withWatermark("_last", f"{late} {hours} hours")
+    out = dealt.groupBy("bucket").applyInPandasWithState(SlidingCounts(hours), "key string, start bigint, stop bigint, count bigint", "given bigint, counts binary", "append", GroupStateTimeout.EventTimeTimeout)
+    each = out.select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.explode(F.sequence("start", "stop")).alias("start"), "count")
+    return each.withColumn("start", F.timestamp_seconds(F.col("start") * 3600))
+
+
 def exact_quota(messages: DataFrame, hours: int = 24, limit: int | Column = 100, late: str = "1 hour") -> DataFrame:
     """R2, exact: each user message of ``event_id, user_id, ts, role`` with its user's count of the last ``hours``.
 

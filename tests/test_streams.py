@@ -3,9 +3,11 @@
 import datetime
 import random
 import time
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -175,6 +177,106 @@ def test_trailing_counts_state_takes_runs_not_rows(monkeypatch):
     assert len(got) == len(rows) and {r.event_id: r.trailing for r in got} == want
 
 
+def plain_windows(rows, end=10**12):
+    """Messages by user and hour in which a window starts, of windows that end by ``end``."""
+    out = Counter()
+    for _, u, t, role in rows:
+        if role == "user" and t is not None:
+            h = int((t - START).total_seconds() // 3600)
+            out.update((u, s) for s in range(h - 23, h + 1) if s + 24 <= end)
+    return out
+
+
+def windows_of(rows):
+    got = [((r.user_id, int((r.window_start - START).total_seconds() // 3600)), r.messages) for r in rows if r.user_id != -1]
+    assert len(got) == len(dict(got))
+    assert all(r.over_limit == (r.messages > 100) and r.window_end - r.window_start == datetime.timedelta(days=1) for r in rows)
+    return dict(got)
+
+
+def test_rolling_quota_out_of_order_over_batches(spark, tmp_path, drained):
+    """Each window once, as on a table; moments on the hour, rows without user or time, and gaps longer than a window."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), minutes((4 * i + rng.randrange(-90, 1) if i % 4 else 4 * i // 60 * 60) + (6000 if i >= 400 else 0)), rng.choice(["user", "user", "assistant"])) for i in range(700)]
+    rows += [(1000, 4, None, "user"), (1001, 5, minutes(60), "user"), (1002, 5, minutes(60) - datetime.timedelta(microseconds=1), "user")]
+    rows = rows[-3:] + rows[:-3]
+    feed = Feed(spark, tmp_path / "in", EVENTS)
+    for lo in range(0, len(rows), 100):
+        feed.add(rows[lo : lo + 100])
+    feed.add([(9999, -1, minutes(10**6), "user")])
+    got = windows_of(drained(jobs.rolling_quota(feed.read(), late="3 hours")))
+    assert got == plain_windows(rows) and max(got.values()) > 100
+    assert windows_of(jobs.rolling_quota(spark.createDataFrame(rows, EVENTS)).collect()) == got
+
+
+def test_rolling_quota_late_rows(spark, tmp_path, drained):
+    """A late row counts in its windows that are open, changes none that is given out, and gives none out twice."""
+    feed = Feed(spark, tmp_path / "in", EVENTS)
+    first = [(1, 1, minutes(0), "user"), (2, 1, minutes(1500), "user")]  # then windows up to hour 24 are out
+    feed.add(first), feed.add([(3, -1, minutes(1500), "user")]), feed.add([(4, -1, minutes(1500), "user")])
+    late = [(5, 1, minutes(610), "user"), (6, 1, minutes(1499), "user")]
+    feed.add([*late, (7, 1, minutes(0), "user")])  # no window of row 7 is open
+    feed.add([(8, -1, minutes(10**6), "user")])
+    got = windows_of(drained(jobs.rolling_quota(feed.read(), late="1 hour")))
+    assert got == plain_windows(first, 24) + Counter({w: n for w, n in plain_windows(first + late).items() if w[1] > 0})
+
+
+def test_rolling_quota_state_is_hours_not_windows(spark, tmp_path):
+    """The state has an entry for some users together, not one for each window of a user, and leaves with them."""
+    feed = Feed(spark, tmp_path / "in", EVENTS)
+    feed.add([(i, i % 5, minutes(30 * i), "user") for i in range(500)])
+    feed.add([(1000, 99, minutes(100_000), "user")])
+    feed.add([(1001, 99, minutes(200_000), "user")])
+    q = jobs.rolling_quota(feed.read()).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert 0 < max(held) <= 6 and held[-1] == 1
+
+
+class Held:
+    """State of a group in memory."""
+
+    def __init__(self):
+        self.exists, self.get, self.hasTimedOut, self.watermark, self.wake = False, None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms >= self.watermark
+        self.wake = ms
+
+
+def test_sliding_counts_in_small_runs(monkeypatch):
+    """Runs of one count and steps of few hours add up to the plain windows; a wake-up gives out what has ended."""
+    monkeypatch.setattr(windows, "RUN", 7)
+    rng, step, state = random.Random(8), windows.SlidingCounts(24), Held()
+    rows, got = [], Counter()
+    for batch in range(40):
+        fresh = [(rng.choice(["a", "b", "c", None]), 500_000 + batch * 3 + rng.randrange(3)) for _ in range(rng.choice([0, 3, 40]))]
+        rows += fresh
+        state.watermark = (500_000 + batch * 3) * 3_600_000 if batch < 39 else 10**13
+        state.hasTimedOut = not fresh
+        if state.hasTimedOut and not (state.exists and state.wake < state.watermark):
+            continue
+        frames = [pd.DataFrame({"key": [k for k, _ in part], "hour": [h for _, h in part]}) for part in (fresh[:5], fresh[5:]) if part]
+        for out in step((0,), iter(frames), state):
+            for k, a, b, n in out.itertuples(index=False):
+                for s in range(a, b + 1):
+                    k = None if pd.isna(k) else k
+                    assert (k, s) not in got and s + 24 <= state.watermark // 3_600_000
+                    got[k, s] = n
+    state.hasTimedOut = True
+    assert not state.exists or not list(step((0,), iter([]), state))
+    assert got == Counter((k, s) for k, h in rows for s in range(h - 23, h + 1)) and not state.exists
+
+
 HIT = "request_id long, user_id long, query_hash string, ts timestamp"
 WRITE = "user_id long, query_hash string, ts timestamp"
 
